@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,14 @@ MAX_BROADCAST_ROWS = 100_000
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Rows known when the plan is built; hinted when there are few of them."""
-    frame = spark.createDataFrame(list(rows), schema)
+    """Rows known when the plan is built; hinted when there are few of them.
+
+    Passed as an Arrow table they become a local relation in the plan, which
+    needs no Python worker and whose size the optimizer knows.
+    """
+    names = [field.split()[0] for field in schema.split(",")]
+    columns = zip(*rows) if rows else [[] for _ in names]
+    frame = spark.createDataFrame(pa.table(dict(zip(names, map(list, columns)))), schema)
     return F.broadcast(frame) if len(rows) <= MAX_BROADCAST_ROWS else frame
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.functions import float_text, half_even, rebase
@@ -12,11 +12,21 @@ from monthloom.operators.broadcasting import literal_rows, one_row_per_month
 from monthloom.operators.filters import Day, latest_values
 
 
-def index_at(index: DataFrame, month: Day):
+def one_series(panel: DataFrame, series: str) -> DataFrame:
+    """One series by month.
+
+    Picked while aggregating rather than by a filter, so that the panel it
+    comes from is not worked out once more for it.
+    """
+    picked = F.max(F.when(F.col("series_id") == series, F.col("value")))
+    return panel.groupBy("month_end").agg(picked.alias("value"))
+
+
+def index_at(index: DataFrame, month: Day) -> Column:
     """The index at one month as a scalar; exactly one row must match."""
-    hit = index.where(F.col("month_end") == F.lit(month).cast("date"))
+    hit = F.when(F.col("month_end") == F.lit(month).cast("date"), F.col("value"))
     problem = F.raise_error(F.lit(f"need exactly one index value at {month}")).cast("double")
-    return hit.agg(F.when(F.count("value") == 1, F.max("value")).otherwise(problem)).scalar()
+    return index.agg(F.when(F.count(hit) == 1, F.max(hit)).otherwise(problem)).scalar()
 
 
 def cpi_rebase(

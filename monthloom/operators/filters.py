@@ -76,12 +76,6 @@ def last_rows(panel: DataFrame, n: int) -> DataFrame:
     )
 
 
-def last_months(panel: DataFrame, n: int, of: DataFrame | None = None) -> DataFrame:
-    """The last n calendar months, counted back from the end of ``of``."""
-    newest = (panel if of is None else of).agg(F.max("month_end")).scalar()
-    return panel.where(F.col("month_end") > F.last_day(F.add_months(newest, -n)))
-
-
 def latest_values(panel: DataFrame, *columns: str) -> DataFrame:
     """Each series' last month with the named columns at that month."""
     fields = columns or ("value",)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions import month_end, month_start, series_stem
@@ -18,12 +18,17 @@ from monthloom.operators.broadcasting import one_row_per_month
 from monthloom.operators.filters import Day, whole_months
 
 
-def monthly_mean(obs: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
-    """Month-end mean per series, missing values skipped."""
+def monthly_mean(obs: DataFrame, start: Day = None, end: Day = None, weight: str | None = None) -> DataFrame:
+    """Month-end mean per series, missing values skipped.
+
+    ``weight`` names a column that counts the rows a value already averages.
+    """
     rows = whole_months(obs, start, end)
-    return rows.groupBy("series_id", month_end(F.col("obs_date")).alias("month_end")).agg(
-        F.avg("value").alias("value")
-    )
+    mean = F.avg("value")
+    if weight is not None:
+        present = F.when(F.col("value").isNotNull(), F.col(weight))
+        mean = F.try_divide(F.sum(F.col("value") * present), F.sum(present))
+    return rows.groupBy("series_id", month_end(F.col("obs_date")).alias("month_end")).agg(mean.alias("value"))
 
 
 def monthly_last(
@@ -49,11 +54,52 @@ def union_panels(*panels: DataFrame) -> DataFrame:
 
 
 def inner_panels(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Both panels, on the months that both have."""
-    left_months = left.select("month_end").distinct()
-    right_months = right.select("month_end").distinct()
-    shared = left_months.join(one_row_per_month(right_months), "month_end", "left_semi")
-    return union_panels(left, right).join(one_row_per_month(shared), "month_end", "left_semi")
+    """Both panels, on the months that both span.
+
+    A panel stands for a row per month from its first to its last, so the
+    shared months are the overlap of the two spans.
+    """
+    (left_low, left_high), (right_low, right_high) = span(left), span(right)
+    months = months_between(
+        left.sparkSession, F.greatest(left_low, right_low), F.least(left_high, right_high)
+    )
+    return on_months(union_panels(left, right), months)
+
+
+def last_months(panel: DataFrame, n: int, of: DataFrame | None = None) -> DataFrame:
+    """The last n calendar months, counted back from the end of ``of``."""
+    _, newest = span(panel if of is None else of)
+    return on_months(panel, months_between(panel.sparkSession, F.add_months(newest, 1 - n), newest))
+
+
+def span(panel: DataFrame) -> tuple[Column, Column]:
+    """First and last month of a panel, as scalars.
+
+    Counting the values keeps them in the subquery's plan, which makes its
+    shuffle the same as the panel's own, so Spark runs the two only once.
+    """
+    bounds = panel.agg(
+        F.struct(
+            F.min("month_end").alias("low"), F.max("month_end").alias("high"), F.count("value").alias("n")
+        ).alias("bounds")
+    ).scalar()
+    return month_start(bounds["low"]), month_start(bounds["high"])
+
+
+def months_between(spark: SparkSession, low: Column, high: Column) -> DataFrame:
+    """Month ends from one month to another; none when they are the wrong way round."""
+    starts = F.sequence(month_start(low), month_start(high), F.expr("interval 1 month"))
+    axis = spark.range(1).select(F.explode(F.when(low <= high, starts)).alias("_start"))
+    return axis.select(F.last_day("_start").alias("month_end"))
+
+
+def on_months(panel: DataFrame, months: DataFrame) -> DataFrame:
+    """The panel on some distinct months.
+
+    An inner join, since Spark would move a semi join below the aggregation
+    that makes the panel and then read the observations twice.
+    """
+    return panel.join(one_row_per_month(months), "month_end").select(*panel.columns)
 
 
 def full_outer_wide(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -94,29 +140,16 @@ def month_grid(panel: DataFrame, start: Day = None, end: Day = None) -> DataFram
 
 
 def _grid_bounds(panel: DataFrame, start: Day, end: Day) -> tuple[Column, Column]:
-    if start is not None and end is not None:
-        return tuple(month_start(F.lit(day).cast("date")) for day in (start, end))
-    # Counting the values keeps them in the subquery's plan, which makes its
-    # shuffle the same as the panel's own, so Spark runs the two only once.
-    bounds = panel.agg(
-        F.struct(
-            F.min("month_end").alias("low"), F.max("month_end").alias("high"), F.count("value").alias("n")
-        ).alias("bounds")
-    ).scalar()
-    low = bounds["low"] if start is None else F.lit(start).cast("date")
-    high = bounds["high"] if end is None else F.lit(end).cast("date")
-    return month_start(low), month_start(high)
+    given = [None if day is None else month_start(F.lit(day).cast("date")) for day in (start, end)]
+    found = span(panel) if None in given else given
+    return tuple(f if g is None else g for g, f in zip(given, found))
 
 
 def complete_months(panel: DataFrame, series: Sequence[str]) -> DataFrame:
     """Months in which every one of the series has a value."""
-    present = panel.where(F.col("series_id").isin(*series) & F.col("value").isNotNull())
-    return (
-        present.groupBy("month_end")
-        .agg(F.count(F.lit(1)).alias("_present"))
-        .where(F.col("_present") == len(set(series)))
-        .select("month_end")
-    )
+    wanted = panel.where(F.col("series_id").isin(*series))
+    counted = wanted.groupBy("month_end").agg(F.count("value").alias("_present"))
+    return counted.where(F.col("_present") == len(set(series))).select("month_end")
 
 
 def complete_cases(panel: DataFrame, series: Sequence[str]) -> DataFrame:
@@ -126,7 +159,7 @@ def complete_cases(panel: DataFrame, series: Sequence[str]) -> DataFrame:
     a window by month would move the whole panel into one task per month.
     """
     chosen = panel.where(F.col("series_id").isin(*series))
-    return chosen.join(one_row_per_month(complete_months(panel, series)), "month_end", "left_semi")
+    return on_months(chosen, complete_months(chosen, series))
 
 
 def widen(panel: DataFrame, series: Sequence[str], value: str = "value") -> DataFrame:
@@ -154,7 +187,7 @@ def pivot_mean(payload: DataFrame, groups: Sequence[str], suffix: str = "") -> D
 
 def group_means(payload: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
     """The same means as ``pivot_mean`` in long form, for any number of groups."""
-    return payload.groupBy(*keys, "grp").agg(F.avg("value").alias("value"))
+    return payload.groupBy(*keys, "grp").agg(F.avg("value").alias("value"), F.count("value").alias("rows"))
 
 
 def group_totals(means: DataFrame, keys: Sequence[str] = ("date",), exclude_groups: Sequence[str] = ()) -> DataFrame:

@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.operators.broadcasting import literal_rows
+from monthloom.operators.clean import select_renamed
 from monthloom.operators.filters import keep_series
 from monthloom.operators.stats import correlation_matrix, measure_bounds
 
 
-def lines(panel: DataFrame, series: Iterable[str]) -> DataFrame:
-    """The level and change of some series, one row per month."""
-    return keep_series(panel, series).select("series_id", "month_end", "value", "yoy")
+def figures(panel: DataFrame, by_name: Mapping[str, str]) -> DataFrame:
+    """Level and change of each figure's series, all figures in one frame.
 
-
-def figures(panel: DataFrame, by_name: Mapping[str, str]) -> dict[str, DataFrame]:
-    """One level-and-change frame per figure name."""
-    return {name: lines(panel, [series]) for name, series in by_name.items()}
+    One frame is one pass over the panel; written partitioned by figure, it is
+    one directory per figure.
+    """
+    named = {series: name for name, series in by_name.items()}
+    rows = keep_series(panel, named)
+    return rows.select(_name_of(named).alias("figure"), "series_id", "month_end", "value", "yoy")
 
 
 def change_bounds(panel: DataFrame, series: Iterable[str]) -> DataFrame:
@@ -48,8 +50,9 @@ def variables(panel: DataFrame, levels: Mapping[str, str], changes: Mapping[str,
 
 def correlations(panel: DataFrame, levels: Mapping[str, str], changes: Mapping[str, str] | None = None) -> DataFrame:
     """Correlation matrix of the report's variables."""
-    names = [*levels.values(), *(changes or {}).values()]
-    return correlation_matrix(variables(panel, levels, changes or {}), names)
+    if not changes:
+        return correlation_matrix(select_renamed(panel, levels), list(levels.values()))
+    return correlation_matrix(variables(panel, levels, changes), [*levels.values(), *changes.values()])
 
 
 def region_dimension(panel: DataFrame, regions: Mapping[str, str]) -> DataFrame:

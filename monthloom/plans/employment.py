@@ -22,7 +22,7 @@ def employment_report(
 ) -> dict[str, DataFrame]:
     shown = date_range(employment_frame(panel, epoch), start, end)
     return {
-        **figures(shown, FIGURES),
+        "figures": figures(shown, FIGURES),
         "change_bounds": change_bounds(shown, SERIES),
         "correlation": correlations(shown, names.EMPLOYMENT_VARIABLES),
     }

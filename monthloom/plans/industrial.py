@@ -7,14 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.operators.broadcasting import literal_rows, one_row_per_month
+from monthloom.operators.broadcasting import literal_rows
 from monthloom.operators.clean import with_labels
-from monthloom.operators.derive import cpi_rebase
+from monthloom.operators.derive import cpi_rebase, one_series
 from monthloom.operators.filters import Day, date_range, keep_series, since
-from monthloom.operators.panel import complete_months
+from monthloom.operators.panel import complete_months, on_months
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
-from monthloom.plans.common import change_bounds, correlations, lines
+from monthloom.plans.common import change_bounds, correlations, figures
 
 LABELS = {**names.OUTPUT_LABELS, **names.ORDERS_LABELS, **names.HOUSING_LABELS}
 TOTALS = {
@@ -31,9 +31,9 @@ def industrial_frame(
     mode: str = "inflate",
 ) -> DataFrame:
     """The report's series since the epoch, price series rebased, with changes."""
-    chosen = since(keep_series(panel, names.INDUSTRIAL_PLAIN + names.PRICE_ADJUSTED), epoch)
-    index = keep_series(panel, [names.CPI])
-    return yoy_calendar(cpi_rebase(chosen, index, base_month, names.PRICE_ADJUSTED, mode))
+    chosen = keep_series(panel, names.INDUSTRIAL_PLAIN + names.PRICE_ADJUSTED)
+    index = one_series(chosen, names.CPI)
+    return yoy_calendar(cpi_rebase(since(chosen, epoch), index, base_month, names.PRICE_ADJUSTED, mode))
 
 
 def complete_output(shown: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def complete_output(shown: DataFrame) -> DataFrame:
     outputs = (names.OUTPUT_TOTAL, *names.OUTPUT_LABELS)
     has_change = (F.col("series_id") != names.OUTPUT_TOTAL) | F.col("yoy").isNotNull()
     months = complete_months(shown.where(has_change), outputs)
-    return keep_series(shown, outputs).join(one_row_per_month(months), "month_end", "left_semi")
+    return on_months(keep_series(shown, outputs), months)
 
 
 def _by_category(shown: DataFrame, chosen: Iterable[str]) -> DataFrame:
@@ -63,9 +63,9 @@ def industrial_report(
     shown = date_range(industrial_frame(panel, epoch, base_month, mode), start, end)
     output = complete_output(shown)
     return {
-        "output_total": lines(output, [names.OUTPUT_TOTAL]),
+        "figures": figures(shown, TOTALS),
+        "output_total": figures(output, {"output_total": names.OUTPUT_TOTAL}),
         "output_by_category": _by_category(output, outputs),
-        **{name: lines(shown, [series]) for name, series in TOTALS.items()},
         "orders_by_category": _by_category(shown, orders),
         "housing_by_region": _by_category(shown, housing),
         "change_bounds": change_bounds(shown, TOTALS.values()).unionByName(

@@ -28,7 +28,7 @@ def latest_by_region(shown: DataFrame) -> DataFrame:
 def oil_report(panel: DataFrame, start: Day = None, end: Day = None) -> dict[str, DataFrame]:
     shown = date_range(oil_frame(panel), start, end)
     return {
-        **figures(shown, names.OIL_FIGURES),
+        "figures": figures(shown, names.OIL_FIGURES),
         "change_bounds": change_bounds(shown, names.OIL_FIGURES.values()),
         "latest_by_region": latest_by_region(shown),
         "correlation": correlations(shown, names.OIL_LEVEL_VARIABLES, names.OIL_CHANGE_VARIABLES),

@@ -5,44 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions import parse_mixed_date
+from monthloom.functions import parse_mixed_date, series_stem
 from monthloom.operators.clean import rename_series
-from monthloom.operators.panel import group_means, group_totals, monthly_mean, named_groups, union_panels
+from monthloom.operators.panel import group_means, monthly_mean, union_panels
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
 from monthloom.sources.pages import catalog_records
 from monthloom.sources.series import catalog_series
 
-RECORD_KEYS = ("secondary_name", "date")
-
 
 def paged_observations(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """Observations of the paged source, one series per payload or group.
 
     A grouped payload gives a mean per date and group, and the total of these
     means per date, except for price payloads, whose sum has no meaning.
+    Means and totals come from one reading of the pages: each mean goes to its
+    own series and to its payload's total, and one sum per date closes both.
     """
-    records = catalog_records(pages, catalog)
-    single = records.where(F.col("grp").isNull()).select(
-        F.col("secondary_name").alias("series_id"), "date", "value"
+    means = group_means(catalog_records(pages, catalog), ("secondary_name", "date"))
+    grouped = F.col("grp").isNotNull()
+    suffix = F.col("secondary_name")
+    own = F.struct(
+        F.when(grouped, series_stem(F.col("grp"), suffix)).otherwise(suffix).alias("series_id"),
+        F.col("grp").alias("grp"),
+        F.when(grouped, F.lit(1).cast("bigint")).otherwise(F.col("rows")).alias("weight"),
+    )
+    total = F.struct(
+        F.concat(F.lit("total"), suffix).alias("series_id"),
+        F.lit(None).cast("string").alias("grp"),
+        F.lit(1).cast("bigint").alias("weight"),
+    )
+    has_total = grouped & (suffix != names.SUFFIX_WITHOUT_TOTAL)
+    goes_to = F.when(has_total, F.array(own, total)).otherwise(F.array(own))
+    rows = means.select("date", "value", F.explode(goes_to).alias("to")).select("date", "value", "to.*")
+    summed = rows.groupBy("series_id", "grp", "date").agg(
+        F.sum("value").alias("value"), F.max("weight").alias("weight")
     )
-    means = group_means(records.where(F.col("grp").isNotNull()), RECORD_KEYS)
-    groups = named_groups(means, F.col("secondary_name")).select("series_id", "date", "value")
-    summed = group_totals(means.where(F.col("secondary_name") != names.SUFFIX_WITHOUT_TOTAL), RECORD_KEYS)
-    totals = summed.select(F.concat(F.lit("total"), "secondary_name").alias("series_id"), "date", "value")
-    rows = union_panels(single, groups, totals)
-    return rows.select("series_id", parse_mixed_date(F.col("date")).alias("obs_date"), "value")
+    return summed.select("series_id", parse_mixed_date(F.col("date")).alias("obs_date"), "value", "weight")
 
 
 def with_inflation(panel: DataFrame) -> DataFrame:
-    """Add the yearly change of the overall price index as a series."""
-    cpi = yoy_calendar(panel.where(F.col("series_id") == names.CPI))
-    rate = cpi.select(F.lit(names.INFLATION).alias("series_id"), "month_end", F.col("yoy").alias("value"))
-    return union_panels(panel, rate)
+    """Add the yearly change of the overall price index as a series.
+
+    The change is taken for all series in one pass and kept for one; a branch
+    that filters the index would read the observations behind the panel again.
+    """
+    own = F.struct("series_id", "value")
+    rate = F.struct(F.lit(names.INFLATION).alias("series_id"), F.col("yoy").alias("value"))
+    rows = F.when(F.col("series_id") == names.CPI, F.array(own, rate)).otherwise(F.array(own))
+    changed = yoy_calendar(panel).select("month_end", F.explode(rows).alias("row"))
+    return changed.select("row.series_id", "month_end", "row.value")
 
 
 def build_panel(catalog: DataFrame, landed: DataFrame, pages: DataFrame) -> DataFrame:
     """Month-end means of every catalogued series, with inflation added."""
-    observations = union_panels(catalog_series(landed, catalog), paged_observations(pages, catalog))
-    panel = monthly_mean(rename_series(observations, names.PANEL_ALIASES))
-    return with_inflation(panel)
+    single = catalog_series(landed, catalog).withColumn("weight", F.lit(1).cast("bigint"))
+    observations = union_panels(single, paged_observations(pages, catalog))
+    named = rename_series(observations, names.PANEL_ALIASES)
+    return with_inflation(monthly_mean(named, weight="weight"))

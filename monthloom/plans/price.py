@@ -30,7 +30,7 @@ def price_report(
     shown = date_range(price_frame(panel, epoch), start, end)
     return {
         "inflation": keep_series(shown, [names.INFLATION]).select("month_end", "value"),
-        **figures(shown, FIGURES),
+        "figures": figures(shown, FIGURES),
         "change_bounds": change_bounds(shown, FIGURES),
         "correlation": correlations(shown, names.PRICE_VARIABLES),
     }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from monthloom.functions import format_month_year, position_between
-from monthloom.operators.filters import Day, keep_series, last_months, since
+from monthloom.operators.filters import Day, keep_series, since
+from monthloom.operators.panel import last_months
 from monthloom.operators.stats import rounded
 from monthloom.operators.windows import segment_midpoints, yoy_calendar
 from monthloom.plans import names
@@ -38,14 +39,11 @@ def recent_report(
 ) -> dict[str, DataFrame]:
     recent = since(panel, epoch)
     return {
-        "correlation": rounded(correlations(_with_yoy(panel), names.CORE_VARIABLES)),
-        "recent_correlation": correlations(_with_yoy(since(panel, correlation_epoch)), names.CORE_VARIABLES),
+        "correlation": rounded(correlations(panel, names.CORE_VARIABLES)),
+        "recent_correlation": correlations(since(panel, correlation_epoch), names.CORE_VARIABLES),
         "spending_and_staff": keep_series(recent, names.SPENDING_AND_STAFF),
         "oil_production": keep_series(recent, names.OIL_PRODUCTION_LINES),
         "oil_exports": keep_series(recent, names.OIL_EXPORT_LINES),
         "oil_change_segments": change_segments(panel),
     }
 
-
-def _with_yoy(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("yoy", F.lit(None).cast("double"))

@@ -60,7 +60,8 @@ def catalog_records(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     rules = route(catalog, PAGED_SOURCE).select(
         "data_link", "secondary_name", "column_to_groupby", F.coalesce("value_name", F.lit("value")).alias("value_name")
     )
-    records = flatten_pages(pages, "data_link").join(measured(rules), "data_link")
+    named = pages.join(measured(rules), "data_link")
+    records = flatten_pages(named, "secondary_name", "column_to_groupby", "value_name")
     grouped = F.col("column_to_groupby").isNotNull()
     date = F.col("record")["period"]
     text = F.when(grouped, F.try_element_at("record", F.col("value_name"))).otherwise(F.col("record")["value"])
