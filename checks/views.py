@@ -51,7 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pick(values: tuple[str, ...], number: str) -> Column:
     """The value at the place that a key gives, counted round."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(number) % len(values) + 1).cast("int"))
+    options = F.split(F.lit("|".join(values)), "[|]")
+    return F.element_at(options, (F.col(number) % len(values) + 1).cast("int"))
 
 
 def sql_list(values) -> str:
@@ -146,29 +147,28 @@ def economy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last event value of a day per event type."""
+    """Last event value of a day per event type; no two events share a time."""
     events = table(spark, sf_dir, "events")
-    last = F.max(F.struct("ts", "event_id", "value"))["value"]
     return events.groupBy(F.col("event_type").alias("ticker"), F.col("ts").cast("date").alias("trade_date")).agg(
-        last.alias("close")
+        F.max_by("value", "ts").alias("close")
     )
 
 
 def _line_quotes(spark: SparkSession, sf_dir: str, ticker: Column) -> DataFrame:
+    """The highest line price of a day, standing in for its close."""
     lines = table(spark, sf_dir, "lineitem")
-    last = F.max(F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))["l_extendedprice"]
     return lines.groupBy(ticker.alias("ticker"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
-        last.alias("close")
+        F.max("l_extendedprice").alias("close")
     )
 
 
 def quotes_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last line price of a day per return flag."""
+    """Daily quotes per return flag."""
     return _line_quotes(spark, sf_dir, F.col("l_returnflag"))
 
 
 def market_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last line price of a day, dealt out to the tickers of the report."""
+    """Daily quotes, dealt out to the tickers of the report."""
     return _line_quotes(spark, sf_dir, _pick(TICKERS, "l_suppkey"))
 
 
@@ -196,20 +196,22 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_lines(spark: SparkSession, sf_dir: str, index_name: str | None = None) -> DataFrame:
-    """Catalog rows as CSV text: a series per priority, a payload per remainder,
-    and rows of a source that nothing loads per order status."""
-    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
-    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    """Catalog rows as CSV text: a series per order priority, a payload per
+    remainder of the nation keys, and a row that nothing loads per region."""
+    priority, region = F.col("o_orderpriority"), F.col("r_name")
     name = series_stem(priority)
     if index_name is not None:
         name = F.when(priority == "1-URGENT", F.lit(index_name)).otherwise(name)
-    payload = (F.expr(f"event_id div {PAGE_ROWS}") % PAYLOADS).cast("string")
-    series = orders.select(priority).distinct().select(F.concat(F.lit("fred,"), priority, F.lit(","), name, F.lit(",,no,,")))
-    paged = events.select(payload.alias("p")).distinct().select(
-        F.concat(F.lit("eia_api,,_load"), F.col("p"), F.lit(","), F.col("p"), F.lit(",yes,grp,value"))
+    payload = (F.col("n_nationkey") % PAYLOADS).cast("string")
+    series = table(spark, sf_dir, "orders").select(priority).distinct()
+    paged = table(spark, sf_dir, "nation").select(payload.alias("p")).distinct()
+    other = table(spark, sf_dir, "region").select(region)
+    parts = (
+        series.select(F.concat(F.lit("fred,"), priority, F.lit(","), name, F.lit(",,no,,"))),
+        paged.select(F.concat(F.lit("eia_api,,_load"), F.col("p"), F.lit(","), F.col("p"), F.lit(",yes,grp,value"))),
+        other.select(F.concat(F.lit("manual,"), region, F.lit(",region"), region, F.lit(",,,,"))),
     )
-    other = orders.select(status).distinct().select(F.concat(F.lit("manual,"), status, F.lit(",status"), status, F.lit(",,,,")))
-    return series.union(paged).union(other).toDF("line")
+    return parts[0].union(parts[1]).union(parts[2]).toDF("line")
 
 
 # --- the same in SQL ---------------------------------------------------------------
@@ -244,15 +246,15 @@ VIEWS: dict[str, str] = {
         FROM lineitem GROUP BY ALL""",
     "quotes": """
         SELECT event_type AS ticker, CAST(ts AS DATE) AS trade_date,
-               arg_max(value, {'ts': ts, 'id': event_id}) AS close
+               arg_max(value, ts) AS close
         FROM events GROUP BY ALL""",
     "quotes_by_flag": """
         SELECT l_returnflag AS ticker, CAST(l_shipdate AS DATE) AS trade_date,
-               arg_max(l_extendedprice, {'o': l_orderkey, 'n': l_linenumber, 'p': l_extendedprice}) AS close
+               max(l_extendedprice) AS close
         FROM lineitem GROUP BY ALL""",
     "market_quotes": f"""
         SELECT {_pick_sql(TICKERS, 'l_suppkey')} AS ticker, CAST(l_shipdate AS DATE) AS trade_date,
-               arg_max(l_extendedprice, {{'o': l_orderkey, 'n': l_linenumber, 'p': l_extendedprice}}) AS close
+               max(l_extendedprice) AS close
         FROM lineitem GROUP BY ALL""",
     "records": f"""
         SELECT CAST((event_id // {PAGE_ROWS}) % {PAYLOADS} AS VARCHAR) AS data_link, event_id // {PAGE_ROWS} AS page,
@@ -264,9 +266,11 @@ VIEWS: dict[str, str] = {
                'no' AS paginated, NULL::VARCHAR AS column_to_groupby, NULL::VARCHAR AS value_name
         FROM orders
         UNION ALL
-        SELECT DISTINCT 'eia_api', NULL, concat('_load', data_link), data_link, 'yes', 'grp', 'value' FROM records
+        SELECT DISTINCT 'eia_api', NULL, concat('_load', n_nationkey % {PAYLOADS}), CAST(n_nationkey % {PAYLOADS} AS VARCHAR),
+               'yes', 'grp', 'value'
+        FROM nation
         UNION ALL
-        SELECT DISTINCT 'manual', o_orderstatus, concat('status', o_orderstatus), NULL, NULL, NULL, NULL FROM orders""",
+        SELECT 'manual', r_name, concat('region', r_name), NULL, NULL, NULL, NULL FROM region""",
     "economy_base": f"""
         SELECT {_pick_sql(REPORT_SERIES, 'l_partkey')} AS series_id, last_day(CAST(l_shipdate AS DATE)) AS month_end,
                avg(round(l_extendedprice * 100)) AS value

@@ -17,6 +17,7 @@ from monthloom.functions.numbers import (
     rebase,
 )
 from monthloom.functions.pairs import pair_beta, pair_corr
+from monthloom.functions.strict import strict_double
 from monthloom.functions.text import drop_null_tokens, float_text, series_stem
 
 __all__ = [
@@ -37,4 +38,5 @@ __all__ = [
     "position_between",
     "rebase",
     "series_stem",
+    "strict_double",
 ]

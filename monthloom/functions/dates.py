@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The text forms of a date that sources send, most specific first.
-DATE_FORMS = ("yyyy-MM-dd", "yyyy-MM", "yyyy")
-
+from monthloom.functions.strict import or_fail
 
 def parse_mixed_date(text: Column, strict: bool = True) -> Column:
-    """Text in any of ``DATE_FORMS`` to a date; missing parts mean the first.
+    """Text such as 2024-01-05, 2024-01 or 2024 to a date; missing parts mean the first.
 
-    Unreadable text fails the job when ``strict``, and is NULL otherwise.
+    A cast knows these forms and needs no formatter.  Unreadable text fails
+    the job when ``strict``, and is NULL otherwise.
     """
-    parsed = F.coalesce(*[F.try_to_date(text, form) for form in DATE_FORMS])
-    if not strict:
-        return parsed
-    problem = F.raise_error(F.concat(F.lit("not a date: "), text))
-    return F.when(parsed.isNull() & text.isNotNull(), problem.cast("date")).otherwise(parsed)
+    parsed = text.try_cast("date")
+    return or_fail(parsed, text, "date") if strict else parsed
 
 
 def month_end(date: Column) -> Column:

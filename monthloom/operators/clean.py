@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions import drop_null_tokens, nan_to_null, parse_mixed_date
+from monthloom.functions import drop_null_tokens, nan_to_null, parse_mixed_date, strict_double
 from monthloom.operators.broadcasting import literal_rows
 
 
@@ -23,7 +23,7 @@ def drop_incomplete_rows(rows: DataFrame, *columns: str) -> DataFrame:
 def cast_values(rows: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
     """Text to double.  Bad text fails the job, or is NULL when not strict."""
     text = F.col(column)
-    number = text.cast("double") if strict else text.try_cast("double")
+    number = strict_double(text) if strict else text.try_cast("double")
     return rows.withColumn(column, nan_to_null(number))
 
 

@@ -78,10 +78,5 @@ def last_rows(panel: DataFrame, n: int) -> DataFrame:
 
 def latest_values(panel: DataFrame, *columns: str) -> DataFrame:
     """Each series' last month with the named columns at that month."""
-    fields = columns or ("value",)
-    last = F.max_by(F.struct(*fields), F.col("month_end"))
-    return (
-        panel.groupBy("series_id")
-        .agg(F.max("month_end").alias("month_end"), last.alias("_last"))
-        .select("series_id", "month_end", *[F.col(f"_last.{c}").alias(c) for c in fields])
-    )
+    last = [F.max_by(c, "month_end").alias(c) for c in columns or ("value",)]
+    return panel.groupBy("series_id").agg(F.max("month_end").alias("month_end"), *last)

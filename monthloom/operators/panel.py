@@ -28,7 +28,17 @@ def monthly_mean(obs: DataFrame, start: Day = None, end: Day = None, weight: str
     if weight is not None:
         present = F.when(F.col("value").isNotNull(), F.col(weight))
         mean = F.try_divide(F.sum(F.col("value") * present), F.sum(present))
-    return rows.groupBy("series_id", month_end(F.col("obs_date")).alias("month_end")).agg(mean.alias("value"))
+    panel = rows.groupBy("series_id", month_end(F.col("obs_date")).alias("month_end")).agg(mean.alias("value"))
+    return _dated(panel)
+
+
+def _dated(panel: DataFrame) -> DataFrame:
+    """Leave out rows without a date.
+
+    A join by month would imply the same on one of its sides; saying it here
+    keeps every reading of the panel alike, so that its shuffle is shared.
+    """
+    return panel.where(F.col("month_end").isNotNull())
 
 
 def monthly_last(
@@ -40,12 +50,16 @@ def monthly_last(
 ) -> DataFrame:
     """Last non-missing value of each month.
 
-    ``tie_break`` names further columns that order rows of the same date.
+    ``tie_break`` names further columns that order rows of the same date.  The
+    order is then a struct, which Spark can only aggregate by sorting, so give
+    it only where a date has several rows.
     """
-    order = F.struct(date, *tie_break)
-    return quotes.groupBy(F.col(key).alias("series_id"), month_end(F.col(date)).alias("month_end")).agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), order)).alias("value")
+    order = F.struct(date, *tie_break) if tie_break else F.col(date)
+    last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), order))
+    panel = quotes.groupBy(F.col(key).alias("series_id"), month_end(F.col(date)).alias("month_end")).agg(
+        last.alias("value")
     )
+    return _dated(panel)
 
 
 def union_panels(*panels: DataFrame) -> DataFrame:

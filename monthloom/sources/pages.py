@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monthloom.functions import drop_null_tokens, nan_to_null
+from monthloom.functions import drop_null_tokens, nan_to_null, strict_double
 from monthloom.operators.broadcasting import measured
 from monthloom.schemas import PAGE
 from monthloom.sources.catalog import PAGED_SOURCE, route
@@ -75,5 +75,5 @@ def catalog_records(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     complete = F.col("date").isNotNull() & F.col("grp").isNotNull() & F.col("text").isNotNull()
     return rows.where(~F.col("is_grouped") | complete).select(
-        "secondary_name", "date", "grp", nan_to_null(F.col("text").cast("double")).alias("value")
+        "secondary_name", "date", "grp", nan_to_null(strict_double(F.col("text"))).alias("value")
     )
