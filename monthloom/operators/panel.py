@@ -126,8 +126,13 @@ def month_grid(panel: DataFrame, start: Day = None, end: Day = None) -> DataFram
 
     Each row carries the missing months after it, and a series' first row also
     those before it, so the grid needs no product of series and months and no
-    join back.  Bounds default to those of the whole panel.
+    join back.  Bounds default to those of the whole panel; months outside
+    given ones are left out.
     """
+    if start is not None:
+        panel = panel.where(F.col("month_end") >= F.lit(start).cast("date"))
+    if end is not None:
+        panel = panel.where(F.col("month_end") <= F.last_day(F.lit(end).cast("date")))
     by_month = Window.partitionBy("series_id").orderBy("month_end")
     first, last = _grid_bounds(panel, start, end)
     before = F.lag("month_end").over(by_month)
@@ -155,7 +160,7 @@ def month_grid(panel: DataFrame, start: Day = None, end: Day = None) -> DataFram
 
 def _grid_bounds(panel: DataFrame, start: Day, end: Day) -> tuple[Column, Column]:
     given = [None if day is None else month_start(F.lit(day).cast("date")) for day in (start, end)]
-    found = span(panel) if None in given else given
+    found = span(panel) if start is None or end is None else given
     return tuple(f if g is None else g for g, f in zip(given, found))
 
 
