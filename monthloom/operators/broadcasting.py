@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_ROWS = 50_000
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -38,10 +38,13 @@ def one_row_per_month(frame: DataFrame) -> DataFrame:
 
 
 def measured(frame: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint for a dimension table, after counting it.
+    """A dimension table as a local relation with a hint, if it is small.
 
-    Runs one small job, which stops counting just past the limit.  A larger
-    table gets no hint and is joined by shuffle.
+    Runs one job that stops just past the limit.  A table within it is kept as
+    rows of the plan, so that it is worked out once however often it is used;
+    a larger one is left as it is, without a hint, and joined by shuffle.
     """
-    seen = frame.limit(max_rows + 1).count()
-    return F.broadcast(frame) if seen <= max_rows else frame
+    rows = frame.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return frame
+    return F.broadcast(frame.sparkSession.createDataFrame(rows, frame.schema))

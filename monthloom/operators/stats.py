@@ -16,7 +16,7 @@ from monthloom.schemas import CORRELATION
 
 # Series per block of the correlation matrix.  A task holds two blocks of
 # (BLOCK x months) doubles, a few megabytes for decades of months.
-BLOCK = 256
+BLOCK = 512
 
 # Relative variance below which the difference of sums has lost too many
 # digits and the pair is worked out again from deviations.

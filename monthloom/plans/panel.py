@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monthloom.functions import parse_mixed_date, series_stem
+from monthloom.operators.broadcasting import measured
 from monthloom.operators.clean import rename_series
 from monthloom.operators.panel import group_means, monthly_mean, union_panels
 from monthloom.operators.windows import yoy_calendar
@@ -59,6 +60,7 @@ def with_inflation(panel: DataFrame) -> DataFrame:
 
 def build_panel(catalog: DataFrame, landed: DataFrame, pages: DataFrame) -> DataFrame:
     """Month-end means of every catalogued series, with inflation added."""
+    catalog = measured(catalog)
     single = catalog_series(landed, catalog).withColumn("weight", F.lit(1).cast("bigint"))
     observations = union_panels(single, paged_observations(pages, catalog))
     named = rename_series(observations, names.PANEL_ALIASES)
