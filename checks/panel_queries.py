@@ -102,8 +102,8 @@ def panel_unpivot(spark, sf_dir):
 @query(
     "pivot_mean",
     sql(
-        "obs",
-        _pivot_sql("obs", "obs_date", tuple(f"{s}_orders" for s in SERIES), SERIES).replace("obs_date,", "obs_date AS date,", 1),
+        "payload",
+        _pivot_sql("payload", "obs_date", tuple(f"{s}_orders" for s in SERIES), SERIES).replace("obs_date,", "obs_date AS date,", 1),
     ),
 )
 def pivot_mean(spark, sf_dir):
@@ -114,19 +114,20 @@ def pivot_mean(spark, sf_dir):
 
 
 def _payload(spark, sf_dir):
+    """Orders in whole dollars, so that totals of means keep their digits."""
     return views.table(spark, sf_dir, "orders").select(
         F.col("o_orderdate").cast("date").alias("date"),
         F.col("o_orderpriority").alias("grp"),
-        views.cents("o_totalprice").alias("value"),
+        F.rint("o_totalprice").alias("value"),
     )
 
 
 @query(
     "pivot_total",
     sql(
-        "obs",
+        "payload",
         "SELECT date, round(sum(value), 4) AS total_orders FROM means GROUP BY date",
-        means="SELECT obs_date AS date, series_id, avg(value) AS value FROM obs GROUP BY ALL",
+        means="SELECT obs_date AS date, series_id, avg(value) AS value FROM payload GROUP BY ALL",
     ),
 )
 def pivot_total(spark, sf_dir):
@@ -137,9 +138,9 @@ def pivot_total(spark, sf_dir):
 @query(
     "group_series",
     sql(
-        "obs",
+        "payload",
         """SELECT concat(series_id, '_orders') AS series_id, obs_date AS date, round(avg(value), 4) AS value
-           FROM obs GROUP BY ALL""",
+           FROM payload GROUP BY ALL""",
     ),
 )
 def group_series(spark, sf_dir):

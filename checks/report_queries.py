@@ -135,11 +135,14 @@ REGION_STATES = {state: region for region, states in names.FUEL_REGION_STATES.it
     "report_gas",
     sql(
         "economy",
-        f"""SELECT region, state, month_end, round(price, 4) AS price, yoy, concat(' ', CAST(yoy AS VARCHAR), '%')
-                   AS change_card, printf('%s: $%.2f', region, price) AS marker_text
-            FROM (SELECT region, max(month_end) AS month_end, arg_max(value, month_end) AS price,
-                         round_even(arg_max(yoy, month_end), 2) AS yoy
-                  FROM shown JOIN (VALUES {values(names.FUEL_REGIONS)}) f(region, series_id) USING (series_id)
+        f"""SELECT region, state, month_end, round(price, 4) AS price, yoy,
+                   concat(' ', CASE WHEN month_end IS NULL THEN '0' ELSE coalesce(CAST(yoy AS VARCHAR), 'nan') END, '%')
+                   AS change_card,
+                   printf('%s: $%.2f', region, round_even(price, 2)) AS marker_text
+            FROM (SELECT region, max(month_end) AS month_end, coalesce(arg_max(value, month_end), 0) AS price,
+                         CASE WHEN max(month_end) IS NULL THEN 0 ELSE round_even(arg_max_null(yoy, month_end), 2) END
+                         AS yoy
+                  FROM (VALUES {values(names.FUEL_REGIONS)}) f(region, series_id) LEFT JOIN shown USING (series_id)
                   GROUP BY region)
                  JOIN (VALUES {values(REGION_STATES)}) s(state, region) USING (region)""",
         **FUEL,
@@ -173,10 +176,15 @@ def report_gas_history(spark, sf_dir):
     "report_gas_national",
     sql(
         "economy",
-        f"""SELECT month_end, price, yoy, concat(' $', CAST(price AS VARCHAR)) AS price_card,
-                   concat(' ', CAST(yoy AS VARCHAR), '%') AS change_card, printf('USA Avg: $%.2f', price) AS marker_text
-            FROM (SELECT month_end, round_even(value, 2) AS price, round_even(yoy, 2) AS yoy FROM shown
-                  WHERE series_id = '{names.FUEL_NATIONAL}' ORDER BY month_end DESC LIMIT 1)""",
+        f"""SELECT month_end, price, yoy,
+                   concat(' $', CASE WHEN month_end IS NULL THEN '0' ELSE CAST(price AS VARCHAR) END) AS price_card,
+                   concat(' ', CASE WHEN month_end IS NULL THEN '0' ELSE coalesce(CAST(yoy AS VARCHAR), 'nan') END, '%')
+                   AS change_card,
+                   printf('USA Avg: $%.2f', price) AS marker_text
+            FROM (SELECT max(month_end) AS month_end, coalesce(round_even(arg_max(value, month_end), 2), 0) AS price,
+                         CASE WHEN max(month_end) IS NULL THEN 0 ELSE round_even(arg_max_null(yoy, month_end), 2) END
+                         AS yoy
+                  FROM shown WHERE series_id = '{names.FUEL_NATIONAL}')""",
         **FUEL,
     ),
 )

@@ -18,7 +18,7 @@ from monthloom.plans.panel import with_inflation
 PAGE_ROWS = 500
 PAYLOADS = 7
 
-# Every series the reports read, except the one derived from another.
+# Every series the reports read, except the price index and its change.
 REPORT_SERIES = tuple(
     s
     for s in dict.fromkeys(
@@ -36,7 +36,7 @@ REPORT_SERIES = tuple(
             *names.OIL_EXPORT_LINES,
         )
     )
-    if s != names.INFLATION
+    if s not in (names.INFLATION, names.CPI)
 )
 TICKERS = tuple(names.TICKER_LABELS)
 
@@ -150,9 +150,14 @@ def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def economy_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line prices dealt out to the series that the reports read."""
+    """Line prices dealt out to the series that the reports read.
+
+    The price index takes in every line on top, so that one series holds half
+    of all observations.
+    """
+    own = _pick(REPORT_SERIES, "l_partkey")
     return table(spark, sf_dir, "lineitem").select(
-        _pick(REPORT_SERIES, "l_partkey").alias("series_id"),
+        F.explode(F.array(own, F.lit(names.CPI))).alias("series_id"),
         F.col("l_shipdate").cast("date").alias("obs_date"),
         cents("l_extendedprice").alias("value"),
     )
@@ -241,6 +246,10 @@ VIEWS: dict[str, str] = {
         SELECT lower(replace(o_orderpriority, ' ', '')) AS series_id, CAST(o_orderdate AS DATE) AS obs_date,
                round(o_totalprice * 100) AS value, o_orderkey AS obs_id
         FROM orders""",
+    "payload": """
+        SELECT lower(replace(o_orderpriority, ' ', '')) AS series_id, CAST(o_orderdate AS DATE) AS obs_date,
+               round_even(o_totalprice, 0) AS value
+        FROM orders""",
     "obs_sparse": """
         SELECT concat(CAST(c_nationkey AS VARCHAR), '_', left(o_orderpriority, 1)) AS series_id,
                CAST(o_orderdate AS DATE) AS obs_date, round(o_totalprice * 100) AS value
@@ -294,7 +303,9 @@ VIEWS: dict[str, str] = {
     "economy_base": f"""
         SELECT {_pick_sql(REPORT_SERIES, 'l_partkey')} AS series_id, last_day(CAST(l_shipdate AS DATE)) AS month_end,
                avg(round(l_extendedprice * 100)) AS value
-        FROM lineitem GROUP BY ALL""",
+        FROM lineitem GROUP BY ALL
+        UNION ALL
+        SELECT '{names.CPI}', month_end, value FROM price_index""",
     "economy": """
         SELECT series_id, month_end, value FROM economy_base
         UNION ALL
@@ -309,6 +320,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "monthly_sparse": ("obs_sparse",),
     "monthly_region": ("obs_region",),
     "catalog": ("records",),
+    "economy_base": ("price_index",),
     "economy": ("economy_base",),
 }
 

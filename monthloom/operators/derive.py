@@ -90,7 +90,8 @@ def with_cards(latest: DataFrame) -> DataFrame:
         {
             "price_card": F.concat(F.lit(" $"), price),
             "change_card": F.concat(F.lit(" "), change, F.lit("%")),
-            "marker_text": F.format_string("%s: $%.2f", F.col("region"), F.col("price")),
+            # Formatting alone would round a tie up; rounding first makes it even.
+            "marker_text": F.format_string("%s: $%.2f", F.col("region"), half_even(F.col("price"))),
         }
     )
 
