@@ -171,6 +171,19 @@ def cast_rejects(spark, sf_dir):
     return clean.count_rejects(_text_values(spark, sf_dir))
 
 
+@query(
+    "date_audit",
+    sql(
+        "obs",
+        """SELECT series_id, CAST(sum(n) AS BIGINT) AS rows, count(*) AS dates,
+                  count(*) FILTER (WHERE n > 1) AS repeated_dates
+           FROM (SELECT series_id, obs_date, count(*) AS n FROM obs GROUP BY ALL) GROUP BY series_id""",
+    ),
+)
+def date_audit(spark, sf_dir):
+    return clean.audit_dates(views.obs(spark, sf_dir))
+
+
 @query(
     "parse_dates",
     sql(

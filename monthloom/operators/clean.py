@@ -36,6 +36,20 @@ def count_rejects(rows: DataFrame, column: str = "value", by: str = "series_id")
     )
 
 
+def audit_dates(obs: DataFrame) -> DataFrame:
+    """Per series: rows, distinct dates, and dates that have several rows.
+
+    Counted per date first, so that a series of any size is spread over its
+    dates.
+    """
+    per_date = obs.groupBy("series_id", "obs_date").agg(F.count(F.lit(1)).alias("n"))
+    return per_date.groupBy("series_id").agg(
+        F.sum("n").alias("rows"),
+        F.count(F.lit(1)).alias("dates"),
+        F.count(F.when(F.col("n") > 1, F.lit(1))).alias("repeated_dates"),
+    )
+
+
 def parse_dates(rows: DataFrame, column: str, into: str = "obs_date", strict: bool = True) -> DataFrame:
     return rows.withColumn(into, parse_mixed_date(F.col(column), strict))
 

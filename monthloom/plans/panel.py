@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from monthloom.sources.pages import catalog_records
 from monthloom.sources.series import catalog_series
 
 
-def paged_observations(pages: DataFrame, catalog: DataFrame) -> DataFrame:
+def paged_observations(pages: DataFrame, catalog: DataFrame, not_in_totals: Sequence[str] = ()) -> DataFrame:
     """Observations of the paged source, one series per payload or group.
 
     A grouped payload gives a mean per date and group, and the total of these
@@ -37,6 +39,8 @@ def paged_observations(pages: DataFrame, catalog: DataFrame) -> DataFrame:
         F.lit(1).cast("bigint").alias("weight"),
     )
     has_total = grouped & (suffix != names.SUFFIX_WITHOUT_TOTAL)
+    if not_in_totals:
+        has_total = has_total & ~F.col("grp").isin(*not_in_totals)
     goes_to = F.when(has_total, F.array(own, total)).otherwise(F.array(own))
     rows = means.select("date", "value", F.explode(goes_to).alias("to")).select("date", "value", "to.*")
     summed = rows.groupBy("series_id", "grp", "date").agg(
@@ -58,10 +62,12 @@ def with_inflation(panel: DataFrame) -> DataFrame:
     return changed.select("row.series_id", "month_end", "row.value")
 
 
-def build_panel(catalog: DataFrame, landed: DataFrame, pages: DataFrame) -> DataFrame:
+def build_panel(
+    catalog: DataFrame, landed: DataFrame, pages: DataFrame, not_in_totals: Sequence[str] = ()
+) -> DataFrame:
     """Month-end means of every catalogued series, with inflation added."""
     catalog = measured(catalog)
     single = catalog_series(landed, catalog).withColumn("weight", F.lit(1).cast("bigint"))
-    observations = union_panels(single, paged_observations(pages, catalog))
+    observations = union_panels(single, paged_observations(pages, catalog, not_in_totals))
     named = rename_series(observations, names.PANEL_ALIASES)
     return with_inflation(monthly_mean(named, weight="weight"))

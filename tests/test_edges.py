@@ -161,6 +161,11 @@ def test_text_values_strict_and_lenient(spark):
     assert clean.count_rejects(bad).first()["rejected"] == 1
 
 
+def test_repeated_dates_are_counted(spark):
+    rows = observations(spark, [("a", "2024-01-05", 1), ("a", "2024-01-05", 2), ("a", "2024-01-06", 3)])
+    assert by_key(clean.audit_dates(rows), "series_id") == {"a": (3, 2, 1)}
+
+
 def test_mixed_dates(spark):
     text = spark.createDataFrame([("2024-01",), ("2024-01-05",), ("2024",), (None,)], "t STRING")
     assert [r[0] for r in text.select(parse_mixed_date(F.col("t"))).collect()] == [

@@ -126,6 +126,14 @@ def test_panel_from_files(spark, landing):
     assert len(found) == 14 + 14 + 9
 
 
+def test_groups_left_out_of_totals(spark, landing):
+    rows = plans.panel.paged_observations(
+        read_pages(spark, str(landing / "pages")), read_catalog(spark, str(landing / "catalog.csv")), ["PADD 1"]
+    )
+    totals = by_key(rows.where("series_id = 'total_crude_oil_prod'").select("obs_date", "value"), "obs_date")
+    assert totals == {day("2024-01-01"): 5.0, day("2024-02-01"): 7.0}
+
+
 def test_bad_number_text_fails(spark, landing):
     write_page(landing / "pages", "link-a", 1, "3", [{"period": "2024-03", "value": "n/a"}])
     with pytest.raises(Exception, match="not a double: n/a"):
@@ -158,6 +166,7 @@ def test_panel_on_disk(spark, landing, tmp_path):
     write_panel(panel, path)
     assert {p.name for p in (tmp_path / "panel").iterdir() if p.is_dir()} == {"year=2023", "year=2024"}
     assert by_key(read_panel(spark, path), "series_id", "month_end") == by_key(panel, "series_id", "month_end")
+    assert [r["value"] for r in read_panel(spark, path, 2024, 2024).collect()] == [2.0]
 
 
 ALL_SERIES = dict.fromkeys(
