@@ -33,7 +33,7 @@ def build(spark: SparkSession, options: argparse.Namespace) -> None:
 
 def outputs_of(
     report: str, panel: DataFrame, options: argparse.Namespace, quotes: Callable[[], DataFrame]
-) -> dict[str, DataFrame]:
+) -> plans.Outputs:
     if report == "recent":
         return plans.recent_report(panel)
     if report == "correlation":

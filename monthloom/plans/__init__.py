@@ -5,6 +5,7 @@ all of them lazy.  The order of steps in a report is part of its meaning: an
 epoch is cut before changes are taken, a user's date range after.
 """
 
+from monthloom.plans.common import Outputs
 from monthloom.plans.correlation import correlation_report, pair_detail
 from monthloom.plans.employment import employment_report
 from monthloom.plans.fuel import fuel_report
@@ -15,6 +16,7 @@ from monthloom.plans.price import price_report
 from monthloom.plans.recent import recent_report
 
 __all__ = [
+    "Outputs",
     "build_panel",
     "correlation_report",
     "employment_report",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,29 @@ from monthloom.operators.filters import keep_series
 from monthloom.operators.stats import correlation_matrix, measure_bounds
 
 
+class Outputs(Mapping[str, DataFrame]):
+    """A report's output frames by name, each planned when it is asked for.
+
+    Spark analyses a frame at every step that builds it, so a caller who wants
+    one output should not wait for the plans of all.
+    """
+
+    def __init__(self, **recipes: Callable[[], DataFrame]):
+        self._recipes = recipes
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._recipes[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._recipes)
+
+    def __len__(self) -> int:
+        return len(self._recipes)
+
+
 def figures(panel: DataFrame, by_name: Mapping[str, str]) -> DataFrame:
     """Level and change of each figure's series, all figures in one frame.
 

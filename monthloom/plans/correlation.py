@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from monthloom.operators.clean import select_renamed
@@ -10,6 +12,7 @@ from monthloom.operators.panel import inner_panels, monthly_last
 from monthloom.operators.stats import correlation_matrix, ols_fit, ols_trendline, symmetric_range
 from monthloom.operators.windows import YEAR, align_pairs, rolling_beta, rolling_corr
 from monthloom.plans import names
+from monthloom.plans.common import Outputs
 
 VARIABLES = (*names.TICKER_LABELS.values(), *names.MACRO_VARIABLES.values())
 
@@ -24,22 +27,28 @@ def correlation_frame(panel: DataFrame, quotes: DataFrame) -> DataFrame:
     return inner_panels(markets, economy)
 
 
-def pair_detail(shown: DataFrame, x: str, y: str, window: int = YEAR) -> dict[str, DataFrame]:
+def pair_detail(shown: DataFrame, x: str, y: str, window: int = YEAR) -> dict[str, Callable[[], DataFrame]]:
     """Rolling measures, fitted line and aligned values of two variables.
 
     ``shown`` is already cut to the date range, so the rolling measures of the
     range's first months are missing.
     """
-    aligned = align_pairs(shown, [(x, y)])
-    rolling = rolling_beta(rolling_corr(aligned, window), window)
     keys = ("var_a", "var_b")
+
+    def aligned() -> DataFrame:
+        return align_pairs(shown, [(x, y)])
+
+    def rolling() -> DataFrame:
+        both = rolling_beta(rolling_corr(aligned(), window), window)
+        return both.select(*keys, "month_end", "rolling_corr", "rolling_beta")
+
     return {
         "pair": aligned,
-        "pair_rolling": rolling.select(*keys, "month_end", "rolling_corr", "rolling_beta"),
-        "pair_corr_range": symmetric_range(rolling, "rolling_corr", *keys),
-        "pair_beta_range": symmetric_range(rolling, "rolling_beta", *keys),
-        "pair_fit": ols_fit(aligned),
-        "pair_trendline": ols_trendline(aligned),
+        "pair_rolling": rolling,
+        "pair_corr_range": lambda: symmetric_range(rolling(), "rolling_corr", *keys),
+        "pair_beta_range": lambda: symmetric_range(rolling(), "rolling_beta", *keys),
+        "pair_fit": lambda: ols_fit(aligned()),
+        "pair_trendline": lambda: ols_trendline(aligned()),
     }
 
 
@@ -50,9 +59,10 @@ def correlation_report(
     end: Day = None,
     pair: tuple[str, str] | None = None,
     window: int = YEAR,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     shown = date_range(correlation_frame(panel, quotes), start, end)
-    outputs = {"correlation": correlation_matrix(shown, VARIABLES), "date_bounds": date_bounds(shown)}
-    if pair is not None:
-        outputs.update(pair_detail(shown, *pair, window=window))
-    return outputs
+    return Outputs(
+        correlation=lambda: correlation_matrix(shown, VARIABLES),
+        date_bounds=lambda: date_bounds(shown),
+        **(pair_detail(shown, *pair, window=window) if pair else {}),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from monthloom.operators.filters import Day, date_range, keep_series
 from monthloom.operators.windows import yoy_after_epoch
 from monthloom.plans import names
-from monthloom.plans.common import change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, change_bounds, correlations, figures
 
 SERIES = names.EMPLOYEE_SERIES + names.LABOUR_RATE_SERIES
 FIGURES = {series: series for series in SERIES}
@@ -19,10 +19,10 @@ def employment_frame(panel: DataFrame, epoch: Day = names.EMPLOYMENT_EPOCH) -> D
 
 def employment_report(
     panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.EMPLOYMENT_EPOCH
-) -> dict[str, DataFrame]:
+) -> Outputs:
     shown = date_range(employment_frame(panel, epoch), start, end)
-    return {
-        "figures": figures(shown, FIGURES),
-        "change_bounds": change_bounds(shown, SERIES),
-        "correlation": correlations(shown, names.EMPLOYMENT_VARIABLES),
-    }
+    return Outputs(
+        figures=lambda: figures(shown, FIGURES),
+        change_bounds=lambda: change_bounds(shown, SERIES),
+        correlation=lambda: correlations(shown, names.EMPLOYMENT_VARIABLES),
+    )

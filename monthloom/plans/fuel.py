@@ -11,7 +11,7 @@ from monthloom.operators.filters import Day, date_range
 from monthloom.operators.panel import complete_cases
 from monthloom.operators.windows import yoy_rows
 from monthloom.plans import names
-from monthloom.plans.common import region_dimension
+from monthloom.plans.common import Outputs, region_dimension
 
 
 def fuel_frame(panel: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def national_card(shown: DataFrame) -> DataFrame:
     return with_cards(latest_region(shown, nation).withColumn("price", half_even(F.col("price"))))
 
 
-def fuel_report(panel: DataFrame, start: Day = None, end: Day = None) -> dict[str, DataFrame]:
+def fuel_report(panel: DataFrame, start: Day = None, end: Day = None) -> Outputs:
     shown = date_range(fuel_frame(panel), start, end)
-    return {
-        "latest_by_state": latest_by_state(shown),
-        "national_card": national_card(shown),
-        "region_history": drill(shown, "region"),
-        "national_history": drill(shown, "national"),
-    }
+    return Outputs(
+        latest_by_state=lambda: latest_by_state(shown),
+        national_card=lambda: national_card(shown),
+        region_history=lambda: drill(shown, "region"),
+        national_history=lambda: drill(shown, "national"),
+    )

@@ -14,7 +14,7 @@ from monthloom.operators.filters import Day, date_range, keep_series, since
 from monthloom.operators.panel import complete_months, on_months
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
-from monthloom.plans.common import change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, change_bounds, correlations, figures
 
 LABELS = {**names.OUTPUT_LABELS, **names.ORDERS_LABELS, **names.HOUSING_LABELS}
 TOTALS = {
@@ -59,19 +59,19 @@ def industrial_report(
     outputs: Iterable[str] = tuple(names.OUTPUT_LABELS),
     orders: Iterable[str] = tuple(names.ORDERS_LABELS),
     housing: Iterable[str] = tuple(names.HOUSING_LABELS),
-) -> dict[str, DataFrame]:
+) -> Outputs:
     shown = date_range(industrial_frame(panel, epoch, base_month, mode), start, end)
     output = complete_output(shown)
-    return {
-        "figures": figures(shown, TOTALS),
-        "output_total": figures(output, {"output_total": names.OUTPUT_TOTAL}),
-        "output_by_category": _by_category(output, outputs),
-        "orders_by_category": _by_category(shown, orders),
-        "housing_by_region": _by_category(shown, housing),
-        "change_bounds": change_bounds(shown, TOTALS.values()).unionByName(
+    return Outputs(
+        figures=lambda: figures(shown, TOTALS),
+        output_total=lambda: figures(output, {"output_total": names.OUTPUT_TOTAL}),
+        output_by_category=lambda: _by_category(output, outputs),
+        orders_by_category=lambda: _by_category(shown, orders),
+        housing_by_region=lambda: _by_category(shown, housing),
+        change_bounds=lambda: change_bounds(shown, TOTALS.values()).unionByName(
             change_bounds(output, [names.OUTPUT_TOTAL])
         ),
-        "correlation": correlations(
+        correlation=lambda: correlations(
             shown, names.INDUSTRIAL_LEVEL_VARIABLES, names.INDUSTRIAL_CHANGE_VARIABLES
         ),
-    }
+    )

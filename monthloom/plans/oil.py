@@ -10,7 +10,7 @@ from monthloom.operators.filters import Day, date_range, keep_series, latest_val
 from monthloom.operators.panel import complete_cases
 from monthloom.operators.windows import yoy_rows
 from monthloom.plans import names
-from monthloom.plans.common import change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, change_bounds, correlations, figures
 
 
 def oil_frame(panel: DataFrame) -> DataFrame:
@@ -25,11 +25,11 @@ def latest_by_region(shown: DataFrame) -> DataFrame:
     return with_labels(last, labels).selectExpr("label AS area", "value AS production")
 
 
-def oil_report(panel: DataFrame, start: Day = None, end: Day = None) -> dict[str, DataFrame]:
+def oil_report(panel: DataFrame, start: Day = None, end: Day = None) -> Outputs:
     shown = date_range(oil_frame(panel), start, end)
-    return {
-        "figures": figures(shown, names.OIL_FIGURES),
-        "change_bounds": change_bounds(shown, names.OIL_FIGURES.values()),
-        "latest_by_region": latest_by_region(shown),
-        "correlation": correlations(shown, names.OIL_LEVEL_VARIABLES, names.OIL_CHANGE_VARIABLES),
-    }
+    return Outputs(
+        figures=lambda: figures(shown, names.OIL_FIGURES),
+        change_bounds=lambda: change_bounds(shown, names.OIL_FIGURES.values()),
+        latest_by_region=lambda: latest_by_region(shown),
+        correlation=lambda: correlations(shown, names.OIL_LEVEL_VARIABLES, names.OIL_CHANGE_VARIABLES),
+    )

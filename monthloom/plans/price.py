@@ -8,7 +8,7 @@ from monthloom.operators.derive import convert_units
 from monthloom.operators.filters import Day, date_range, keep_series, since
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
-from monthloom.plans.common import change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, change_bounds, correlations, figures
 
 SERIES = (*names.CPI_SERIES, names.INFLATION, *names.PRICE_SERIES)
 FIGURES = {series: series for series in names.PRICE_FIGURES + names.CPI_FIGURES}
@@ -24,13 +24,11 @@ def price_frame(panel: DataFrame, epoch: Day = names.PRICE_EPOCH) -> DataFrame:
     return yoy_calendar(convert_units(chosen, names.PRICES_IN_CENTS))
 
 
-def price_report(
-    panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.PRICE_EPOCH
-) -> dict[str, DataFrame]:
+def price_report(panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.PRICE_EPOCH) -> Outputs:
     shown = date_range(price_frame(panel, epoch), start, end)
-    return {
-        "inflation": keep_series(shown, [names.INFLATION]).select("month_end", "value"),
-        "figures": figures(shown, FIGURES),
-        "change_bounds": change_bounds(shown, FIGURES),
-        "correlation": correlations(shown, names.PRICE_VARIABLES),
-    }
+    return Outputs(
+        inflation=lambda: keep_series(shown, [names.INFLATION]).select("month_end", "value"),
+        figures=lambda: figures(shown, FIGURES),
+        change_bounds=lambda: change_bounds(shown, FIGURES),
+        correlation=lambda: correlations(shown, names.PRICE_VARIABLES),
+    )

@@ -11,7 +11,7 @@ from monthloom.operators.panel import last_months
 from monthloom.operators.stats import rounded
 from monthloom.operators.windows import segment_midpoints, yoy_calendar
 from monthloom.plans import names
-from monthloom.plans.common import correlations
+from monthloom.plans.common import Outputs, correlations
 
 
 def change_segments(panel: DataFrame, series: str = names.OIL_TOTAL, months: int = names.RECENT_MONTHS) -> DataFrame:
@@ -36,14 +36,14 @@ def recent_report(
     panel: DataFrame,
     epoch: Day = names.RECENT_EPOCH,
     correlation_epoch: Day = names.RECENT_CORRELATION_EPOCH,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     recent = since(panel, epoch)
-    return {
-        "correlation": rounded(correlations(panel, names.CORE_VARIABLES)),
-        "recent_correlation": correlations(since(panel, correlation_epoch), names.CORE_VARIABLES),
-        "spending_and_staff": keep_series(recent, names.SPENDING_AND_STAFF),
-        "oil_production": keep_series(recent, names.OIL_PRODUCTION_LINES),
-        "oil_exports": keep_series(recent, names.OIL_EXPORT_LINES),
-        "oil_change_segments": change_segments(panel),
-    }
-
+    late = since(panel, correlation_epoch)
+    return Outputs(
+        correlation=lambda: rounded(correlations(panel, names.CORE_VARIABLES)),
+        recent_correlation=lambda: correlations(late, names.CORE_VARIABLES),
+        spending_and_staff=lambda: keep_series(recent, names.SPENDING_AND_STAFF),
+        oil_production=lambda: keep_series(recent, names.OIL_PRODUCTION_LINES),
+        oil_exports=lambda: keep_series(recent, names.OIL_EXPORT_LINES),
+        oil_change_segments=lambda: change_segments(panel),
+    )
