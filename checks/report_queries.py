@@ -120,6 +120,27 @@ def report_oil_correlation(spark, sf_dir):
     return matrix(_oil(spark, sf_dir)["correlation"])
 
 
+@query(
+    "report_date_bounds",
+    sql(
+        "economy",
+        f"""SELECT 'oil' AS report, min(month_end) AS first_date, max(month_end) AS last_date FROM changed
+            UNION ALL
+            SELECT 'employment', min(month_end), max(month_end) FROM economy
+            WHERE month_end >= DATE '{EPOCH}'
+                  AND series_id IN ({sql_list(names.EMPLOYEE_SERIES + names.LABOUR_RATE_SERIES)})""",
+        changed=OIL["changed"],
+    ),
+)
+def report_date_bounds(spark, sf_dir):
+    """The dates a reader can choose from, whatever range is shown."""
+    parts = [
+        outputs["date_bounds"].select(F.lit(name).alias("report"), "first_date", "last_date")
+        for name, outputs in (("oil", _oil(spark, sf_dir)), ("employment", _employment(spark, sf_dir)))
+    ]
+    return parts[0].union(parts[1])
+
+
 # --- fuel ----------------------------------------------------------------------
 
 

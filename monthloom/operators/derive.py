@@ -38,9 +38,12 @@ def cpi_rebase(
 ) -> DataFrame:
     """Scale series by a monthly price index relative to a base month.
 
-    Series not named keep their values.  ``index`` has one row per month.
+    Series not named keep their values.  ``index`` has one row per month; a
+    month with several fails the job rather than repeat the panel's rows.
     """
-    by_month = index.select("month_end", F.col("value").alias("_index"))
+    problem = F.raise_error(F.lit("a month has several index values")).cast("double")
+    only = F.when(F.count(F.lit(1)) == 1, F.max("value")).otherwise(problem)
+    by_month = index.groupBy("month_end").agg(only.alias("_index"))
     scaled = rebase(F.col("value"), F.col("_index"), index_at(index, base_month), mode)
     if series is not None:
         scaled = F.when(F.col("series_id").isin(*series), scaled).otherwise(F.col("value"))

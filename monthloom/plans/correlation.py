@@ -60,9 +60,10 @@ def correlation_report(
     pair: tuple[str, str] | None = None,
     window: int = YEAR,
 ) -> Outputs:
-    shown = date_range(correlation_frame(panel, quotes), start, end)
+    frame = correlation_frame(panel, quotes)
+    shown = date_range(frame, start, end)
     return Outputs(
+        date_bounds=lambda: date_bounds(frame),
         correlation=lambda: correlation_matrix(shown, VARIABLES),
-        date_bounds=lambda: date_bounds(shown),
         **(pair_detail(shown, *pair, window=window) if pair else {}),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from monthloom.operators.filters import Day, date_range, keep_series
+from monthloom.operators.filters import Day, date_bounds, date_range, keep_series
 from monthloom.operators.windows import yoy_after_epoch
 from monthloom.plans import names
 from monthloom.plans.common import Outputs, change_bounds, correlations, figures
@@ -20,8 +20,10 @@ def employment_frame(panel: DataFrame, epoch: Day = names.EMPLOYMENT_EPOCH) -> D
 def employment_report(
     panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.EMPLOYMENT_EPOCH
 ) -> Outputs:
-    shown = date_range(employment_frame(panel, epoch), start, end)
+    frame = employment_frame(panel, epoch)
+    shown = date_range(frame, start, end)
     return Outputs(
+        date_bounds=lambda: date_bounds(frame),
         figures=lambda: figures(shown, FIGURES),
         change_bounds=lambda: change_bounds(shown, SERIES),
         correlation=lambda: correlations(shown, names.EMPLOYMENT_VARIABLES),

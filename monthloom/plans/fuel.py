@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions import half_even
 from monthloom.operators.derive import drill_series, latest_region, region_rollout, region_states, with_cards
-from monthloom.operators.filters import Day, date_range
+from monthloom.operators.filters import Day, date_bounds, date_range
 from monthloom.operators.panel import complete_cases
 from monthloom.operators.windows import yoy_rows
 from monthloom.plans import names
@@ -37,8 +37,10 @@ def national_card(shown: DataFrame) -> DataFrame:
 
 
 def fuel_report(panel: DataFrame, start: Day = None, end: Day = None) -> Outputs:
-    shown = date_range(fuel_frame(panel), start, end)
+    frame = fuel_frame(panel)
+    shown = date_range(frame, start, end)
     return Outputs(
+        date_bounds=lambda: date_bounds(frame),
         latest_by_state=lambda: latest_by_state(shown),
         national_card=lambda: national_card(shown),
         region_history=lambda: drill(shown, "region"),

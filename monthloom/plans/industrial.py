@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from monthloom.operators.broadcasting import literal_rows
 from monthloom.operators.clean import with_labels
 from monthloom.operators.derive import cpi_rebase, one_series
-from monthloom.operators.filters import Day, date_range, keep_series, since
+from monthloom.operators.filters import Day, date_bounds, date_range, keep_series, since
 from monthloom.operators.panel import complete_months, on_months
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
@@ -60,9 +60,11 @@ def industrial_report(
     orders: Iterable[str] = tuple(names.ORDERS_LABELS),
     housing: Iterable[str] = tuple(names.HOUSING_LABELS),
 ) -> Outputs:
-    shown = date_range(industrial_frame(panel, epoch, base_month, mode), start, end)
+    frame = industrial_frame(panel, epoch, base_month, mode)
+    shown = date_range(frame, start, end)
     output = complete_output(shown)
     return Outputs(
+        date_bounds=lambda: date_bounds(frame),
         figures=lambda: figures(shown, TOTALS),
         output_total=lambda: figures(output, {"output_total": names.OUTPUT_TOTAL}),
         output_by_category=lambda: _by_category(output, outputs),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from monthloom.operators.broadcasting import literal_rows
 from monthloom.operators.clean import with_labels
-from monthloom.operators.filters import Day, date_range, keep_series, latest_values
+from monthloom.operators.filters import Day, date_bounds, date_range, keep_series, latest_values
 from monthloom.operators.panel import complete_cases
 from monthloom.operators.windows import yoy_rows
 from monthloom.plans import names
@@ -26,8 +26,10 @@ def latest_by_region(shown: DataFrame) -> DataFrame:
 
 
 def oil_report(panel: DataFrame, start: Day = None, end: Day = None) -> Outputs:
-    shown = date_range(oil_frame(panel), start, end)
+    frame = oil_frame(panel)
+    shown = date_range(frame, start, end)
     return Outputs(
+        date_bounds=lambda: date_bounds(frame),
         figures=lambda: figures(shown, names.OIL_FIGURES),
         change_bounds=lambda: change_bounds(shown, names.OIL_FIGURES.values()),
         latest_by_region=lambda: latest_by_region(shown),

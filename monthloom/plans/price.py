@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from monthloom.operators.derive import convert_units
-from monthloom.operators.filters import Day, date_range, keep_series, since
+from monthloom.operators.filters import Day, date_bounds, date_range, keep_series, since
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
 from monthloom.plans.common import Outputs, change_bounds, correlations, figures
@@ -25,8 +25,10 @@ def price_frame(panel: DataFrame, epoch: Day = names.PRICE_EPOCH) -> DataFrame:
 
 
 def price_report(panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.PRICE_EPOCH) -> Outputs:
-    shown = date_range(price_frame(panel, epoch), start, end)
+    frame = price_frame(panel, epoch)
+    shown = date_range(frame, start, end)
     return Outputs(
+        date_bounds=lambda: date_bounds(frame),
         inflation=lambda: keep_series(shown, [names.INFLATION]).select("month_end", "value"),
         figures=lambda: figures(shown, FIGURES),
         change_bounds=lambda: change_bounds(shown, FIGURES),

@@ -19,9 +19,8 @@ SETTINGS = {
 def get_session(app_name: str = "monthloom", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session, or reuse the running one.
 
-    ``master`` stays unset on a cluster.  Extra settings use underscores for
-    dots only when given through ``conf`` as a dict expansion, so pass
-    ``**{"spark.sql.shuffle.partitions": "8"}``.
+    ``master`` stays unset on a cluster.  Further settings are given by name,
+    as in ``**{"spark.sql.shuffle.partitions": "8"}``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:

@@ -254,6 +254,13 @@ def test_rebase_needs_its_base_month(spark):
         derive.cpi_rebase(rows, index, "2016-01-31", mode="sideways")
 
 
+def test_rebase_refuses_two_index_values_for_a_month(spark):
+    rows = make_panel(spark, [("a", "2016-02-29", 10)])
+    index = make_panel(spark, [("i", "2016-01-31", 100), ("i", "2016-02-29", 110), ("j", "2016-02-29", 120)])
+    with pytest.raises(Exception, match="several index values"):
+        derive.cpi_rebase(rows, index, "2016-01-31").collect()
+
+
 def test_rebase_of_some_series_leaves_the_rest(spark):
     rows = make_panel(spark, [("a", "2016-02-29", 10), ("b", "2016-02-29", 10)])
     index = make_panel(spark, [("i", "2016-01-31", 100), ("i", "2016-02-29", 110)])
