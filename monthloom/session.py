@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from monthloom.shipping import ship_package
+
 # ANSI keeps text casts strict, UTC keeps dates free of the machine's zone, and
 # AQE picks shuffle widths, splits skewed join partitions and turns joins with
 # a small side into broadcasts from measured sizes.
@@ -17,7 +19,7 @@ SETTINGS = {
 
 
 def get_session(app_name: str = "monthloom", master: str | None = None, **conf: str) -> SparkSession:
-    """Build a session, or reuse the running one.
+    """Build a session, or reuse the running one, and give its executors this package.
 
     ``master`` stays unset on a cluster.  Further settings are given by name,
     as in ``**{"spark.sql.shuffle.partitions": "8"}``.
@@ -27,4 +29,4 @@ def get_session(app_name: str = "monthloom", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
