@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from monthloom.llm import packing
+from monthloom.llm import packing, simhash
 from monthloom.llm.common import table, written
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints are linked by three bits or fewer."""
+    return simhash.one_of_each_class(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as pieces of at most 1,024 ids, placed in sequences."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [("SimHash near-dedup", simhash_near_dedup), ("best-fit packing", best_fit_packing)]
 
 #: Subword ids, learned scores and byte-wise repeats have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
