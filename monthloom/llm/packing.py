@@ -34,7 +34,7 @@ def cut_documents(docs: DataFrame, vocabulary: tuple = tokens.BYTE_BPE, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = tokens.encoder(*vocabulary), np.array([end_id], "<u4")
         for whole in batches:
-            for batch in batches_of(whole, "text", 16 << 20):
+            for batch in batches_of(whole, "text", 8 << 20):
                 ids, begins = coder.encode(batch["text"])
                 n = np.diff(begins) + 1
                 ends = np.cumsum(n)

@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: tuple = tokens.WOR
         shard, block, first, held, docs_, bodies = TaskContext.get().partitionId(), 0, 0, 0, [], []
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for batch in batches_of(whole, "text", 16 << 20):
+            for batch in batches_of(whole, "text", 8 << 20):
                 ids, begins = coder.encode(batch["text"])
                 for i, doc in enumerate(batch["doc_id"].to_pylist()):
                     body = np.concatenate([ids[begins[i] : begins[i + 1]], end])
