@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from monthloom.llm import packing, simhash
+from monthloom.llm import packing, simhash, suffix_dedup
 from monthloom.llm.common import table, written
 
 
@@ -13,12 +13,17 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.one_of_each_class(docs)
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 bytes and more that an earlier one holds."""
+    return suffix_dedup.texts_without_repeats(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as pieces of at most 1,024 ids, placed in sequences."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("SimHash near-dedup", simhash_near_dedup), ("best-fit packing", best_fit_packing)]
+STAGES = [("SimHash near-dedup", simhash_near_dedup), ("suffix-array dedup", suffix_array_dedup), ("best-fit packing", best_fit_packing)]
 
 #: Subword ids, learned scores and byte-wise repeats have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A white-space separated word; fixed by the contracts.
@@ -38,7 +39,7 @@ def written(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 def batches_of(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts hold about ``max_bytes``; a longer text makes a slice of its own."""
-    ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(batch[column]).cast("int64"), 0)).to_numpy()
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch[column]).cast("int64"), 0)).to_numpy()
     begin = 0
     while begin < len(batch):
         before = int(ends[begin - 1]) if begin else 0

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, token_files
+from . import packing, simhash, suffix_dedup, token_files
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op10_packing": packing.op10_packing,
 }
