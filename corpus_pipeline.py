@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from monthloom.llm import packing, simhash, suffix_dedup
+from monthloom.llm import packing, simhash, suffix_dedup, toxicity
 from monthloom.llm.common import table, written
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the models learned from the labels find ordinary."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints are linked by three bits or fewer."""
     return simhash.one_of_each_class(docs)
@@ -23,7 +28,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed_documents(docs)
 
 
-STAGES = [("SimHash near-dedup", simhash_near_dedup), ("suffix-array dedup", suffix_array_dedup), ("best-fit packing", best_fit_packing)]
+STAGES = [("toxicity", toxicity_filter), ("SimHash near-dedup", simhash_near_dedup), ("suffix-array dedup", suffix_array_dedup), ("best-fit packing", best_fit_packing)]
 
 #: Subword ids, learned scores and byte-wise repeats have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

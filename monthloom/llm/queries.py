@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, suffix_dedup, token_files
+from . import packing, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_token_files": token_files.op3_token_files,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
