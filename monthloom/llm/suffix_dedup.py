@@ -139,6 +139,8 @@ def _unpacked(body: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
 _ROWS = "part int, kind int, n int, docs int, owners binary, body binary"
 _ROWS_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("docs", pa.int32()), ("owners", pa.binary()), ("body", pa.binary())])
 _KINDS = ["<u4", "<u8", "<u4", "u1"]
+#: A stretch: its first window, and how many follow that one.
+SPAN = np.dtype([("start", "<u4"), ("more", "u1")])
 
 
 def _dealt(parts: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +150,14 @@ def _dealt(parts: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     it repeats (kind 1).  So a part gets each distinct stretch of a batch from
     one document only, however common it is.
     """
-    once = held[0][0] is held[0][1]
-    q, u, doc, row, start, more = (np.concatenate(c) for c in zip(*held))
+    once = held[0][1] is held[0][2]
+    part, q, u, doc, row, start, more = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((doc, u, q))
     new = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (u[order][1:] != u[order][:-1])])
     smallest = np.empty(len(doc), doc.dtype)
     smallest[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
     settled = doc > smallest
-    part = ((q >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    part = part.astype(np.int64)
     part[settled] = -1
     order = np.argsort(part, kind="stable")  # by part, then as they stand in the texts
     cuts = np.flatnonzero(np.diff(part[order], prepend=-2, append=-2))
@@ -166,14 +168,14 @@ def _dealt(parts: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         counts = np.diff(np.append(run, len(some))).astype("<u4")
         kind = int(part[some[0]] < 0)
         # settled stretches go to any part, as none needs them
-        to = int(part[some[0]]) if not kind else int(doc[some[0]] % parts)
+        to = int(part[some[0]]) if not kind else int(doc[some[0]]) % parts
         gap = np.diff(start[some].astype("<u4"), prepend=np.uint32(0))  # small but for the first of a document
         rows.append({"part": to, "kind": kind or 2 * once, "n": len(some), "docs": len(run), "owners": _packed(doc[some][run], row[some][run], counts), "body": _packed(*([] if kind else [u[some]] if once else [q[some].astype("<u4"), u[some]]), gap, more[some].astype("u1"))})
     yield pa.RecordBatch.from_pylist(rows, _ROWS_ARROW)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
-    """The stretch of each leader: its bucket, its identifier, document, row, first window and number of further ones."""
+def _stretches(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[tuple]:
+    """The stretch of each leader: part, bucket, identifier, document, row, first window and number of further ones."""
     for data, inside, begins, batch in _segments(batches, length):
         known: dict[int, np.ndarray] = {}
         q = min(Q, (length + 1) // 2)
@@ -183,7 +185,8 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple
         u = _refine(_refine(full[first], full[last]), ((last - first) * length + at - first).astype(np.uint64))
         text = np.searchsorted(begins, first, "right") - 1
         doc, row = (batch[c].to_numpy()[text] for c in ("doc", "row"))
-        yield grams[at], u, doc, row, (first - begins[text]).astype(np.uint32), (last - first).astype(np.uint8)
+        q = grams[at]
+        yield ((q >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), q, u, doc, row, (first - begins[text]).astype(np.uint32), (last - first).astype(np.uint8)
 
 
 def _in_portions(some: Iterator[tuple], parts: int) -> Iterator[pa.RecordBatch]:
@@ -200,20 +203,22 @@ def _in_portions(some: Iterator[tuple], parts: int) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
-    """Each window of undecided stretches as a stretch of its own."""
+    """Each window of undecided stretches as a stretch of its own, in the part of its leader."""
     for batch in batches:
-        ends = batch["spans"].offsets.to_numpy() - batch["spans"].offsets[0].as_py()
-        start, more = (batch["spans"].flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
-        for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-            n = more[lo:hi] + 1
-            begin = np.unique(np.repeat(start[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum()))
+        for i, found in enumerate(batch["found"]):
+            spans = [np.frombuffer(f["spans"].as_py(), SPAN) for f in found.values]
+            part = np.repeat([f["part"].as_py() for f in found.values], [len(x) for x in spans])
+            spans = np.concatenate(spans)
+            n = spans["more"].astype(np.int64) + 1
+            begin = np.repeat(spans["start"] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            part, order = np.repeat(part, n), np.argsort(begin, kind="stable")
+            begin, part = begin[order], part[order]
             data = np.frombuffer(batch["text"][i].as_py().encode(), np.uint8)
             for at in range(0, len(data), SEGMENT):
-                here = begin[np.searchsorted(begin, at) : np.searchsorted(begin, at + SEGMENT)]
-                if len(here):
-                    w = buckets(data[at : at + SEGMENT + length - 1], length, {})[here - at]
-                    k = len(here)
-                    yield w, w, np.full(k, batch["doc"][i].as_py()), np.full(k, batch["row"][i].as_py()), here.astype(np.uint32), np.zeros(k, np.uint8)
+                lo, hi = np.searchsorted(begin, [at, at + SEGMENT])
+                if hi > lo:
+                    w, k = buckets(data[at : at + SEGMENT + length - 1], length, {})[begin[lo:hi] - at], hi - lo
+                    yield part[lo:hi], w, w, np.full(k, batch["doc"][i].as_py()), np.full(k, batch["row"][i].as_py()), begin[lo:hi].astype(np.uint32), np.zeros(k, np.uint8)
 
 
 def _rows_of_part(rows: list[dict]) -> tuple[np.ndarray, ...]:
@@ -234,11 +239,11 @@ def _rows_of_part(rows: list[dict]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-_FOUND = "doc long, row long, kind int, start long, more int"
+_FOUND = "doc long, row long, kind int, part int, spans binary"
 
 
 def _settled(batches: Iterator[pa.RecordBatch], undecided: bool) -> Iterator[pa.RecordBatch]:
-    """Part after part (rows come sorted by it): kind 1, the windows from ``start`` to ``more`` after it repeat; kind 2, they are undecided."""
+    """Part after part (rows come sorted by it), the stretches of a document whose windows repeat (kind 1) or are undecided (kind 2)."""
     held: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
@@ -269,7 +274,15 @@ def _settled_part(rows: list[dict], undecided: bool) -> Iterator[pa.RecordBatch]
             open_ = np.minimum.reduceat(own[heads], begins) < np.maximum.reduceat(own[heads], begins)
             picked.append((some[open_[bucket] & (own == first)], 2))
     for at, what in picked:
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(row[at]), pa.array(np.full(len(at), what, np.int32)), pa.array(start[at]), pa.array(more[at].astype(np.int32))], names=["doc", "row", "kind", "start", "more"])
+        if len(at):
+            at = at[np.lexsort((row[at], doc[at]))]
+            spans = np.empty(len(at), SPAN)
+            spans["start"], spans["more"] = start[at], more[at]
+            cut = np.flatnonzero(np.concatenate([[True], (doc[at][1:] != doc[at][:-1]) | (row[at][1:] != row[at][:-1])]))
+            offsets = np.append(cut, len(at)).astype(np.int64) * SPAN.itemsize
+            body = pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spans.tobytes())]).cast(pa.binary())
+            head = at[cut]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(row[head]), *(pa.array(np.full(len(cut), x, np.int32)) for x in (what, rows[0]["part"])), body], names=["doc", "row", "kind", "part", "spans"])
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,17 +295,29 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
+def _part_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n parts that Spark deals to a partition of its own."""
+    each = spark.range(n * 40).select(F.col("id").cast("int").alias("key")).withColumn("to", F.pmod(F.hash("key"), F.lit(n)))
+    found = dict(each.groupBy("to").agg(F.min("key")).collect())  # n rows
+    return [found.get(i, i) for i in range(n)]
+
+
+def _spread(rows: DataFrame, parts: int) -> DataFrame:
+    keys = F.array(*map(F.lit, _part_keys(rows.sparkSession, parts)))
+    return rows.withColumn("key", F.element_at(keys, F.col("part") + 1)).repartition(parts, "key").drop("key").sortWithinPartitions("part")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_parts: int = DOCS_OF_PART) -> DataFrame:
-    """``docs(doc, row, text)`` to ``(doc, row, spans)``: the maximal ranges of bytes to remove, where there are any."""
-    parts = max(256, docs.count() // doc_parts)
-    dealt = docs.mapInArrow(lambda b: _in_portions(_stretches(b, length), parts), _ROWS).repartition("part").sortWithinPartitions("part")
+    """``docs(doc, row, text)`` to ``(doc, row, spans)``: packed ranges of windows that repeat, where there are any."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // doc_parts)
+    dealt = _spread(docs.mapInArrow(lambda b: _in_portions(_stretches(b, length, parts), parts), _ROWS), parts)
     found = written(dealt.mapInArrow(lambda b: _settled(b, True), _FOUND), "stretches", "zstd")
-    span = F.struct("start", "more")
-    undecided = found.where("kind = 2").groupBy("doc", "row").agg(F.collect_list(span).alias("spans"))
-    edges = docs.join(undecided, ["doc", "row"]).select("doc", "row", "text", "spans")
-    windows = edges.mapInArrow(lambda b: _in_portions(_windows(b, length), parts), _ROWS).repartition("part").sortWithinPartitions("part")
+    undecided = found.where("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("part", "spans")).alias("found"))
+    edges = docs.join(undecided, ["doc", "row"]).select("doc", "row", "text", "found")
+    windows = _spread(edges.mapInArrow(lambda b: _in_portions(_windows(b, length), parts), _ROWS), parts)
     repeated = found.where("kind = 1").union(windows.mapInArrow(lambda b: _settled(b, False), _FOUND).where("kind = 1"))
-    return repeated.groupBy("doc", "row").agg(F.collect_list(span).alias("spans"))
+    return repeated.groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
 
 
 _CUT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -313,8 +338,9 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, whole_characters: bool)
         for text, spans in zip(batch["text"], batch["spans"]):
             data, ranges, kept = (text.as_py() or "").encode(), [], None
             if spans.is_valid:
-                start, more = (spans.values.field(i).to_numpy().astype(np.int64) for i in range(2))
-                begin, end = _merged(start, start + more + length)
+                windows = np.frombuffer(b"".join(spans.as_py()), SPAN)
+                start = windows["start"].astype(np.int64)
+                begin, end = _merged(start, start + windows["more"] + length)
                 if whole_characters:
                     begin, end = _whole_characters(data, begin, end)
                 ranges = [{"start": a, "end": b} for a, b in zip(begin.tolist(), end.tolist())]
