@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from monthloom.llm import packing, simhash, suffix_dedup, toxicity
+from monthloom.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from monthloom.llm.common import table, written
 
 
@@ -23,12 +23,17 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return suffix_dedup.texts_without_repeats(docs)
 
 
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares: a document stands in the mix as often as it is taken."""
+    return mixing.as_documents(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as pieces of at most 1,024 ids, placed in sequences."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("toxicity", toxicity_filter), ("SimHash near-dedup", simhash_near_dedup), ("suffix-array dedup", suffix_array_dedup), ("best-fit packing", best_fit_packing)]
+STAGES = [("toxicity", toxicity_filter), ("SimHash near-dedup", simhash_near_dedup), ("suffix-array dedup", suffix_array_dedup), ("mixing sources to target weights", mixing_to_weights), ("best-fit packing", best_fit_packing)]
 
 #: Subword ids, learned scores and byte-wise repeats have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, suffix_dedup, token_files, toxicity
+from . import mixing, packing, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_token_files": token_files.op3_token_files,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_mixing": mixing.OP9_SQL,
+}
