@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, suffix_dedup, token_files, toxicity
+from . import html_text, mixing, packing, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_html_text": html_text.op2_html_text,
     "op3_token_files": token_files.op3_token_files,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
