@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, packing, simhash, suffix_dedup, token_files, toxicity
+from . import html_text, mixing, packing, simhash, suffix_dedup, token_files, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_html_text": html_text.op2_html_text,
     "op3_token_files": token_files.op3_token_files,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_top_k": topk.op5_top_k,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {
+    "op5_top_k": topk.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
