@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, packing, simhash, suffix_dedup, token_files, topk, toxicity
+from . import html_text, mixing, packing, simhash, spotsigs, suffix_dedup, token_files, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_top_k": topk.op5_top_k,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
