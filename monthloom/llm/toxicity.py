@@ -8,9 +8,12 @@ class; below, both back off to one distribution of continuation counts
 class tells apart gets the same probability from both.
 
 The two log-likelihoods of a word are compared per letter.  A document's
-evidence are its two words (repeats count) with the largest difference: a long
-document is as toxic as its worst expressions, however much else it says.  A
-logistic curve over the two turns evidence into a score.
+evidence are its three words (repeats count) with the largest difference, as a
+long document is as toxic as its worst expressions, however much else it says;
+the mean over its words; and the logarithm of their number, as many words hold
+an odd one by chance.  A logistic curve turns evidence into a score.  It is
+fitted with models that have not seen the curve's fold; the models that score
+have.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import batches_of, table, written
 
-ORDER = 6
+ORDER = 5
 SHARED = 2
-DISCOUNT = 0.75
+DISCOUNT = 0.9
 #: n-grams that a model may hold; beyond it the rarest are left to the backoff, so the model that tasks get is bounded.
 MAX_GRAMS = 4_000_000
 #: Labelled documents, at most, on which the curve is fitted.
@@ -74,7 +77,9 @@ def _grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndar
     return owner, keys, [f & (place > 0) for f in fits]
 
 
-_WORDS = "word string, ordinary long, toxic long"
+#: Counts by class, of the folds that the curve's models see and of the curve's own.
+COUNTS = ("ordinary", "toxic", "ordinary_curve", "toxic_curve")
+_WORDS = "word string, ordinary long, toxic long, ordinary_curve long, toxic_curve long"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +87,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(whole, "text", BATCH_BYTES):
             words, begins = _words(batch["text"])
             coded = words.dictionary_encode()
-            toxic = np.repeat(batch["toxic"].to_numpy(), np.diff(begins))
+            kind = np.repeat(batch["kind"].to_numpy(), np.diff(begins))
             n, at = len(coded.dictionary), coded.indices.to_numpy()
-            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *(pa.array(np.bincount(at[toxic == c], minlength=n)) for c in (0, 1))], names=["word", "ordinary", "toxic"])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *(pa.array(np.bincount(at[kind == i], minlength=n)) for i in range(len(COUNTS)))], names=["word", *COUNTS])
 
 
-_GRAMS = "k int, gram long, context long, suffix long, ordinary long, toxic long"
+_GRAMS = "k int, gram long, context long, suffix long, ordinary long, toxic long, ordinary_curve long, toxic_curve long"
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +100,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, len(batch), 50_000):
             part = batch.slice(i, 50_000)
-            n = [part[c].to_numpy() for c in ("ordinary", "toxic")]
+            n = [part[c].to_numpy() for c in COUNTS]
             owner, keys, fits = _grams(part["word"].to_pylist())
             for k in range(1, ORDER + 1):
                 at = np.flatnonzero(fits[k])
@@ -103,7 +108,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 context = keys[k - 1][at[first] - 1] if k > 1 else np.zeros(len(gram), np.uint64)
                 suffix = keys[k - 1][at[first]] if k > 1 else np.zeros(len(gram), np.uint64)
                 counts = [np.bincount(inverse, c[owner[at]], len(gram)).astype(np.int64) for c in n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, suffix)), *map(pa.array, counts)], names=["k", "gram", "context", "suffix", "ordinary", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, suffix)), *map(pa.array, counts)], names=["k", "gram", "context", "suffix", *COUNTS])
 
 
 class _Table:
@@ -171,27 +176,57 @@ def _before(keys: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) if order > 1 and len(keys) else np.zeros(len(keys), np.uint64)
 
 
-def train(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> KneserNey:
-    """The models of ``labelled(text, toxic)``.
+def count_grams(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> dict[str, np.ndarray]:
+    """The n-grams of ``labelled(text, kind)`` on the driver; ``kind`` is the place in COUNTS that a row counts for.
 
-    Words are counted over all rows; a row with a null label is none.  The
-    driver gets the table of n-grams, ``max_grams`` at most: where there are
-    more, those below the least count that makes them fit are left out.
+    Words are counted over all rows.  The table has ``max_grams`` rows at most:
+    where there are more, those below the least count that makes them fit are
+    left out.
     """
-    counted = labelled.where("toxic IS NOT NULL").select("text", F.when(F.col("toxic") == 0, 0).otherwise(1).alias("toxic")).mapInArrow(_count_words, _WORDS)
-    words = counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    grams = written(words.mapInArrow(_count_grams, _GRAMS).groupBy("k", "gram").agg(*[F.min(c).alias(c) for c in ("context", "suffix")], *[F.sum(c).alias(c) for c in ("ordinary", "toxic")]), "grams")
-    kept, least = grams, 1
+    words = labelled.select("text", "kind").mapInArrow(_count_words, _WORDS).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    grams = words.mapInArrow(_count_grams, _GRAMS).groupBy("k", "gram").agg(*[F.min(c).alias(c) for c in ("context", "suffix")], *[F.sum(c).alias(c) for c in COUNTS])
+    kept = grams = written(grams, "grams")
+    least = 1
     while kept.count() > max_grams:
         least *= 2
-        kept = grams.where(F.col("ordinary") + F.col("toxic") >= least)
+        kept = grams.where(sum(F.col(c) for c in COUNTS) >= least)
     rows = kept.toArrow()
-    col = {n: rows[n].to_numpy() for n in rows.schema.names}
-    return KneserNey(col["k"], *(col[c].view(np.uint64) for c in ("gram", "context", "suffix")), col["ordinary"], col["toxic"])
+    return {n: rows[n].to_numpy() for n in rows.schema.names}
+
+
+def model_of(grams: dict[str, np.ndarray], with_curve_fold: bool) -> KneserNey:
+    ordinary, toxic = grams["ordinary"], grams["toxic"]
+    if with_curve_fold:
+        ordinary, toxic = ordinary + grams["ordinary_curve"], toxic + grams["toxic_curve"]
+    there = ordinary + toxic > 0
+    return KneserNey(grams["k"][there], *(grams[c].view(np.uint64)[there] for c in ("gram", "context", "suffix")), ordinary[there], toxic[there])
+
+
+EVIDENCE = ("first", "second", "third", "mean", "size")
+
+
+def _evidence(at: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """The three largest of each text's differences, their mean, and how many words there are (as a logarithm).
+
+    Every text has an entry at least; an empty word has the least difference
+    and counts for nothing.
+    """
+    at, sizes = at.copy(), np.diff(begins)
+    if not len(sizes):
+        return [np.zeros(0)] * len(EVIDENCE)
+    word = at > _NO_EVIDENCE
+    n = np.add.reduceat(word.astype(np.int64), begins[:-1])
+    mean = np.where(n > 0, np.add.reduceat(np.where(word, at, 0), begins[:-1]) / np.maximum(n, 1), _NO_EVIDENCE)
+    text, top = np.repeat(np.arange(len(sizes)), sizes), []
+    for _ in range(3):
+        top.append(np.maximum.reduceat(at, begins[:-1]))
+        here = np.flatnonzero(at == top[-1][text])
+        at[here[np.unique(text[here], return_index=True)[1]]] = _NO_EVIDENCE
+    return [*top, mean, np.log1p(n)]
 
 
 def evidence(docs: DataFrame, model: KneserNey, keys: list[str]) -> DataFrame:
-    """``keys`` with the two largest differences of each text, ``first`` and ``second``; texts without words have the least."""
+    """``keys`` and the EVIDENCE of each text; texts without words have the least."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,28 +243,26 @@ def evidence(docs: DataFrame, model: KneserNey, keys: list[str]) -> DataFrame:
                     some = new[i : i + 20_000]
                     known.update(zip(some, shared.value.differences(some).tolist()))
                 at = np.fromiter(map(known.__getitem__, types), np.float64, len(types))[coded.indices.to_numpy()]
-                first = np.maximum.reduceat(at, begins[:-1]) if len(batch) else at
-                text = np.repeat(np.arange(len(batch)), np.diff(begins))
-                top = np.flatnonzero(at == first[text])
-                at[top[np.unique(text[top], return_index=True)[1]]] = _NO_EVIDENCE
-                second = np.maximum.reduceat(at, begins[:-1]) if len(batch) else at
-                yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), pa.array(first), pa.array(second)], names=[*keys, "first", "second"])
+                yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *map(pa.array, _evidence(at, begins))], names=[*keys, *EVIDENCE])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keys, "text").mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", first double, second double")
+    return docs.select(*keys, "text").mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", {e} double" for e in EVIDENCE))
+
+
+_LOW, _HIGH = -5.0, 20.0
 
 
-def fit_curve(first: np.ndarray, second: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def fit_curve(x: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Intercept and weights of a logistic curve, by Newton's steps with a small ridge; classes weigh the same."""
-    x = np.column_stack([np.ones(len(first)), np.clip(first, -5, 20), np.clip(second, -5, 20)])
-    y, w = toxic.astype(float), np.zeros(3)
-    if y.min(initial=1) == y.max(initial=0) or not len(y):
-        return np.array([0.0, 1.0, 0.0])
+    x = np.column_stack([np.ones(len(x)), np.clip(x, _LOW, _HIGH)])
+    y, w = toxic.astype(float), np.zeros(x.shape[1])
+    if not len(y) or y.min() == y.max():
+        return np.eye(x.shape[1])[1]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (weight * (p - y)) / len(y) + ridge * w
-        bend = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(3)
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -240,25 +273,26 @@ def fit_curve(first: np.ndarray, second: np.ndarray, toxic: np.ndarray, ridge: f
 def toxicity(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None, max_grams: int = MAX_GRAMS, curve_rows: int = CURVE_ROWS) -> DataFrame:
     """``keys`` (doc_id by default) of every document and ``score``, the chance that its label is toxic.
 
-    ``labels(doc_id, toxic)`` are learned from outside the held-out fold: three
-    folds give the counts of the models, one the curve.  Only the text is
-    scored.  Null and empty texts have the least evidence; labels that are null
-    or name no document are left out.  Without labels of both classes the curve
-    is a fixed one over evidence that is then zero, and every score is 0.5.
+    ``labels(doc_id, toxic)`` are learned from outside the held-out fold; of
+    those, one fold gives the curve.  Only the text is scored.  Null and empty
+    texts have the least evidence; labels that are null or name no document are
+    left out.  Without labels of both classes every score is 0.5.
     """
     keys = keys or ["doc_id"]
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").withColumn("fold", fold())
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    kinds = {r.toxic != 0 for r in ids.where(F.col("fold") != HELD_OUT).select("toxic").distinct().collect()}
-    if len(kinds) < 2:
+    if ids.select("toxic").distinct().count() < 2:
         return docs.select(*keys, F.lit(0.5).alias("score"))
-    counting = ~F.col("fold").isin(HELD_OUT, CURVE_FOLD)
-    model = train(texts.withColumn("fold", fold()).where(counting).drop("fold").join(ids.where(counting).select("doc_id", "toxic"), "doc_id"), max_grams)
+    # always by sorting: labels grow with the documents
+    labelled = texts.where(fold() != HELD_OUT).hint("merge").join(ids, "doc_id")
+    grams = count_grams(labelled.select("text", (F.col("toxic") + F.when(F.col("fold") == CURVE_FOLD, 2).otherwise(0)).alias("kind")), max_grams)
     some = ids.where(F.col("fold") == CURVE_FOLD).orderBy(F.xxhash64("doc_id"), "toxic").limit(curve_rows).select("doc_id", "toxic")
-    curve = evidence(texts.join(F.broadcast(some), "doc_id").withColumn("toxic", (F.col("toxic") != 0).cast("int")), model, ["toxic"]).toPandas()  # curve_rows at most
-    w = [float(x) for x in fit_curve(curve["first"].to_numpy(), curve["second"].to_numpy(), curve["toxic"].to_numpy())]
-    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(-5.0)), F.lit(20.0))
-    return evidence(docs, model, keys).select(*keys, (1 / (1 + F.exp(-(F.lit(w[0]) + w[1] * clip("first") + w[2] * clip("second"))))).alias("score"))
+    curve = evidence(texts.join(F.broadcast(some), "doc_id"), model_of(grams, False), ["toxic"]).toPandas()  # curve_rows at most
+    w = [float(x) for x in fit_curve(curve[list(EVIDENCE)].to_numpy(), curve["toxic"].to_numpy())]
+    total = F.lit(w[0])
+    for name, x in zip(EVIDENCE, w[1:]):
+        total = total + x * F.least(F.greatest(F.col(name), F.lit(_LOW)), F.lit(_HIGH))
+    return evidence(docs, model_of(grams, True), keys).select(*keys, (1 / (1 + F.exp(-total))).alias("score"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
