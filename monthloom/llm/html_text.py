@@ -48,7 +48,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　\u0085]+")
 NEIGHBOURS = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 THRESHOLD = 0.15
-CONTENT_SHARE = 0.9
+CONTENT_SHARE = 0.95
 
 
 class _Element:
