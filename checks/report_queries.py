@@ -11,6 +11,7 @@ from checks.window_queries import MATRIX, PEARSON
 from monthloom import plans
 from monthloom.operators.panel import union_panels
 from monthloom.plans import names
+from monthloom.operators.panel import monthly_last
 from monthloom.plans.correlation import VARIABLES
 
 RANGE = f"month_end BETWEEN DATE '{START}' AND DATE '{END}'"
@@ -367,7 +368,7 @@ def report_industrial_correlation(spark, sf_dir):
 
 def _correlation(spark, sf_dir, pair=None):
     return plans.correlation_report(
-        views.economy(spark, sf_dir), views.market_quotes(spark, sf_dir), START, END, pair=pair
+        views.economy(spark, sf_dir), monthly_last(views.market_quotes(spark, sf_dir)), START, END, pair=pair
     )
 
 
@@ -432,6 +433,56 @@ def report_pair_trendline(spark, sf_dir):
     return line.withColumns({"x": rounded("x", 4), "y": rounded("y", 2)})
 
 
+@query(
+    "report_pair",
+    sql(
+        "economy market_quotes",
+        f"""SELECT '{PAIR[0]}' AS var_a, '{PAIR[1]}' AS var_b, month_end, round(x, 4) AS x, round(y, 4) AS y FROM pair""",
+        **PAIR_DETAIL,
+    ),
+)
+def report_pair(spark, sf_dir):
+    rows = _correlation(spark, sf_dir, PAIR)["pair"]
+    return rows.withColumns({c: rounded(c, 4) for c in "xy"})
+
+
+@query(
+    "report_pair_fit",
+    sql(
+        "economy market_quotes",
+        f"""SELECT '{PAIR[0]}' AS var_a, '{PAIR[1]}' AS var_b, count(x + y) AS n,
+                   round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 2) AS intercept
+            FROM pair""",
+        **PAIR_DETAIL,
+    ),
+)
+def report_pair_fit(spark, sf_dir):
+    fit = _correlation(spark, sf_dir, PAIR)["pair_fit"]
+    return fit.withColumns({"slope": rounded("slope", 4), "intercept": rounded("intercept", 2)})
+
+
+@query(
+    "report_pair_ranges",
+    sql(
+        "economy market_quotes",
+        f"""SELECT '{PAIR[0]}' AS var_a, '{PAIR[1]}' AS var_b, measure, round(max(abs(v)), 5) AS half_range
+            FROM (SELECT CASE WHEN count(x + y) OVER w = 12 THEN corr(x, y) OVER w END AS rolling_corr,
+                         CASE WHEN count(x + y) OVER w = 12 THEN regr_slope(ln(y), ln(x)) OVER w END AS rolling_beta
+                  FROM pair WINDOW w AS (ORDER BY year(month_end) * 12 + month(month_end)
+                                         RANGE BETWEEN 11 PRECEDING AND CURRENT ROW))
+                 UNPIVOT INCLUDE NULLS (v FOR measure IN (rolling_corr, rolling_beta))
+            GROUP BY measure""",
+        **PAIR_DETAIL,
+    ),
+)
+def report_pair_ranges(spark, sf_dir):
+    """Half-widths of the axes of both rolling measures."""
+    outputs = _correlation(spark, sf_dir, PAIR)
+    rows = [outputs[f"pair_{m}_range"].withColumn("measure", F.lit(f"rolling_{m}")) for m in ("corr", "beta")]
+    both = rows[0].unionByName(rows[1])
+    return both.select("var_a", "var_b", "measure", rounded("half_range", 5).alias("half_range"))
+
+
 # --- recent --------------------------------------------------------------------
 
 

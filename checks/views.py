@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.functions import series_stem
-from monthloom.operators.broadcasting import measured
 from monthloom.operators.panel import monthly_mean
 from monthloom.plans import names
 from monthloom.plans.panel import with_inflation
@@ -111,11 +110,10 @@ def obs_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def obs_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line prices by the region of the customer.
 
-    Places are few and sent to all; orders get theirs before they meet the
-    lines, so that the lines move once.  Lines and orders both grow with the
+    Orders get their places before they meet the lines, so that the lines move once.  Lines and orders both grow with the
     data, so they are joined by sorting, which needs neither to fit in memory.
     """
-    places = measured(region_state(spark, sf_dir, keep_key=True))
+    places = region_state(spark, sf_dir, keep_key=True)
     customers = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     placed = orders.select("o_orderkey", series_stem(F.col("region"), "_price").alias("series_id"))

@@ -58,7 +58,12 @@ def yoy_after_epoch(spark, sf_dir):
     "yoy_all_series",
     sql(
         "monthly_sparse monthly monthly_region",
-        YOY.format(rows="every"),
+        """SELECT series_id, month_end,
+                  round(100 * (value - before) / nullif(before, 0), 6) AS yoy
+           FROM (SELECT *, first_value(value) OVER (
+                     PARTITION BY series_id ORDER BY year(month_end) * 12 + month(month_end)
+                     RANGE BETWEEN 12 PRECEDING AND 12 PRECEDING) AS before
+                 FROM every)""",
         every="""SELECT * FROM monthly_sparse UNION ALL SELECT * FROM monthly UNION ALL SELECT * FROM monthly_region""",
     ),
 )
@@ -90,15 +95,19 @@ def rolling_mean(spark, sf_dir):
     "rolling_quarterly",
     sql(
         "obs",
-        """SELECT series_id, last_day(obs_date) AS month_end, CAST(NULL AS DOUBLE) AS rolling_mean
-           FROM obs WHERE month(obs_date) IN (1, 4, 7, 10) GROUP BY ALL""",
+        """SELECT series_id, month_end, count(value) OVER w AS months_held,
+                  CASE WHEN count(value) OVER w = 12 THEN round(avg(value) OVER w, 4) END AS rolling_mean
+           FROM quarterly """
+        + LAST_YEAR.format(keys="series_id"),
+        quarterly="""SELECT series_id, last_day(obs_date) AS month_end, avg(value) AS value
+                     FROM obs WHERE month(obs_date) IN (1, 4, 7, 10) GROUP BY ALL""",
     ),
 )
 def rolling_quarterly(spark, sf_dir):
     """Quarterly series never fill a frame of twelve months."""
     quarterly = views.obs(spark, sf_dir).where(F.month("obs_date").isin(1, 4, 7, 10))
-    rows = windows.rolling_mean(panel.monthly_mean(quarterly))
-    return money(rows.select("series_id", "month_end", "rolling_mean"), "rolling_mean")
+    rows = windows.rolling_count(windows.rolling_mean(panel.monthly_mean(quarterly)))
+    return money(rows.select("series_id", "month_end", "months_held", "rolling_mean"), "rolling_mean")
 
 
 PAIRS = (("1-urgent", "5-low"), ("2-high", "3-medium"))

@@ -17,7 +17,7 @@ from monthloom.functions.numbers import (
     rebase,
 )
 from monthloom.functions.pairs import pair_beta, pair_corr
-from monthloom.functions.strict import strict_double
+from monthloom.functions.strict import lenient_double, strict_double
 from monthloom.functions.text import drop_null_tokens, float_text, series_stem
 
 __all__ = [
@@ -26,6 +26,7 @@ __all__ = [
     "format_iso",
     "format_month_year",
     "half_even",
+    "lenient_double",
     "month_end",
     "month_index",
     "month_start",

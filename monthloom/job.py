@@ -1,11 +1,17 @@
 """Command line for spark-submit.
 
     job.py panel   --catalog C --landed L --pages P --out PANEL
-    job.py reports --panel PANEL --quotes Q --out OUT [--report oil ...]
-                   [--start DAY] [--end DAY] [--pair X Y]
-
-The panel is written once and every report starts from the written table, so
-losing executors during a report never goes back to the landed files.
+                   [--pages-format json|parquet] [--allow-incomplete]
+    job.py quotes  --quotes Q --out QUOTES
+    job.py reports --panel PANEL --quotes QUOTES --out OUT [--report oil ...]
+                   [--start DAY] [--end DAY] [--pair X Y] [--region R]
+
+The panel and the monthly quotes are written once and every report starts from
+the written tables, so losing executors during a report never goes back to the
+landed files.  Beside the panel, ``OUT-audit`` says for each payload how many
+of its declared rows have arrived, and ``OUT-unrouted`` holds the catalog rows
+that nothing loads.  A payload that is short stops the job before the panel is
+written, unless ``--allow-incomplete`` is given.
 """
 
 from __future__ import annotations
@@ -16,19 +22,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from monthloom import get_session, plans
+from monthloom.operators.panel import monthly_last
+from monthloom.plans import names
 from monthloom.sinks import read_panel, write_panel, write_report
-from monthloom.sources import read_catalog, read_landed_series, read_pages, read_quotes
+from monthloom.sources import audit_pages, read_catalog, read_landed_series, read_pages, read_quotes, unrouted
 
 REPORTS = ("industrial", "oil", "price", "fuel", "employment", "correlation", "recent")
 
+# Years that reports never look behind, as they cut the panel at an epoch before anything else.
+FIRST_YEARS = {
+    report: int(epoch[:4])
+    for report, epoch in (
+        ("industrial", names.INDUSTRIAL_EPOCH),
+        ("price", names.PRICE_EPOCH),
+        ("employment", names.EMPLOYMENT_EPOCH),
+    )
+}
+
 
 def build(spark: SparkSession, options: argparse.Namespace) -> None:
-    panel = plans.build_panel(
-        read_catalog(spark, options.catalog),
-        read_landed_series(spark, options.landed, options.format),
-        read_pages(spark, options.pages),
-    )
-    write_panel(panel, options.out)
+    catalog = read_catalog(spark, options.catalog)
+    pages = read_pages(spark, options.pages, fmt=options.pages_format)
+    unrouted(catalog).write.mode("overwrite").parquet(f"{options.out}-unrouted")
+    audit_pages(pages, "data_link").write.mode("overwrite").parquet(f"{options.out}-audit")
+    short = spark.read.parquet(f"{options.out}-audit").where("is_complete IS NOT TRUE")
+    if not options.allow_incomplete and not short.isEmpty():
+        some = ", ".join(f"{r.data_link} ({r.rows_held} of {r.rows_declared})" for r in short.orderBy("data_link").take(20))
+        raise SystemExit(f"payloads whose pages have not all arrived: {some}")
+    landed = read_landed_series(spark, options.landed, options.format)
+    write_panel(plans.build_panel(catalog, landed, pages), options.out)
+
+
+def build_quotes(spark: SparkSession, options: argparse.Namespace) -> None:
+    """Month-end quotes of every ticker, as a panel."""
+    write_panel(monthly_last(read_quotes(spark, options.quotes, options.format)), options.out)
 
 
 def outputs_of(
@@ -39,6 +66,8 @@ def outputs_of(
     if report == "correlation":
         pair = tuple(options.pair) if options.pair else None
         return plans.correlation_report(panel, quotes(), options.start, options.end, pair=pair)
+    if report == "fuel" and options.region:
+        return plans.fuel_report(panel, options.start, options.end, region=options.region)
     make = {
         "industrial": plans.industrial_report,
         "oil": plans.oil_report,
@@ -50,9 +79,9 @@ def outputs_of(
 
 
 def run_reports(spark: SparkSession, options: argparse.Namespace) -> None:
-    panel = read_panel(spark, options.panel)
     for report in options.report or REPORTS:
-        outputs = outputs_of(report, panel, options, lambda: read_quotes(spark, options.quotes, options.format))
+        panel = read_panel(spark, options.panel, first_year=FIRST_YEARS.get(report))
+        outputs = outputs_of(report, panel, options, lambda: read_panel(spark, options.quotes))
         write_report(outputs, options.out, report)
 
 
@@ -63,6 +92,11 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     panel = jobs.add_parser("panel")
     for name in ("catalog", "landed", "pages", "out"):
         panel.add_argument(f"--{name}", required=True)
+    panel.add_argument("--pages-format", default="json", choices=("json", "parquet"))
+    panel.add_argument("--allow-incomplete", action="store_true")
+    quotes = jobs.add_parser("quotes")
+    for name in ("quotes", "out"):
+        quotes.add_argument(f"--{name}", required=True)
     reports = jobs.add_parser("reports")
     for name in ("panel", "out"):
         reports.add_argument(f"--{name}", required=True)
@@ -71,13 +105,14 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     reports.add_argument("--start")
     reports.add_argument("--end")
     reports.add_argument("--pair", nargs=2)
+    reports.add_argument("--region")
     return parser.parse_args(argv)
 
 
 def main(argv: list[str] | None = None) -> None:
     options = parse(argv)
     spark = get_session("monthloom " + options.job)
-    {"panel": build, "reports": run_reports}[options.job](spark, options)
+    {"panel": build, "quotes": build_quotes, "reports": run_reports}[options.job](spark, options)
 
 
 if __name__ == "__main__":

@@ -1,8 +1,7 @@
-"""Broadcast a side only when its size is known to be small.
+"""Sides that are sent to all executors, each small by construction.
 
-Three kinds of small side occur: rows written in the program, tables with one
-row per calendar month, and dimension tables.  The first two are bounded by
-construction.  The third can grow with the data, so it is measured.
+Rows written in the program, and tables with one row per calendar month.  All
+other joins go without a hint: Spark knows the sizes when it runs them.
 """
 
 from __future__ import annotations
@@ -13,19 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 50_000
-
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Rows known when the plan is built; hinted when there are few of them.
+    """Rows that are written in the program or on its command line.
 
     Passed as an Arrow table they become a local relation in the plan, which
     needs no Python worker and whose size the optimizer knows.
     """
     names = [field.split()[0] for field in schema.split(",")]
     columns = zip(*rows) if rows else [[] for _ in names]
-    frame = spark.createDataFrame(pa.table(dict(zip(names, map(list, columns)))), schema)
-    return F.broadcast(frame) if len(rows) <= MAX_BROADCAST_ROWS else frame
+    return F.broadcast(spark.createDataFrame(pa.table(dict(zip(names, map(list, columns)))), schema))
 
 
 def one_row_per_month(frame: DataFrame) -> DataFrame:
@@ -35,16 +31,3 @@ def one_row_per_month(frame: DataFrame) -> DataFrame:
     rows of a few numbers each, however large the panel it came from.
     """
     return F.broadcast(frame)
-
-
-def measured(frame: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A dimension table as a local relation with a hint, if it is small.
-
-    Runs one job that stops just past the limit.  A table within it is kept as
-    rows of the plan, so that it is worked out once however often it is used;
-    a larger one is left as it is, without a hint, and joined by shuffle.
-    """
-    rows = frame.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return frame
-    return F.broadcast(frame.sparkSession.createDataFrame(rows, frame.schema))

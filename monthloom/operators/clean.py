@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monthloom.functions import drop_null_tokens, nan_to_null, parse_mixed_date, strict_double
+from monthloom.functions import drop_null_tokens, lenient_double, nan_to_null, parse_mixed_date, strict_double
 from monthloom.operators.broadcasting import literal_rows
 
 
@@ -23,13 +23,13 @@ def drop_incomplete_rows(rows: DataFrame, *columns: str) -> DataFrame:
 def cast_values(rows: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
     """Text to double.  Bad text fails the job, or is NULL when not strict."""
     text = F.col(column)
-    number = strict_double(text) if strict else text.try_cast("double")
+    number = strict_double(text) if strict else lenient_double(text)
     return rows.withColumn(column, nan_to_null(number))
 
 
 def count_rejects(rows: DataFrame, column: str = "value", by: str = "series_id") -> DataFrame:
     """Per series, how many texts the lenient cast turns into NULL."""
-    bad = F.col(column).isNotNull() & F.col(column).try_cast("double").isNull()
+    bad = F.col(column).isNotNull() & lenient_double(F.col(column)).isNull()
     return rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(F.when(bad, F.lit(1))).alias("rejected"),

@@ -18,20 +18,19 @@ from monthloom.operators.broadcasting import one_row_per_month
 from monthloom.operators.filters import Day, whole_months
 
 
-def monthly_mean(obs: DataFrame, start: Day = None, end: Day = None, weight: str | None = None) -> DataFrame:
-    """Month-end mean per series, missing values skipped.
-
-    ``weight`` names a column that counts the rows a value already averages.
-    """
+def monthly_mean(obs: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
+    """Month-end mean per series, missing values skipped."""
     rows = whole_months(obs, start, end)
-    mean = F.avg("value")
-    if weight is not None:
-        present = F.when(F.col("value").isNotNull(), F.col(weight))
-        mean = F.try_divide(F.sum(F.col("value") * present), F.sum(present))
-    panel = rows.groupBy("series_id", month_end(F.col("obs_date")).alias("month_end")).agg(mean.alias("value"))
+    panel = rows.groupBy("series_id", month_end(F.col("obs_date")).alias("month_end")).agg(F.avg("value").alias("value"))
     return _dated(panel)
 
 
+def monthly_mean_of_sums(sums: DataFrame) -> DataFrame:
+    """The same of observations that come as sums (total) with the number of values in them (rows)."""
+    mean = F.try_divide(F.sum("total"), F.sum("rows"))
+    return _dated(sums.groupBy("series_id", month_end(F.col("obs_date")).alias("month_end")).agg(mean.alias("value")))
+
+
 def _dated(panel: DataFrame) -> DataFrame:
     """Leave out rows without a date.
 
@@ -108,12 +107,12 @@ def months_between(spark: SparkSession, low: Column, high: Column) -> DataFrame:
 
 
 def on_months(panel: DataFrame, months: DataFrame) -> DataFrame:
-    """The panel on some distinct months.
+    """The panel on some months.
 
-    An inner join, since Spark would move a semi join below the aggregation
+    The months are made distinct, which bounds what is sent to all.  An inner join, since Spark would move a semi join below the aggregation
     that makes the panel and then read the observations twice.
     """
-    return panel.join(one_row_per_month(months), "month_end").select(*panel.columns)
+    return panel.join(one_row_per_month(months.select("month_end").distinct()), "month_end").select(*panel.columns)
 
 
 def full_outer_wide(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -182,13 +181,22 @@ def complete_cases(panel: DataFrame, series: Sequence[str]) -> DataFrame:
 
 
 def widen(panel: DataFrame, series: Sequence[str], value: str = "value") -> DataFrame:
-    """One column per series, one row per month; names are given, not looked up."""
-    return (
+    """One column per series, one row per month; names are given, not looked up.
+
+    Several values of a series in a month fail the job.
+    """
+    cells = (
         panel.where(F.col("series_id").isin(*series))
         .groupBy("month_end")
         .pivot("series_id", list(series))
-        .agg(F.first(value, ignorenulls=True))
+        .agg(F.collect_list(value))
     )
+    return cells.select("month_end", *[_only(F.col(f"`{s}`"), s).alias(s) for s in series])
+
+
+def _only(values: Column, series: str) -> Column:
+    several = F.raise_error(F.lit(f"several values of {series} in a month")).cast("double")
+    return F.when(F.size(values) > 1, several).otherwise(F.try_element_at(values, F.lit(1)))
 
 
 def lengthen(wide: DataFrame, series: Sequence[str] | None = None) -> DataFrame:

@@ -15,8 +15,10 @@ from monthloom.functions.pairs import pair_count
 from monthloom.schemas import CORRELATION
 
 # Series per block of the correlation matrix.  A task holds two blocks of
-# (BLOCK x months) doubles, a few megabytes for decades of months.
-BLOCK = 512
+# (BLOCK x months) doubles, and some tens of series are several tasks already.
+BLOCK = 64
+# Pairs that are worked out again at a time.
+REPAIRED = 512
 
 # Relative variance below which the difference of sums has lost too many
 # digits and the pair is worked out again from deviations.
@@ -63,7 +65,9 @@ def correlation_matrix(panel: DataFrame, series: Sequence[str] | None = None, bl
     pair.  Instead each series becomes one vector of its months, series are
     dealt into blocks, and each pair of blocks is one task that multiplies two
     small matrices.  A vector is sent once per block, not once per pair, and
-    the only rows of quadratic number are those of the answer.
+    the only rows of quadratic number are those of the answer: without names,
+    all k(k + 1) / 2 pairs of the k series that the panel holds.  Several
+    values of a series in a month fail the job.
     """
     cells = panel.where(F.col("value").isNotNull())
     if series is not None:
@@ -128,6 +132,8 @@ def _matrix(part: pd.DataFrame, start: int, end: int) -> tuple[np.ndarray, np.nd
     mask = np.zeros_like(values)
     for row, (months, cells) in enumerate(zip(part["months"], part["values"])):
         at = np.asarray(months) - start
+        if len(np.unique(at)) < len(at):
+            raise ValueError(f"several values of {part['series_id'].iloc[row]} in a month")
         values[row, at] = cells
         mask[row, at] = 1.0
     return values, mask
@@ -147,9 +153,10 @@ def _masked_correlation(xa, ma, xb, mb) -> tuple[np.ndarray, np.ndarray]:
         doubtful = ~((var_a > CANCELLATION * square_a) & (var_b > CANCELLATION * square_b))
     flat = _is_flat(xa, ma)[:, None] | _is_flat(xb, mb)[None, :]
     r[flat] = np.nan
-    for i, j in zip(*np.nonzero(doubtful & ~flat & (n > 0))):
-        both = (ma[i] > 0) & (mb[j] > 0)
-        r[i, j] = _plain_correlation(xa[i, both], xb[j, both])
+    again = np.argwhere(doubtful & ~flat & (n > 0))
+    for some in np.array_split(again, max(1, -(-len(again) // REPAIRED))):
+        i, j = some.T
+        r[i, j] = _deviation_correlation(xa[i], xb[j], ma[i] * mb[j])
     r[n < 2] = np.nan
     return n, r
 
@@ -168,11 +175,16 @@ def _is_flat(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.where(seen, x, np.inf).min(axis=1) >= np.where(seen, x, -np.inf).max(axis=1)
 
 
-def _plain_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    if x.min() == x.max() or y.min() == y.max():
-        return math.nan
-    dx, dy = x - x.mean(), y - y.mean()
-    return float(np.clip((dx @ dy) / math.sqrt((dx @ dx) * (dy @ dy)), -1.0, 1.0))
+def _deviation_correlation(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Row by row, the correlation over the months that are marked, from deviations; NaN where a side is constant."""
+    if not len(x):
+        return np.empty(0)
+    count = both.sum(axis=1, keepdims=True)
+    dx, dy = ((v - (v * both).sum(axis=1, keepdims=True) / count) * both for v in (x, y))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (dx * dy).sum(axis=1) / np.sqrt((dx * dx).sum(axis=1) * (dy * dy).sum(axis=1))
+    r[_is_flat(x, both) | _is_flat(y, both)] = np.nan
+    return np.clip(r, -1.0, 1.0)
 
 
 def rounded(matrix: DataFrame, digits: int = 2) -> DataFrame:

@@ -53,7 +53,8 @@ def align_pairs(panel: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     """Rows (var_a, var_b, month_end, x, y): both sides of each pair per month.
 
     A month where one side is missing keeps the other; a pair of a series with
-    itself has it on both sides.
+    itself has it on both sides.  Several values of a series in a month fail
+    the job.
     """
     wanted = [(a, a, b, True, a == b) for a, b in pairs] + [
         (b, a, b, False, True) for a, b in pairs if a != b
@@ -64,11 +65,17 @@ def align_pairs(panel: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame
     names = sorted({name for pair in pairs for name in pair})
     rows = panel.where(F.col("series_id").isin(*names)).join(sides, "series_id")
     return rows.groupBy("var_a", "var_b", "month_end").agg(
-        F.max(F.when(F.col("is_x"), F.col("value"))).alias("x"),
-        F.max(F.when(F.col("is_y"), F.col("value"))).alias("y"),
+        _only(F.when(F.col("is_x"), F.col("value"))).alias("x"),
+        _only(F.when(F.col("is_y"), F.col("value"))).alias("y"),
     )
 
 
+def _only(value: Column) -> Column:
+    """The one value of a group; several fail the job."""
+    several = F.raise_error(F.lit("several values of a series in a month")).cast("double")
+    return F.when(F.count(value) > 1, several).otherwise(F.max(value))
+
+
 def _last_months(window: int, *keys: str) -> WindowSpec:
     return _calendar(*keys).rangeBetween(1 - window, 0)
 
@@ -84,6 +91,11 @@ def rolling_mean(panel: DataFrame, window: int = YEAR, value: str = "value") ->
     return panel.withColumn("rolling_mean", mean)
 
 
+def rolling_count(panel: DataFrame, window: int = YEAR, value: str = "value") -> DataFrame:
+    """Values present in the frame that the rolling measures look at."""
+    return panel.withColumn("months_held", F.count(value).over(_last_months(window, "series_id")))
+
+
 def rolling_moments(aligned: DataFrame, window: int = YEAR) -> DataFrame:
     """Rolling means of x, y, their product and the square of x."""
     frame = _last_months(window, "var_a", "var_b")

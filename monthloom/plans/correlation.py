@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from monthloom.operators.clean import select_renamed
 from monthloom.operators.filters import Day, date_bounds, date_range
-from monthloom.operators.panel import inner_panels, monthly_last
+from monthloom.operators.panel import inner_panels
 from monthloom.operators.stats import correlation_matrix, ols_fit, ols_trendline, symmetric_range
 from monthloom.operators.windows import YEAR, align_pairs, rolling_beta, rolling_corr
 from monthloom.plans import names
@@ -20,9 +20,10 @@ VARIABLES = (*names.TICKER_LABELS.values(), *names.MACRO_VARIABLES.values())
 def correlation_frame(panel: DataFrame, quotes: DataFrame) -> DataFrame:
     """Markets' month-end quotes and the economy's series, on shared months.
 
-    ``quotes`` has one row per ticker and day.
+    ``quotes`` is a panel whose series are tickers, as ``monthly_last`` makes
+    it; a job writes it once, so that no output goes back to daily quotes.
     """
-    markets = select_renamed(monthly_last(quotes), names.TICKER_LABELS)
+    markets = select_renamed(quotes, names.TICKER_LABELS)
     economy = select_renamed(panel, names.MACRO_VARIABLES)
     return inner_panels(markets, economy)
 

@@ -36,13 +36,14 @@ def national_card(shown: DataFrame) -> DataFrame:
     return with_cards(latest_region(shown, nation).withColumn("price", half_even(F.col("price"))))
 
 
-def fuel_report(panel: DataFrame, start: Day = None, end: Day = None) -> Outputs:
+def fuel_report(panel: DataFrame, start: Day = None, end: Day = None, region: str | None = None) -> Outputs:
+    """With a ``region``, region_history holds that one alone."""
     frame = fuel_frame(panel)
     shown = date_range(frame, start, end)
     return Outputs(
         date_bounds=lambda: date_bounds(frame),
         latest_by_state=lambda: latest_by_state(shown),
         national_card=lambda: national_card(shown),
-        region_history=lambda: drill(shown, "region"),
+        region_history=lambda: drill(shown, "region", region),
         national_history=lambda: drill(shown, "national"),
     )

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Many narrow partitions to begin with, which AQE merges by their measured
+    # sizes; it cannot split those of an aggregation.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4096",
 }
 
 
@@ -27,6 +30,9 @@ def get_session(app_name: str = "monthloom", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    settings = {**SETTINGS, **conf}
+    if "spark.sql.shuffle.partitions" in conf:  # a caller's own width holds
+        settings.pop("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return ship_package(builder.getOrCreate())

@@ -2,11 +2,12 @@
 
 from monthloom.sources.catalog import catalog_from_lines, grouped_suffixes, read_catalog, route, unrouted
 from monthloom.sources.pages import audit_pages, flatten_pages, parse_pages, read_pages
-from monthloom.sources.series import catalog_series, read_landed_series, read_quotes
+from monthloom.sources.series import catalog_daily_sums, catalog_series, read_landed_series, read_quotes
 
 __all__ = [
     "audit_pages",
     "catalog_from_lines",
+    "catalog_daily_sums",
     "catalog_series",
     "flatten_pages",
     "grouped_suffixes",

@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.functions import drop_null_tokens, nan_to_null, strict_double
-from monthloom.operators.broadcasting import measured
 from monthloom.schemas import PAGE
 from monthloom.sources.catalog import PAGED_SOURCE, route
 
 
-def read_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Pages of a directory with one subdirectory ``data_link=<key>`` per payload."""
-    reader = spark.read.schema(f"{PAGE}, data_link STRING").option("multiLine", multi_line)
-    pages = reader.json(path)
+def read_pages(spark: SparkSession, path: str, multi_line: bool = True, fmt: str = "json") -> DataFrame:
+    """Pages of a directory with one subdirectory ``data_link=<key>`` per payload.
+
+    ``fmt`` is "json" for pages as they were sent, "parquet" for those that
+    the stream has landed.
+    """
+    reader = spark.read.schema(f"{PAGE}, data_link STRING")
+    pages = reader.option("multiLine", multi_line).json(path) if fmt == "json" else reader.format(fmt).load(path)
     return pages.withColumn("page", F.col("_metadata.file_path"))
 
 
@@ -38,7 +41,8 @@ def audit_pages(pages: DataFrame, *keys: str) -> DataFrame:
 
     Sizes come from the arrays, so no record is unpacked.
     """
-    held = F.sum(F.coalesce(F.size("response.data"), F.lit(0)))
+    data = F.col("response.data")
+    held = F.sum(F.when(data.isNull(), F.lit(0)).otherwise(F.size(data)))
     return (
         pages.groupBy(*keys)
         .agg(
@@ -60,7 +64,7 @@ def catalog_records(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     rules = route(catalog, PAGED_SOURCE).select(
         "data_link", "secondary_name", "column_to_groupby", F.coalesce("value_name", F.lit("value")).alias("value_name")
     )
-    named = pages.join(measured(rules), "data_link")
+    named = pages.join(rules, "data_link")
     records = flatten_pages(named, "secondary_name", "column_to_groupby", "value_name")
     grouped = F.col("column_to_groupby").isNotNull()
     date = F.col("record")["period"]

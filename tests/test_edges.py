@@ -313,3 +313,57 @@ def test_inner_panels_on_shared_span(spark):
     }
     apart = make_panel(spark, [("c", "2030-03-31", 1)])
     assert panel.inner_panels(left, apart).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("2024-01-05", "2024-01-05"), ("2024-1-5", "2024-01-05"), ("2024-02", "2024-02-01"), ("2024", "2024-01-01"), (" 2024-01-05 ", "2024-01-05"),
+        ("20240105", "2024-01-05"), ("2024-Q1", "2024-01-01"), ("2024Q4", "2024-10-01"), ("2024-01-05T00:00:00", "2024-01-05"), ("2024-01-05 12:30:00.5Z", "2024-01-05"),
+        ("202401", None), ("2024-01-05 garbage", None), ("2024-01-05Tjunk", None), ("01/05/2024", None), ("2024-13", None), ("2024-Q5", None), ("20241305", None), ("", None), ("12024", None),
+    ],
+)
+def test_forms_of_dates(spark, text, want):
+    frame = spark.createDataFrame([(text,)], "t STRING")
+    lenient = frame.select(parse_mixed_date(F.col("t"), strict=False).alias("d")).first()["d"]
+    assert (lenient and lenient.isoformat()) == want
+    if want is None:
+        with pytest.raises(Exception, match="not a date"):
+            frame.select(parse_mixed_date(F.col("t"))).collect()
+
+
+@pytest.mark.parametrize("text, want", [("1.5", 1.5), ("-2", -2.0), (" 3 ", 3.0), (".5", 0.5), ("1e3", 1000.0), ("1.", 1.0), ("NaN", None)])
+def test_forms_of_numbers(spark, text, want):
+    frame = spark.createDataFrame([(text,)], "value STRING")
+    assert clean.cast_values(frame).first()["value"] == want
+
+
+@pytest.mark.parametrize("text", ["1.5d", "1f", "Infinity", "-inf", "1e999", "0x10", "1,5", "", "--1"])
+def test_texts_that_are_no_numbers(spark, text):
+    frame = spark.createDataFrame([("s", text)], "series_id STRING, value STRING")
+    assert clean.cast_values(frame, strict=False).first()["value"] is None
+    assert clean.count_rejects(frame).first()["rejected"] == 1
+    with pytest.raises(Exception, match="not a double"):
+        clean.cast_values(frame).collect()
+
+
+def test_several_values_in_a_month_fail(spark):
+    rows = [("a", day("2024-01-31"), 1.0), ("a", day("2024-01-31"), 2.0), ("b", day("2024-01-31"), 3.0)]
+    twice = spark.createDataFrame(rows, "series_id STRING, month_end DATE, value DOUBLE")
+    for build in (
+        lambda: panel.widen(twice, ["a", "b"]),
+        lambda: windows.align_pairs(twice, [("a", "b")]),
+        lambda: stats.correlation_matrix(twice),
+    ):
+        with pytest.raises(Exception, match="several values"):
+            build().collect()
+
+
+def test_matrix_of_reports_is_several_tasks(spark):
+    rows = [(f"s{i}", day(f"20{j:02d}-01-31"), float((i * 7 + j * j) % 13)) for i in range(76) for j in range(10)]
+    found = stats.correlation_matrix(spark.createDataFrame(rows, "series_id STRING, month_end DATE, value DOUBLE"), [f"s{i}" for i in range(76)])
+    assert found.count() == 76 * 77 // 2
+    wide = stats.correlation_matrix(spark.createDataFrame(rows, "series_id STRING, month_end DATE, value DOUBLE"), [f"s{i}" for i in range(76)], block=1000)
+    left, right = ({(r.var_a, r.var_b): (r.n, r.r) for r in f.collect()} for f in (found, wide))
+    assert left.keys() == right.keys()
+    assert all(left[k][0] == right[k][0] and (left[k][1] == pytest.approx(right[k][1], abs=1e-12)) for k in left)

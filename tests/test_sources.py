@@ -130,7 +130,7 @@ def test_groups_left_out_of_totals(spark, landing):
     rows = plans.panel.paged_observations(
         read_pages(spark, str(landing / "pages")), read_catalog(spark, str(landing / "catalog.csv")), ["PADD 1"]
     )
-    totals = by_key(rows.where("series_id = 'total_crude_oil_prod'").select("obs_date", "value"), "obs_date")
+    totals = by_key(rows.where("series_id = 'total_crude_oil_prod'").select("obs_date", "total"), "obs_date")
     assert totals == {day("2024-01-01"): 5.0, day("2024-02-01"): 7.0}
 
 
@@ -209,8 +209,9 @@ def report_files(spark, economy, tmp_path_factory):
         (t, s.date(), float(v)) for t in names.TICKER_LABELS for s, v in zip(stamps, 50 + rng.random(len(stamps)))
     ]
     spark.createDataFrame(quotes, "ticker STRING, trade_date DATE, close DOUBLE").write.parquet(str(folder / "quotes"))
+    job.build_quotes(spark, job.parse(["quotes", "--quotes", str(folder / "quotes"), "--out", str(folder / "monthly")]))
     options = job.parse(
-        ["reports", "--panel", str(folder / "panel"), "--quotes", str(folder / "quotes"), "--out", str(folder / "out")]
+        ["reports", "--panel", str(folder / "panel"), "--quotes", str(folder / "monthly"), "--out", str(folder / "out")]
         + ["--start", "2010-01-31", "--end", "2020-12-31", "--pair", "SP500", "Oil Price"]
     )
     job.run_reports(spark, options)
@@ -297,16 +298,55 @@ def test_recent_report_against_pandas(spark, report_files, economy):
     assert matrix[("egg price", "oil price")][1] == np.round(economy["egg_price"].corr(economy["oil_price"]), 2)
 
 
-def test_panel_job(spark, landing):
-    options = job.parse(
+def panel_options(landing, *more):
+    return job.parse(
         ["panel", "--catalog", str(landing / "catalog.csv"), "--landed", str(landing / "landed")]
-        + ["--pages", str(landing / "pages"), "--out", str(landing / "panel")]
+        + ["--pages", str(landing / "pages"), "--out", str(landing / "panel"), *more]
     )
-    job.build(spark, options)
+
+
+def test_panel_job_stops_at_a_short_payload(spark, landing):
+    with pytest.raises(SystemExit, match=r"link-c \(4 of 5\)"):
+        job.build(spark, panel_options(landing))
+    assert not (landing / "panel").exists()
+    assert [r.secondary_name for r in spark.read.parquet(str(landing / "panel-unrouted")).collect()] == ["ignored"]
+    assert spark.read.parquet(str(landing / "panel-audit")).where("is_complete").count() == 2
+
+
+def test_panel_job(spark, landing):
+    job.build(spark, panel_options(landing, "--allow-incomplete"))
     found = by_key(read_panel(spark, str(landing / "panel")), "series_id", "month_end")
     assert {k: found[k] for k in EXPECTED} == EXPECTED
 
 
+def test_panel_job_on_complete_and_on_landed_pages(spark, landing):
+    write_page(landing / "pages", "link-c", 1, "5", [{"period": "2024-03", "value": "7", "area-name": "PADD 1"}])
+    job.build(spark, panel_options(landing))
+    first = by_key(read_panel(spark, str(landing / "panel")), "series_id", "month_end")
+    assert first[("total_crude_oil_prod", day("2024-03-31"))] == 7.0
+    query = land_new_files(stream_pages(spark, str(landing / "pages")), str(landing / "pages") + "-t", str(landing / "c"))
+    query.awaitTermination()
+    options = panel_options(landing, "--pages-format", "parquet")
+    options.pages += "-t"
+    job.build(spark, options)
+    assert by_key(read_panel(spark, str(landing / "panel")), "series_id", "month_end") == first
+
+
+def test_reports_skip_years_before_their_epoch(spark, report_files, capfd):
+    path, _ = report_files
+    panel = read_panel(spark, path.replace("/out", "/panel"), first_year=job.FIRST_YEARS["industrial"])
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and ">= 2005" in plan
+
+
+def test_one_region_of_the_fuel_report(spark, landing):
+    panel = spark.createDataFrame([(s, day("2024-01-31"), 3.0) for s in names.FUEL_SERIES], "series_id STRING, month_end DATE, value DOUBLE")
+    region = next(iter(names.FUEL_REGIONS))
+    options = job.parse(["reports", "--panel", "p", "--out", "o", "--region", region])
+    rows = job.outputs_of("fuel", panel, options, None)["region_history"].collect()
+    assert {r.series_id for r in rows} == {names.FUEL_REGIONS[region]}
+
+
 def test_quotes_files(spark, tmp_path):
     rows = spark.createDataFrame([("t", day("2024-01-05"), float("nan"))], "ticker STRING, trade_date DATE, close DOUBLE")
     rows.write.option("header", True).csv(str(tmp_path / "q"))
