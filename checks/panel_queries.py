@@ -149,21 +149,25 @@ def group_series(spark, sf_dir):
     return money(named.select("series_id", "date", "value"))
 
 
+def _wide_sql(series, view: str) -> str:
+    cells = ", ".join(f"""max(value) FILTER (WHERE series_id = '{s}') AS "{s}\"""" for s in series)
+    return f"(SELECT month_end, {cells} FROM {view} GROUP BY 1)"
+
+
 @query(
     "panel_full_outer",
     sql(
         "monthly monthly_region",
-        """SELECT month_end, round(l.value, 4) AS urgent, round(r.value, 4) AS asia_price
-           FROM (SELECT month_end, max(value) FILTER (WHERE series_id = '1-urgent') AS value FROM monthly GROUP BY 1) l
-                FULL OUTER JOIN
-                (SELECT month_end, max(value) FILTER (WHERE series_id = 'asia_price') AS value
-                 FROM monthly_region GROUP BY 1) r USING (month_end)""",
+        "SELECT month_end, "
+        + ", ".join(f"""round("{s}", 4) AS "{s}\"""" for s in (*SERIES, *REGION_SERIES))
+        + f" FROM {_wide_sql(SERIES, 'monthly')} l FULL OUTER JOIN {_wide_sql(REGION_SERIES, 'monthly_region')} r USING (month_end)",
     ),
 )
 def panel_full_outer(spark, sf_dir):
-    left = panel.widen(monthly(spark, sf_dir), SERIES).select("month_end", F.col("`1-urgent`").alias("urgent"))
-    right = panel.widen(monthly_region(spark, sf_dir), REGION_SERIES).select("month_end", "asia_price")
-    return money(panel.full_outer_wide(left, right), "urgent", "asia_price")
+    left = panel.widen(monthly(spark, sf_dir), SERIES)
+    right = panel.widen(monthly_region(spark, sf_dir), REGION_SERIES)
+    wide = panel.full_outer_wide(left, right)
+    return wide.select("month_end", *[rounded(F.col(f"`{s}`"), 4).alias(s) for s in (*SERIES, *REGION_SERIES)])
 
 
 @query(

@@ -12,7 +12,6 @@ from monthloom import plans
 from monthloom.operators.panel import union_panels
 from monthloom.plans import names
 from monthloom.operators.panel import monthly_last
-from monthloom.plans.correlation import VARIABLES
 
 RANGE = f"month_end BETWEEN DATE '{START}' AND DATE '{END}'"
 PAIR = ("SP500", "Oil Price")
@@ -253,6 +252,20 @@ def report_price_correlation(spark, sf_dir):
     return matrix(_price(spark, sf_dir)["correlation"])
 
 
+def bounds_sql(series, source: str = "shown") -> str:
+    return f"""SELECT series_id, round(min(yoy), 6) AS low, round(max(yoy), 6) AS high
+               FROM {source} WHERE series_id IN ({sql_list(series)}) GROUP BY series_id"""
+
+
+def _bounds(outputs):
+    return outputs["change_bounds"].withColumns({c: rounded(c, 6) for c in ("low", "high")})
+
+
+@query("report_price_bounds", sql("economy", bounds_sql(PRICE_FIGURES), **PRICE))
+def report_price_bounds(spark, sf_dir):
+    return _bounds(_price(spark, sf_dir))
+
+
 # --- employment ----------------------------------------------------------------
 
 
@@ -277,6 +290,11 @@ def report_employment_correlation(spark, sf_dir):
     return matrix(_employment(spark, sf_dir)["correlation"])
 
 
+@query("report_employment_bounds", sql("economy", bounds_sql(EMPLOYMENT_FIGURES), **EMPLOYMENT))
+def report_employment_bounds(spark, sf_dir):
+    return _bounds(_employment(spark, sf_dir))
+
+
 # --- industrial ----------------------------------------------------------------
 
 
@@ -325,6 +343,18 @@ def report_industrial(spark, sf_dir):
     return figure_lines(outputs["figures"].unionByName(outputs["output_total"]))
 
 
+@query(
+    "report_industrial_bounds",
+    sql(
+        "economy",
+        bounds_sql(INDUSTRIAL_TOTALS.values()) + " UNION ALL " + bounds_sql([names.OUTPUT_TOTAL], "output"),
+        **INDUSTRIAL,
+    ),
+)
+def report_industrial_bounds(spark, sf_dir):
+    return _bounds(_industrial(spark, sf_dir))
+
+
 @query(
     "report_industrial_categories",
     sql(
