@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from monthloom import get_session, plans
 from monthloom.operators.panel import monthly_last
 from monthloom.plans import names
-from monthloom.sinks import read_panel, write_panel, write_report
+from monthloom.sinks import read_panel, shared_frame, write_panel, write_report
 from monthloom.sources import audit_pages, read_catalog, read_landed_series, read_pages, read_quotes, unrouted
 
 REPORTS = ("industrial", "oil", "price", "fuel", "employment", "correlation", "recent")
@@ -61,13 +61,16 @@ def build_quotes(spark: SparkSession, options: argparse.Namespace) -> None:
 def outputs_of(
     report: str, panel: DataFrame, options: argparse.Namespace, quotes: Callable[[], DataFrame]
 ) -> plans.Outputs:
+    def share(frame: DataFrame) -> DataFrame:
+        return shared_frame(frame, options.out, report)
+
     if report == "recent":
         return plans.recent_report(panel)
     if report == "correlation":
         pair = tuple(options.pair) if options.pair else None
-        return plans.correlation_report(panel, quotes(), options.start, options.end, pair=pair)
+        return plans.correlation_report(panel, quotes(), options.start, options.end, pair=pair, share=share)
     if report == "fuel" and options.region:
-        return plans.fuel_report(panel, options.start, options.end, region=options.region)
+        return plans.fuel_report(panel, options.start, options.end, region=options.region, share=share)
     make = {
         "industrial": plans.industrial_report,
         "oil": plans.oil_report,
@@ -75,7 +78,7 @@ def outputs_of(
         "fuel": plans.fuel_report,
         "employment": plans.employment_report,
     }[report]
-    return make(panel, options.start, options.end)
+    return make(panel, options.start, options.end, share=share)
 
 
 def run_reports(spark: SparkSession, options: argparse.Namespace) -> None:

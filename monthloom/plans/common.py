@@ -13,6 +13,14 @@ from monthloom.operators.filters import keep_series
 from monthloom.operators.stats import correlation_matrix, measure_bounds
 
 
+# What a report does with the frame that all its outputs start from; a job writes it.
+Share = Callable[[DataFrame], DataFrame]
+
+
+def unshared(frame: DataFrame) -> DataFrame:
+    return frame
+
+
 class Outputs(Mapping[str, DataFrame]):
     """A report's output frames by name, each planned when it is asked for.
 

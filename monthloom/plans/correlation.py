@@ -12,7 +12,7 @@ from monthloom.operators.panel import inner_panels
 from monthloom.operators.stats import correlation_matrix, ols_fit, ols_trendline, symmetric_range
 from monthloom.operators.windows import YEAR, align_pairs, rolling_beta, rolling_corr
 from monthloom.plans import names
-from monthloom.plans.common import Outputs
+from monthloom.plans.common import Outputs, Share, unshared
 
 VARIABLES = (*names.TICKER_LABELS.values(), *names.MACRO_VARIABLES.values())
 
@@ -60,8 +60,9 @@ def correlation_report(
     end: Day = None,
     pair: tuple[str, str] | None = None,
     window: int = YEAR,
+    share: Share = unshared,
 ) -> Outputs:
-    frame = correlation_frame(panel, quotes)
+    frame = share(correlation_frame(panel, quotes))
     shown = date_range(frame, start, end)
     return Outputs(
         date_bounds=lambda: date_bounds(frame),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from monthloom.operators.filters import Day, date_bounds, date_range, keep_series
 from monthloom.operators.windows import yoy_after_epoch
 from monthloom.plans import names
-from monthloom.plans.common import Outputs, change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, Share, change_bounds, correlations, figures, unshared
 
 SERIES = names.EMPLOYEE_SERIES + names.LABOUR_RATE_SERIES
 FIGURES = {series: series for series in SERIES}
@@ -18,9 +18,13 @@ def employment_frame(panel: DataFrame, epoch: Day = names.EMPLOYMENT_EPOCH) -> D
 
 
 def employment_report(
-    panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.EMPLOYMENT_EPOCH
+    panel: DataFrame,
+    start: Day = None,
+    end: Day = None,
+    epoch: Day = names.EMPLOYMENT_EPOCH,
+    share: Share = unshared,
 ) -> Outputs:
-    frame = employment_frame(panel, epoch)
+    frame = share(employment_frame(panel, epoch))
     shown = date_range(frame, start, end)
     return Outputs(
         date_bounds=lambda: date_bounds(frame),

@@ -11,7 +11,7 @@ from monthloom.operators.filters import Day, date_bounds, date_range
 from monthloom.operators.panel import complete_cases
 from monthloom.operators.windows import yoy_rows
 from monthloom.plans import names
-from monthloom.plans.common import Outputs, region_dimension
+from monthloom.plans.common import Outputs, Share, region_dimension, unshared
 
 
 def fuel_frame(panel: DataFrame) -> DataFrame:
@@ -36,9 +36,11 @@ def national_card(shown: DataFrame) -> DataFrame:
     return with_cards(latest_region(shown, nation).withColumn("price", half_even(F.col("price"))))
 
 
-def fuel_report(panel: DataFrame, start: Day = None, end: Day = None, region: str | None = None) -> Outputs:
+def fuel_report(
+    panel: DataFrame, start: Day = None, end: Day = None, region: str | None = None, share: Share = unshared
+) -> Outputs:
     """With a ``region``, region_history holds that one alone."""
-    frame = fuel_frame(panel)
+    frame = share(fuel_frame(panel))
     shown = date_range(frame, start, end)
     return Outputs(
         date_bounds=lambda: date_bounds(frame),

@@ -14,7 +14,7 @@ from monthloom.operators.filters import Day, date_bounds, date_range, keep_serie
 from monthloom.operators.panel import complete_months, on_months
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
-from monthloom.plans.common import Outputs, change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, Share, change_bounds, correlations, figures, unshared
 
 LABELS = {**names.OUTPUT_LABELS, **names.ORDERS_LABELS, **names.HOUSING_LABELS}
 TOTALS = {
@@ -59,8 +59,9 @@ def industrial_report(
     outputs: Iterable[str] = tuple(names.OUTPUT_LABELS),
     orders: Iterable[str] = tuple(names.ORDERS_LABELS),
     housing: Iterable[str] = tuple(names.HOUSING_LABELS),
+    share: Share = unshared,
 ) -> Outputs:
-    frame = industrial_frame(panel, epoch, base_month, mode)
+    frame = share(industrial_frame(panel, epoch, base_month, mode))
     shown = date_range(frame, start, end)
     output = complete_output(shown)
     return Outputs(

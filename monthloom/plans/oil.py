@@ -10,7 +10,7 @@ from monthloom.operators.filters import Day, date_bounds, date_range, keep_serie
 from monthloom.operators.panel import complete_cases
 from monthloom.operators.windows import yoy_rows
 from monthloom.plans import names
-from monthloom.plans.common import Outputs, change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, Share, change_bounds, correlations, figures, unshared
 
 
 def oil_frame(panel: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def latest_by_region(shown: DataFrame) -> DataFrame:
     return with_labels(last, labels).selectExpr("label AS area", "value AS production")
 
 
-def oil_report(panel: DataFrame, start: Day = None, end: Day = None) -> Outputs:
-    frame = oil_frame(panel)
+def oil_report(panel: DataFrame, start: Day = None, end: Day = None, share: Share = unshared) -> Outputs:
+    frame = share(oil_frame(panel))
     shown = date_range(frame, start, end)
     return Outputs(
         date_bounds=lambda: date_bounds(frame),

@@ -8,7 +8,7 @@ from monthloom.operators.derive import convert_units
 from monthloom.operators.filters import Day, date_bounds, date_range, keep_series, since
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
-from monthloom.plans.common import Outputs, change_bounds, correlations, figures
+from monthloom.plans.common import Outputs, Share, change_bounds, correlations, figures, unshared
 
 SERIES = (*names.CPI_SERIES, names.INFLATION, *names.PRICE_SERIES)
 FIGURES = {series: series for series in names.PRICE_FIGURES + names.CPI_FIGURES}
@@ -24,8 +24,10 @@ def price_frame(panel: DataFrame, epoch: Day = names.PRICE_EPOCH) -> DataFrame:
     return yoy_calendar(convert_units(chosen, names.PRICES_IN_CENTS))
 
 
-def price_report(panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.PRICE_EPOCH) -> Outputs:
-    frame = price_frame(panel, epoch)
+def price_report(
+    panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.PRICE_EPOCH, share: Share = unshared
+) -> Outputs:
+    frame = share(price_frame(panel, epoch))
     shown = date_range(frame, start, end)
     return Outputs(
         date_bounds=lambda: date_bounds(frame),

@@ -1,5 +1,5 @@
 """Writers."""
 
-from monthloom.sinks.tables import read_output, read_panel, write_panel, write_report
+from monthloom.sinks.tables import read_output, read_panel, shared_frame, write_panel, write_report
 
-__all__ = ["read_output", "read_panel", "write_panel", "write_report"]
+__all__ = ["read_output", "read_panel", "shared_frame", "write_panel", "write_report"]

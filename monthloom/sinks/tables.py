@@ -36,5 +36,12 @@ def write_report(outputs: Mapping[str, DataFrame], path: str, report: str) -> No
         frame.write.mode("overwrite").parquet(f"{path}/report={report}/output={name}")
 
 
+def shared_frame(frame: DataFrame, path: str, report: str) -> DataFrame:
+    """The frame behind a report's outputs, written beside them and read back."""
+    target = f"{path}/report={report}/frame"
+    frame.write.mode("overwrite").parquet(target)
+    return frame.sparkSession.read.schema(frame.schema).parquet(target)
+
+
 def read_output(spark: SparkSession, path: str, report: str, output: str) -> DataFrame:
     return spark.read.parquet(f"{path}/report={report}/output={output}")

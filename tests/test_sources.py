@@ -342,7 +342,7 @@ def test_reports_skip_years_before_their_epoch(spark, report_files, capfd):
 def test_one_region_of_the_fuel_report(spark, landing):
     panel = spark.createDataFrame([(s, day("2024-01-31"), 3.0) for s in names.FUEL_SERIES], "series_id STRING, month_end DATE, value DOUBLE")
     region = next(iter(names.FUEL_REGIONS))
-    options = job.parse(["reports", "--panel", "p", "--out", "o", "--region", region])
+    options = job.parse(["reports", "--panel", "p", "--out", str(landing / "o"), "--region", region])
     rows = job.outputs_of("fuel", panel, options, None)["region_history"].collect()
     assert {r.series_id for r in rows} == {names.FUEL_REGIONS[region]}
 
