@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import tokens
-from .common import batches_of, table, written
+from .common import batches_of, lean, table, written
 
 CAPACITY = 1024
 #: Rows that share a number-giving group, about.
@@ -51,7 +51,7 @@ def cut_documents(docs: DataFrame, vocabulary: tuple = tokens.BYTE_BPE, end_id:
                     pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(all_ids.astype("<u4").tobytes())]).cast(pa.binary()),
                 ], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: lean(cut(b)), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import lean, table, written
 from .components import connected_components
 
 #: Four positions of eight whose numbers XOR to zero.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keys: list[str] | None = Non
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), pa.array(fp.view(np.int64))], names=[*keys, "fp"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keys, "text").mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", fp long")
+    return docs.select(*keys, "text").mapInArrow(lambda b: lean(rows(b)), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", fp long")
 
 
 def _postings(fps: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batches_of, table, written
+from .common import batches_of, lean, table, written
 
 LENGTH = 50
 #: Bytes that put a leader into its bucket; half of shorter strings.
@@ -311,12 +311,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_parts: int = DOCS_
     """``docs(doc, row, text)`` to ``(doc, row, spans)``: packed ranges of windows that repeat, where there are any."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // doc_parts)
-    dealt = _spread(docs.mapInArrow(lambda b: _in_portions(_stretches(b, length, parts), parts), _ROWS), parts)
-    found = written(dealt.mapInArrow(lambda b: _settled(b, True), _FOUND), "stretches", "zstd")
+    dealt = _spread(docs.mapInArrow(lambda b: lean(_in_portions(_stretches(b, length, parts), parts)), _ROWS), parts)
+    found = written(dealt.mapInArrow(lambda b: lean(_settled(b, True)), _FOUND), "stretches", "zstd")
     undecided = found.where("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("part", "spans")).alias("found"))
     edges = docs.join(undecided, ["doc", "row"]).select("doc", "row", "text", "found")
-    windows = _spread(edges.mapInArrow(lambda b: _in_portions(_windows(b, length), parts), _ROWS), parts)
-    repeated = found.where("kind = 1").union(windows.mapInArrow(lambda b: _settled(b, False), _FOUND).where("kind = 1"))
+    windows = _spread(edges.mapInArrow(lambda b: lean(_in_portions(_windows(b, length), parts)), _ROWS), parts)
+    repeated = found.where("kind = 1").union(windows.mapInArrow(lambda b: lean(_settled(b, False)), _FOUND).where("kind = 1"))
     return repeated.groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -374,7 +374,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: boo
     with_spans = placed.join(spans, ["doc", "row"], "left")
     others = keyed.where("doc IS NULL").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(with_spans.columns)
     rest = f", rest {keyed.schema['rest'].dataType.simpleString()}" if more else ""
-    cut = with_spans.union(others).mapInArrow(lambda b: _cut(b, length, whole_characters), f"doc long, row long, text string{rest}, {_CUT}")
+    cut = with_spans.union(others).mapInArrow(lambda b: lean(_cut(b, length, whole_characters)), f"doc long, row long, text string{rest}, {_CUT}")
     return cut.select(F.col("doc").alias("doc_id"), "text", *[F.col(f"rest.`{c}`").alias(c) for c in kinds], "n_bytes", "n_removed", "spans", "kept")
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import tokens
-from .common import batches_of, shared_folder, table
+from .common import batches_of, lean, shared_folder, table
 
 BLOCK_SCHEMA = "shard int, block int, first_id long, n_docs long, n_ids long, doc_ids array<bigint>, width int, ids binary, low_bits int, low binary, high binary"
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -108,7 +108,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: tuple = tokens.WOR
             yield pa.RecordBatch.from_pylist([_block(shard, block, first, docs_, bodies, width)], _BLOCK_ARROW)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(lambda b: lean(encode(b)), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

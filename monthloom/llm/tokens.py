@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
 
 #: Parts remembered by a worker; beyond it the memory is emptied, which costs time only.
-CACHED = 600_000
+CACHED = 300_000
 
 _CUT = re.compile(r" (?=\S)")
 

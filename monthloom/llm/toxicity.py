@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batches_of, table, written
+from .common import batches_of, lean, table, written
 
 ORDER = 5
 SHARED = 2
@@ -37,7 +37,7 @@ CURVE_ROWS = 20_000
 #: Of five folds by the document's id, the one that is held out and the one that only the curve sees.
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
 BATCH_BYTES = 8 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 _NO_EVIDENCE = -20.0
 _BEGIN, _END = 2, 3
 
@@ -183,8 +183,8 @@ def count_grams(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> dict[str, np
     where there are more, those below the least count that makes them fit are
     left out.
     """
-    words = labelled.select("text", "kind").mapInArrow(_count_words, _WORDS).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    grams = words.mapInArrow(_count_grams, _GRAMS).groupBy("k", "gram").agg(*[F.min(c).alias(c) for c in ("context", "suffix")], *[F.sum(c).alias(c) for c in COUNTS])
+    words = labelled.select("text", "kind").mapInArrow(lambda b: lean(_count_words(b)), _WORDS).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    grams = words.mapInArrow(lambda b: lean(_count_grams(b)), _GRAMS).groupBy("k", "gram").agg(*[F.min(c).alias(c) for c in ("context", "suffix")], *[F.sum(c).alias(c) for c in COUNTS])
     kept = grams = written(grams, "grams")
     least = 1
     while kept.count() > max_grams:
@@ -246,7 +246,7 @@ def evidence(docs: DataFrame, model: KneserNey, keys: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *map(pa.array, _evidence(at, begins))], names=[*keys, *EVIDENCE])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keys, "text").mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", {e} double" for e in EVIDENCE))
+    return docs.select(*keys, "text").mapInArrow(lambda b: lean(rows(b)), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", {e} double" for e in EVIDENCE))
 
 
 _LOW, _HIGH = -5.0, 20.0
