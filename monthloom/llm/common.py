@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,8 +26,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that the cluster names in spark.checkpoint.dir, or that the context has.
+
+    Without either, a folder of this machine serves a session that runs on it
+    alone; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{folder or _own_folder()}/{name}-{uuid.uuid4().hex}"
 
 
