@@ -30,14 +30,13 @@ from .common import batches_of, lean, table, written
 ORDER = 5
 SHARED = 2
 DISCOUNT = 0.9
-#: n-grams that a model may hold; beyond it the rarest are left to the backoff, so the model that tasks get is bounded.
-MAX_GRAMS = 4_000_000
+#: Words, the commonest, whose scores all tasks get, and letters that these have at most; the scores of others are joined.
+COMMON_WORDS, COMMON_LETTERS = 100_000, 64
 #: Labelled documents, at most, on which the curve is fitted.
 CURVE_ROWS = 20_000
 #: Of five folds by the document's id, the one that is held out and the one that only the curve sees.
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
 BATCH_BYTES = 8 << 20
-CACHED_WORDS = 300_000
 _NO_EVIDENCE = -20.0
 _BEGIN, _END = 2, 3
 
@@ -92,23 +91,47 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *(pa.array(np.bincount(at[kind == i], minlength=n)) for i in range(len(COUNTS)))], names=["word", *COUNTS])
 
 
-_GRAMS = "k int, gram long, context long, suffix long, ordinary long, toxic long, ordinary_curve long, toxic_curve long"
+_GRAM = "k int, gram long, context long, suffix long"
+_GRAMS = f"{_GRAM}, ordinary long, toxic long, ordinary_curve long, toxic_curve long"
+
+
+def _distinct_grams(words: list[str]) -> Iterator[tuple]:
+    """By order: the words' distinct n-grams, each with what it is conditioned on and what it continues; the n-gram and the word of each occurrence."""
+    owner, keys, fits = _grams(words)
+    for k in range(1, ORDER + 1):
+        at = np.flatnonzero(fits[k])
+        gram, first, inverse = np.unique(keys[k][at], return_index=True, return_inverse=True)
+        context = keys[k - 1][at[first] - 1] if k > 1 else np.zeros(len(gram), np.uint64)
+        suffix = keys[k - 1][at[first]] if k > 1 else np.zeros(len(gram), np.uint64)
+        yield [pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, suffix))], inverse, owner[at]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of word types, each with what it is conditioned on and what it continues."""
+    """n-grams of word types, with their counts."""
     for batch in batches:
         for i in range(0, len(batch), 50_000):
             part = batch.slice(i, 50_000)
             n = [part[c].to_numpy() for c in COUNTS]
-            owner, keys, fits = _grams(part["word"].to_pylist())
-            for k in range(1, ORDER + 1):
-                at = np.flatnonzero(fits[k])
-                gram, first, inverse = np.unique(keys[k][at], return_index=True, return_inverse=True)
-                context = keys[k - 1][at[first] - 1] if k > 1 else np.zeros(len(gram), np.uint64)
-                suffix = keys[k - 1][at[first]] if k > 1 else np.zeros(len(gram), np.uint64)
-                counts = [np.bincount(inverse, c[owner[at]], len(gram)).astype(np.int64) for c in n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, suffix)), *map(pa.array, counts)], names=["k", "gram", "context", "suffix", *COUNTS])
+            for grams, inverse, owner in _distinct_grams(part["word"].to_pylist()):
+                counts = [np.bincount(inverse, c[owner], len(grams[0])).astype(np.int64) for c in n]
+                yield pa.RecordBatch.from_arrays([*grams, *map(pa.array, counts)], names=["k", "gram", "context", "suffix", *COUNTS])
+
+
+def _asked_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams of words that are to be scored."""
+    for batch in batches:
+        for grams, _, _ in _distinct_grams(batch["word"].to_pylist()):
+            yield pa.RecordBatch.from_arrays(grams, names=["k", "gram", "context", "suffix"])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per letter of each word: the longest n-gram that ends there."""
+    for batch in batches:
+        owner, keys, fits = _grams(batch["word"].to_pylist())
+        at = np.flatnonzero(fits[1])
+        k = np.sum([f[at] for f in fits[1:]], axis=0)
+        gram = np.choose(k - 1, [x[at] for x in keys[1:]]) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(batch["id"].to_numpy()[owner[at]]), pa.array(k.astype(np.int32)), pa.array(gram.view(np.int64))], names=["id", "k", "gram"])
 
 
 class _Table:
@@ -132,7 +155,7 @@ class _Table:
 
 
 class KneserNey:
-    """The two models, made from n-gram counts by class."""
+    """The two models in one memory, made from n-gram counts by class: what ``word_scores`` must give."""
 
     def __init__(self, k: np.ndarray, gram: np.ndarray, context: np.ndarray, suffix: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
         self.by_class, self.shared = {}, {}
@@ -176,22 +199,56 @@ def _before(keys: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) if order > 1 and len(keys) else np.zeros(len(keys), np.uint64)
 
 
-def count_grams(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> dict[str, np.ndarray]:
-    """The n-grams of ``labelled(text, kind)`` on the driver; ``kind`` is the place in COUNTS that a row counts for.
+def count_words(texts: DataFrame) -> DataFrame:
+    """The words of ``texts(text, kind)`` with COUNTS; ``kind`` is the place in COUNTS that a row counts for."""
+    return texts.select("text", "kind").mapInArrow(lambda b: lean(_count_words(b)), _WORDS).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def count_grams(labelled: DataFrame) -> DataFrame:
+    """All n-grams of ``labelled(text, kind)`` with what they are conditioned on, what they continue, and COUNTS."""
+    grams = count_words(labelled).mapInArrow(lambda b: lean(_count_grams(b)), _GRAMS).groupBy("k", "gram").agg(*[F.min(c).alias(c) for c in ("context", "suffix")], *[F.sum(c).alias(c) for c in COUNTS])
+    return written(grams, "grams")
+
 
-    Words are counted over all rows.  The table has ``max_grams`` rows at most:
-    where there are more, those below the least count that makes them fit are
-    left out.
+#: The models that fit the curve, which have not seen its fold, and those that score; and of each the two classes.
+MODELS = ("curve", "all")
+_CLASSES = [(m, c) for m in MODELS for c in ("ordinary", "toxic")]
+
+
+def word_scores(types: DataFrame, grams: DataFrame) -> DataFrame:
+    """``types(id, word)`` to ``(id, curve, all)``: the difference that each of MODELS gives, per letter.
+
+    Each distinct n-gram of the words meets its counts and its context's totals
+    once, order after order: an n-gram's chance needs that of its suffix.  No
+    key of these joins has more rows than there are letters.
     """
-    words = labelled.select("text", "kind").mapInArrow(lambda b: lean(_count_words(b)), _WORDS).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    grams = words.mapInArrow(lambda b: lean(_count_grams(b)), _GRAMS).groupBy("k", "gram").agg(*[F.min(c).alias(c) for c in ("context", "suffix")], *[F.sum(c).alias(c) for c in COUNTS])
-    kept = grams = written(grams, "grams")
-    least = 1
-    while kept.count() > max_grams:
-        least *= 2
-        kept = grams.where(sum(F.col(c) for c in COUNTS) >= least)
-    rows = kept.toArrow()
-    return {n: rows[n].to_numpy() for n in rows.schema.names}
+    n = {(m, c): F.col(c) + F.col(f"{c}_curve") if m == "all" else F.col(c) for m, c in _CLASSES}
+    seen = {m: n[m, "ordinary"] + n[m, "toxic"] > 0 for m in MODELS}
+    letters = grams.where("k = 1").agg(*[F.count(F.when(seen[m], 1)).alias(m) for m in MODELS]).first()
+    # up to SHARED, a count is that of the distinct letters before
+    continued = grams.where(F.col("k").between(2, SHARED + 1)).groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(*[F.count(F.when(seen[m], 1)).alias(m) for m in MODELS])
+    shared = grams.where(F.col("k") <= SHARED).select("k", "gram", "context").join(continued, ["k", "gram"]).select("k", "gram", "context", *[F.col(m).alias(f"n_{m}_{c}") for m, c in _CLASSES])
+    counted = shared.union(grams.where(F.col("k") > SHARED).select("k", "gram", "context", *[n[m, c].alias(f"n_{m}_{c}") for m, c in _CLASSES]))
+    totals = counted.groupBy("k", "context").agg(*[f(F.col(f"n_{m}_{c}")).alias(f"{name}_{m}_{c}") for m, c in _CLASSES for name, f in (("total", F.sum), ("kinds", lambda x: F.count(F.when(x > 0, 1))))])
+    asked = types.select("word").mapInArrow(lambda b: lean(_asked_grams(b)), _GRAM).groupBy("k", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+    met = asked.join(counted.drop("context"), ["k", "gram"], "left").join(totals, ["k", "context"], "left")
+
+    def own(x: str):
+        return F.when(F.col(f"total_{x}") > 0, F.greatest(F.coalesce(f"n_{x}", F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col(f"total_{x}")).otherwise(0.0)
+
+    def rest(x: str):
+        return F.when(F.col(f"total_{x}") > 0, DISCOUNT * F.col(f"kinds_{x}") / F.col(f"total_{x}")).otherwise(1.0)
+
+    names = [f"{m}_{c}" for m, c in _CLASSES]
+    met = written(met.select("k", "gram", "suffix", *[own(x).alias(f"own_{x}") for x in names], *[rest(x).alias(f"rest_{x}") for x in names]), "asked")
+    chance = met.where("k = 1").select("k", "gram", *[(F.col(f"own_{m}_{c}") + F.col(f"rest_{m}_{c}") / (max(1, letters[m]) + 1)).alias(f"{m}_{c}") for m, c in _CLASSES])
+    chances = chance
+    for k in range(2, ORDER + 1):
+        lower = chance.select(F.col("gram").alias("suffix"), *names)
+        chance = written(met.where(F.col("k") == k).join(lower, "suffix").select("k", "gram", *[(F.col(f"own_{x}") + F.col(f"rest_{x}") * F.col(x)).alias(x) for x in names]), "chances")
+        chances = chances.union(chance)
+    each = types.select("id", "word").mapInArrow(lambda b: lean(_spelled(b)), "id long, k int, gram long")
+    return each.join(chances.select("k", "gram", *[F.log(F.col(f"{m}_toxic") / F.col(f"{m}_ordinary")).alias(m) for m in MODELS]), ["k", "gram"]).groupBy("id").agg(*[F.avg(m).alias(m) for m in MODELS])
 
 
 def model_of(grams: dict[str, np.ndarray], with_curve_fold: bool) -> KneserNey:
@@ -203,50 +260,81 @@ def model_of(grams: dict[str, np.ndarray], with_curve_fold: bool) -> KneserNey:
 
 
 EVIDENCE = ("first", "second", "third", "mean", "size")
+_PARTS = ("first", "second", "third", "total", "n")
 
 
 def _evidence(at: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """The three largest of each text's differences, their mean, and how many words there are (as a logarithm).
+    """The three largest of each text's differences, their sum, and how many words there are.
 
     Every text has an entry at least; an empty word has the least difference
     and counts for nothing.
     """
     at, sizes = at.copy(), np.diff(begins)
     if not len(sizes):
-        return [np.zeros(0)] * len(EVIDENCE)
+        return [np.zeros(0)] * 4 + [np.zeros(0, np.int64)]
     word = at > _NO_EVIDENCE
-    n = np.add.reduceat(word.astype(np.int64), begins[:-1])
-    mean = np.where(n > 0, np.add.reduceat(np.where(word, at, 0), begins[:-1]) / np.maximum(n, 1), _NO_EVIDENCE)
+    n, total = (np.add.reduceat(x, begins[:-1]) for x in (word.astype(np.int64), np.where(word, at, 0)))
     text, top = np.repeat(np.arange(len(sizes)), sizes), []
     for _ in range(3):
         top.append(np.maximum.reduceat(at, begins[:-1]))
         here = np.flatnonzero(at == top[-1][text])
         at[here[np.unique(text[here], return_index=True)[1]]] = _NO_EVIDENCE
-    return [*top, mean, np.log1p(n)]
+    return [*top, total, n]
+
+
+def _rare_words(rare: np.ndarray, codes: np.ndarray, types: pa.Array, begins: np.ndarray) -> pa.Array:
+    """Each text's distinct words among those at ``rare``, and how often they stand there."""
+    text = np.searchsorted(begins, rare, "right") - 1
+    pairs, n = np.unique(text * max(len(types), 1) + codes[rare], return_counts=True)
+    ends = np.searchsorted(pairs // max(len(types), 1), np.arange(len(begins)))
+    rows = pa.StructArray.from_arrays([types.cast(pa.string()).take(pa.array(pairs % max(len(types), 1))), pa.array(n.astype(np.int64))], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
 
+#: What tells documents apart: rows that have both in common have the same evidence.
+_KEY = ("__ml_doc", "__ml_text")
 
-def evidence(docs: DataFrame, model: KneserNey, keys: list[str]) -> DataFrame:
-    """``keys`` and the EVIDENCE of each text; texts without words have the least."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams
+
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id").alias(_KEY[0]), F.xxhash64("text").alias(_KEY[1]), *columns)
+
+
+def evidence(docs: DataFrame, types: DataFrame, scores: DataFrame, model: str) -> DataFrame:
+    """The _KEY and the EVIDENCE of ``docs(doc_id, text)``, once each; texts without words have the least.
+
+    ``types(id, word, n)`` and their ``scores`` cover all words of the texts.
+    The commonest go to all tasks; the others are joined, and as they are not
+    common, none has many rows.
+    """
+    common = types.where(F.length("word") <= COMMON_LETTERS).orderBy(F.desc("n"), "id").limit(COMMON_WORDS)
+    known = common.select("id", "word").join(scores, "id").select("word", F.col(model).alias("score")).toArrow()  # COMMON_WORDS at most
+    shared = docs.sparkSession.sparkContext.broadcast((known["word"].to_pylist(), known["score"].to_pylist()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        score = dict(zip(*shared.value))
+        score[""] = _NO_EVIDENCE
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
                 words, begins = _words(batch["text"])
                 coded = words.dictionary_encode()
-                types = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                new = [w for w in types if w not in known]
-                for i in range(0, len(new), 20_000):
-                    some = new[i : i + 20_000]
-                    known.update(zip(some, shared.value.differences(some).tolist()))
-                at = np.fromiter(map(known.__getitem__, types), np.float64, len(types))[coded.indices.to_numpy()]
-                yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *map(pa.array, _evidence(at, begins))], names=[*keys, *EVIDENCE])
-
-    kinds = dict(docs.dtypes)
-    return docs.select(*keys, "text").mapInArrow(lambda b: lean(rows(b)), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", {e} double" for e in EVIDENCE))
+                codes = coded.indices.to_numpy()
+                at = np.array([score.get(w, np.nan) for w in coded.dictionary.to_numpy(zero_copy_only=False)], np.float64)[codes]
+                rare = np.flatnonzero(np.isnan(at))
+                at[rare] = _NO_EVIDENCE
+                yield pa.RecordBatch.from_arrays([*(batch[k] for k in _KEY), *map(pa.array, _evidence(at, begins)), _rare_words(rare, codes, coded.dictionary, begins)], names=[*_KEY, *_PARTS, "rare"])
+
+    parts = written(_keyed(docs, "text").mapInArrow(lambda b: lean(rows(b)), ", ".join(f"{k} long" for k in _KEY) + ", first double, second double, third double, total double, n long, rare array<struct<word:string,n:long>>"), "evidence", "zstd")
+    each = parts.select(*_KEY, F.explode("rare").alias("rare")).select(*_KEY, F.xxhash64("rare.word").alias("id"), F.col("rare.n").alias("times")).join(scores.select("id", F.col(model).alias("score")), "id")
+    none = [F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in _PARTS]
+    both = parts.select(*_KEY, *_PARTS, F.lit(None).cast("struct<id:long,score:double,times:long>").alias("rare")).union(each.select(*_KEY, *none, F.struct("id", "score", "times").alias("rare")))
+    # rows of one key are equal, so a maximum and a set take each once
+    whole = both.groupBy(*_KEY).agg(*[F.max(c).alias(c) for c in _PARTS], F.array_sort(F.collect_set("rare")).alias("rare"))
+    three = F.flatten(F.transform("rare", lambda x: F.array_repeat(x["score"], F.least(x["times"], F.lit(3)).cast("int"))))
+    top = F.slice(F.sort_array(F.concat(F.array(*_PARTS[:3]), three), False), 1, 3)
+    total = F.col("total") + F.aggregate("rare", F.lit(0.0), lambda a, x: a + x["score"] * x["times"])
+    n = F.col("n") + F.aggregate("rare", F.lit(0).cast("long"), lambda a, x: a + x["times"])
+    whole = whole.select(*_KEY, top.alias("top"), total.alias("total"), n.alias("n"))
+    return whole.select(*_KEY, *[F.col("top")[i].alias(EVIDENCE[i]) for i in range(3)], F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(_NO_EVIDENCE).alias("mean"), F.log1p("n").alias("size"))
 
 
 _LOW, _HIGH = -5.0, 20.0
@@ -270,7 +358,7 @@ def fit_curve(x: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3) -> np.ndarr
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None, max_grams: int = MAX_GRAMS, curve_rows: int = CURVE_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None, curve_rows: int = CURVE_ROWS) -> DataFrame:
     """``keys`` (doc_id by default) of every document and ``score``, the chance that its label is toxic.
 
     ``labels(doc_id, toxic)`` are learned from outside the held-out fold; of
@@ -285,14 +373,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None,
         return docs.select(*keys, F.lit(0.5).alias("score"))
     # always by sorting: labels grow with the documents
     labelled = texts.where(fold() != HELD_OUT).hint("merge").join(ids, "doc_id")
-    grams = count_grams(labelled.select("text", (F.col("toxic") + F.when(F.col("fold") == CURVE_FOLD, 2).otherwise(0)).alias("kind")), max_grams)
+    grams = count_grams(labelled.select("text", (F.col("toxic") + F.when(F.col("fold") == CURVE_FOLD, 2).otherwise(0)).alias("kind")))
+    types = written(count_words(docs.select("text", F.lit(0).alias("kind"))).where("word <> ''").select(F.xxhash64("word").alias("id"), "word", F.col(COUNTS[0]).alias("n")), "words")
+    scores = written(word_scores(types, grams), "word-scores")
     some = ids.where(F.col("fold") == CURVE_FOLD).orderBy(F.xxhash64("doc_id"), "toxic").limit(curve_rows).select("doc_id", "toxic")
-    curve = evidence(texts.join(F.broadcast(some), "doc_id"), model_of(grams, False), ["toxic"]).toPandas()  # curve_rows at most
+    on_curve = texts.join(F.broadcast(some), "doc_id")
+    curve = _keyed(on_curve, "toxic").join(evidence(on_curve, types, scores, "curve"), [*_KEY]).toPandas()  # curve_rows at most
     w = [float(x) for x in fit_curve(curve[list(EVIDENCE)].to_numpy(), curve["toxic"].to_numpy())]
     total = F.lit(w[0])
     for name, x in zip(EVIDENCE, w[1:]):
         total = total + x * F.least(F.greatest(F.col(name), F.lit(_LOW)), F.lit(_HIGH))
-    return evidence(docs, model_of(grams, True), keys).select(*keys, (1 / (1 + F.exp(-total))).alias("score"))
+    found = evidence(docs, types, scores, "all").select(*_KEY, (1 / (1 + F.exp(-total))).alias("__ml_score"))
+    return _keyed(docs, *keys).join(found, [*_KEY]).select(*keys, F.col("__ml_score").alias("score"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

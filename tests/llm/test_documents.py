@@ -492,6 +492,41 @@ def test_kneser_ney_tells_spellings_apart():
     assert model.differences([""])[0] == toxicity._NO_EVIDENCE
 
 
+@pytest.mark.parametrize("common", [0, 5, 100_000])
+def test_words_are_scored_by_joins_as_in_one_memory(spark, monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON_WORDS", common)
+    texts = [(i, t, i % 4) for i, (_, t, *_) in enumerate(odd_rows()) if t and len(t) < 9000]
+    grams = toxicity.count_grams(spark.createDataFrame(texts, "doc_id long, text string, kind int"))
+    asked = [(i, f"{t} zebra zebra zebra zebra 日本 qu") for i, t, _ in texts] + [(900, ""), (901, None), (902, "...")]
+    docs = spark.createDataFrame(asked + asked[:2], "doc_id long, text string")
+    types = toxicity.count_words(docs.withColumn("kind", F.lit(0))).where("word <> ''").select(F.xxhash64("word").alias("id"), "word", F.col("ordinary").alias("n")).cache()
+    scores = toxicity.word_scores(types, grams)
+    table = {c: grams.toPandas()[c].to_numpy() for c in grams.columns}
+    table = {c: v.astype(np.int32 if c == "k" else np.int64) for c, v in table.items()}
+    words = [r.word for r in types.select("word").collect()]
+    found = {r.word: r for r in types.join(scores, "id").collect()}
+    for name in toxicity.MODELS:
+        want = dict(zip(words, toxicity.model_of(table, name == "all").differences(words)))
+        assert all(abs(found[w][name] - want[w]) < 1e-5 for w in words) and len(found) == len(words)
+        rows = toxicity._keyed(docs, "doc_id", "text").join(toxicity.evidence(docs, types, scores, name), [*toxicity._KEY]).collect()
+        assert len(rows) == len(asked) + 2
+        for r in rows:
+            each = sorted((want[w] for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", (r.text or "").lower()) if w), reverse=True)
+            top = (each + [toxicity._NO_EVIDENCE] * 3)[:3]
+            mean = sum(each) / len(each) if each else toxicity._NO_EVIDENCE
+            assert np.allclose([r[c] for c in toxicity.EVIDENCE], [*top, mean, math.log1p(len(each))], atol=1e-5)
+
+
+def test_no_gram_is_left_out_however_many_there_are(spark):
+    words = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.conv(F.abs(F.xxhash64("id", i)), 10, 36))
+    docs = spark.range(5000).select(words.alias("words"), F.array_join(words, " ").alias("text"), (F.col("id") % 4).cast("int").alias("kind"))
+    letters, n = docs.select(F.explode("words").alias("w")).agg(F.sum(F.length("w")), F.count("*")).first()
+    grams = toxicity.count_grams(docs)
+    assert grams.count() > 4_000_000
+    assert grams.where("k = 5").agg(F.sum(sum(F.col(c) for c in toxicity.COUNTS))).first()[0] == letters - 2 * n
+
+
+
 # --- pipeline ---
 
 
