@@ -17,6 +17,13 @@ windows cover; where a smaller document has the same stretch, all of them
 repeat.  What is left are the edges of repeated passages: stretches in a
 bucket with others that are equal in part.  Their windows are compared one by
 one, a copy of each stretch.
+
+No bucket and no passage goes to one task.  Equal windows need nothing but each
+other, so they are dealt by their own identifier.  Buckets with many different
+stretches are found in a sample of the documents; their stretches are dealt by
+the identifiers of the stretches and count as equal in part without a look at
+the others.  What repeats is the same however buckets are dealt, as windows
+decide.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ SEGMENT = 1 << 17
 PLACE_BITS = 18
 #: Stretches or windows that a task deals out together.
 HELD = 1 << 20
+#: Of so many documents one is looked at for large buckets; a bucket is large from so many different stretches there, and of the largest so many are dealt out.
+SAMPLE, LARGE, LARGE_BUCKETS = 64, 16, 100_000
 #: Documents whose stretches make one part, about.
 DOCS_OF_PART = 20_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -174,8 +183,19 @@ def _dealt(parts: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(rows, _ROWS_ARROW)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[tuple]:
-    """The stretch of each leader: part, bucket, identifier, document, row, first window and number of further ones."""
+_NO_BUCKETS = np.zeros(0, np.uint64)
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the values are in ``some``, which is sorted."""
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values if len(some) else np.zeros(len(values), bool)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], length: int, parts: int, large: np.ndarray = _NO_BUCKETS) -> Iterator[tuple]:
+    """The stretch of each leader: part, bucket, identifier, document, row, first window and number of further ones.
+
+    A part has whole buckets, but for ``large`` ones, whose stretches are dealt by their identifiers.
+    """
     for data, inside, begins, batch in _segments(batches, length):
         known: dict[int, np.ndarray] = {}
         q = min(Q, (length + 1) // 2)
@@ -186,7 +206,19 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> It
         text = np.searchsorted(begins, first, "right") - 1
         doc, row = (batch[c].to_numpy()[text] for c in ("doc", "row"))
         q = grams[at]
-        yield ((q >> np.uint64(32)) % np.uint64(parts)).astype(np.int32), q, u, doc, row, (first - begins[text]).astype(np.uint32), (last - first).astype(np.uint8)
+        yield (np.where(_among(q, large), u, q) >> np.uint64(32)) % np.uint64(parts), q, u, doc, row, (first - begins[text]).astype(np.uint32), (last - first).astype(np.uint8)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for _, q, u, *_ in _stretches(batches, length, 1):
+        yield pa.RecordBatch.from_arrays([pa.array(q.view(np.int64)), pa.array(u.view(np.int64))], names=["q", "u"])
+
+
+def large_buckets(docs: DataFrame, length: int, sample: int | None = None) -> np.ndarray:
+    """The buckets with many different stretches in a sample of ``docs(doc, row, text)``, sorted; LARGE_BUCKETS at most."""
+    some = docs.where(F.pmod(F.xxhash64("doc", "row"), F.lit(sample or SAMPLE)) == 0)
+    sizes = some.mapInArrow(lambda b: lean(_sampled(b, length)), "q long, u long").distinct().groupBy("q").count().where(F.col("count") >= LARGE)
+    return np.sort(sizes.orderBy(F.desc("count"), "q").limit(LARGE_BUCKETS).select("q").toArrow()["q"].to_numpy().view(np.uint64))
 
 
 def _in_portions(some: Iterator[tuple], parts: int) -> Iterator[pa.RecordBatch]:
@@ -202,23 +234,19 @@ def _in_portions(some: Iterator[tuple], parts: int) -> Iterator[pa.RecordBatch]:
         yield from _dealt(parts, held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
-    """Each window of undecided stretches as a stretch of its own, in the part of its leader."""
+def _windows(batches: Iterator[pa.RecordBatch], length: int, parts: int = 1) -> Iterator[tuple]:
+    """Each window of undecided stretches as a stretch of its own, in a part by the window's identifier."""
     for batch in batches:
         for i, found in enumerate(batch["found"]):
-            spans = [np.frombuffer(f["spans"].as_py(), SPAN) for f in found.values]
-            part = np.repeat([f["part"].as_py() for f in found.values], [len(x) for x in spans])
-            spans = np.concatenate(spans)
+            spans = np.concatenate([np.frombuffer(f["spans"].as_py(), SPAN) for f in found.values])
             n = spans["more"].astype(np.int64) + 1
-            begin = np.repeat(spans["start"] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            part, order = np.repeat(part, n), np.argsort(begin, kind="stable")
-            begin, part = begin[order], part[order]
+            begin = np.sort(np.repeat(spans["start"] - np.cumsum(n) + n, n) + np.arange(n.sum()))
             data = np.frombuffer(batch["text"][i].as_py().encode(), np.uint8)
             for at in range(0, len(data), SEGMENT):
                 lo, hi = np.searchsorted(begin, [at, at + SEGMENT])
                 if hi > lo:
                     w, k = buckets(data[at : at + SEGMENT + length - 1], length, {})[begin[lo:hi] - at], hi - lo
-                    yield part[lo:hi], w, w, np.full(k, batch["doc"][i].as_py()), np.full(k, batch["row"][i].as_py()), begin[lo:hi].astype(np.uint32), np.zeros(k, np.uint8)
+                    yield (w >> np.uint64(32)) % np.uint64(parts), w, w, np.full(k, batch["doc"][i].as_py()), np.full(k, batch["row"][i].as_py()), begin[lo:hi].astype(np.uint32), np.zeros(k, np.uint8)
 
 
 def _rows_of_part(rows: list[dict]) -> tuple[np.ndarray, ...]:
@@ -242,20 +270,21 @@ def _rows_of_part(rows: list[dict]) -> tuple[np.ndarray, ...]:
 _FOUND = "doc long, row long, kind int, part int, spans binary"
 
 
-def _settled(batches: Iterator[pa.RecordBatch], undecided: bool) -> Iterator[pa.RecordBatch]:
+def _settled(batches: Iterator[pa.RecordBatch], undecided: bool, large: np.ndarray = _NO_BUCKETS) -> Iterator[pa.RecordBatch]:
     """Part after part (rows come sorted by it), the stretches of a document whose windows repeat (kind 1) or are undecided (kind 2)."""
+    large = np.unique(large.astype("<u4"))  # as much as parts have of a bucket's identifier
     held: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
             if held and held[0]["part"] != r["part"]:
-                yield from _settled_part(held, undecided)
+                yield from _settled_part(held, undecided, large)
                 held = []
             held.append(r)
     if held:
-        yield from _settled_part(held, undecided)
+        yield from _settled_part(held, undecided, large)
 
 
-def _settled_part(rows: list[dict], undecided: bool) -> Iterator[pa.RecordBatch]:
+def _settled_part(rows: list[dict], undecided: bool, large: np.ndarray) -> Iterator[pa.RecordBatch]:
     kind, q, u, doc, row, start, more = _rows_of_part(rows)
     done, some = np.flatnonzero(kind == 1), np.flatnonzero(kind != 1)
     picked = [(done, 1)]
@@ -267,11 +296,11 @@ def _settled_part(rows: list[dict], undecided: bool) -> Iterator[pa.RecordBatch]
         first = own[np.maximum.accumulate(np.where(new_u, np.arange(len(some)), 0))]
         picked.append((some[own > first], 1))
         if undecided:
-            # a bucket is open if its stretches come first in different documents
+            # a bucket is open if its stretches come first in different documents; of a large one only some are here
             heads = np.flatnonzero(new_u)
             bucket = np.cumsum(new_q) - 1
             begins = np.flatnonzero(new_q[heads])
-            open_ = np.minimum.reduceat(own[heads], begins) < np.maximum.reduceat(own[heads], begins)
+            open_ = (np.minimum.reduceat(own[heads], begins) < np.maximum.reduceat(own[heads], begins)) | _among(q[heads[begins]], large)
             picked.append((some[open_[bucket] & (own == first)], 2))
     for at, what in picked:
         if len(at):
@@ -311,11 +340,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_parts: int = DOCS_
     """``docs(doc, row, text)`` to ``(doc, row, spans)``: packed ranges of windows that repeat, where there are any."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // doc_parts)
-    dealt = _spread(docs.mapInArrow(lambda b: lean(_in_portions(_stretches(b, length, parts), parts)), _ROWS), parts)
-    found = written(dealt.mapInArrow(lambda b: lean(_settled(b, True)), _FOUND), "stretches", "zstd")
+    shared = spark.sparkContext.broadcast(large_buckets(docs, length))  # LARGE_BUCKETS at most
+    dealt = _spread(docs.mapInArrow(lambda b: lean(_in_portions(_stretches(b, length, parts, shared.value), parts)), _ROWS), parts)
+    found = written(dealt.mapInArrow(lambda b: lean(_settled(b, True, shared.value)), _FOUND), "stretches", "zstd")
     undecided = found.where("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("part", "spans")).alias("found"))
     edges = docs.join(undecided, ["doc", "row"]).select("doc", "row", "text", "found")
-    windows = _spread(edges.mapInArrow(lambda b: lean(_in_portions(_windows(b, length), parts)), _ROWS), parts)
+    windows = _spread(edges.mapInArrow(lambda b: lean(_in_portions(_windows(b, length, parts), parts)), _ROWS), parts)
     repeated = found.where("kind = 1").union(windows.mapInArrow(lambda b: lean(_settled(b, False)), _FOUND).where("kind = 1"))
     return repeated.groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
 

@@ -209,6 +209,57 @@ def _settle(batches, undecided):
     return [r for b in suffix_dedup._settled(iter([pa.RecordBatch.from_pylist(rows, suffix_dedup._ROWS_ARROW)] if rows else []), undecided) for r in b.to_pylist()]
 
 
+def _passage_everywhere(n):
+    """One passage of 120 letters in n documents, between words that no other has."""
+    import random
+
+    rng = random.Random(5)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    own = lambda: "".join(rng.choice("qrstuvwxyz") for _ in range(70))
+    return common, [(d, own() + common + own()) for d in range(n)]
+
+
+def test_windows_of_a_common_passage_go_to_many_parts():
+    import pyarrow as pa
+
+    _, rows = _passage_everywhere(60)
+    batch = pa.record_batch({"doc": pa.array([d for d, _ in rows], pa.int64()), "row": pa.array([0] * 60, pa.int64()), "text": [t for _, t in rows]})
+    dealt = lambda some: np.concatenate([x[0] for x in some])
+    stretches = list(suffix_dedup._stretches(iter([batch]), 50, 64))
+    size = pd_counts(np.concatenate([x[1] for x in stretches]))
+    large = np.sort(np.array([q for q, n in size.items() if n >= 60], np.uint64))
+    most = lambda parts: np.bincount(parts.astype(np.int64), minlength=64).max()
+    # a bucket with the edges of all documents
+    again = list(suffix_dedup._stretches(iter([batch]), 50, 64, large))
+    edge = [q for q in large if len(set(np.concatenate([x[2][x[1] == q] for x in stretches]).tolist())) == 60]
+    assert edge
+    for q in edge:
+        at = np.concatenate([x[1] for x in stretches]) == q
+        assert most(dealt(stretches)[at]) == 60 and most(dealt(again)[at]) < 10
+    listed = pa.list_(pa.struct([("part", pa.int32()), ("spans", pa.binary())]))
+    spans = np.array([(0, 69)], suffix_dedup.SPAN).tobytes()
+    edges = pa.record_batch({"doc": batch["doc"], "row": batch["row"], "text": batch["text"], "found": pa.array([[{"part": 3, "spans": spans}]] * 60, listed)})
+    windows = dealt(suffix_dedup._windows(iter([edges]), 50, 64))
+    assert len(windows) == 60 * 70 and most(windows) < 60 * 70 / 16
+
+
+def pd_counts(values):
+    return dict(zip(*(x.tolist() for x in np.unique(values, return_counts=True))))
+
+
+def test_large_buckets_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    for least in (1, 16):
+        monkeypatch.setattr(suffix_dedup, "LARGE", least)
+        common, rows = _passage_everywhere(40)
+        rows += [(100 + d, t) for d, t in rows[:3]] + [(200, common[:70] + "z" * 60 + common[30:])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        placed = docs.selectExpr("doc_id AS doc", "0L AS row", "text")
+        assert len(suffix_dedup.large_buckets(placed, 50))
+        got = {r.doc_id: ([tuple(s) for s in r.spans], bytes(r.kept)) for r in suffix_dedup.without_repeats(docs).collect()}
+        assert got == {d: (s, k) for d, _, s, _, k in brute_spans(rows, 50)}
+
+
 def test_texts_keep_whole_characters(spark):
     tail = "é" * 30
     docs = spark.createDataFrame([(1, "a" * 3 + tail, 33), (2, "bè" + tail[:-1] + "è" * 9, 40)], "doc_id long, text string, n_chars long")
