@@ -18,6 +18,8 @@ from .common import table
 CHAIN = 2
 #: Rows that share a window of neighbours, about.
 BUCKET_ROWS = 2000
+#: Bounds between ranges, at most, as they go into the plan, and keys that are looked at for each.
+MOST_BOUNDS, SAMPLED = 20_000, 20
 THRESHOLD = 0.8
 # Common words of English, French, German and Spanish.
 ANCHORS = sorted(set((
@@ -95,27 +97,56 @@ def near_duplicates(signed: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     return found.where(F.col("likeness") >= threshold).select("a", "b", "likeness"), members
 
 
+def _bounds(keyed: DataFrame, bucket_rows: int) -> list[tuple]:
+    """Keys ``(there, id, tie)`` that cut ``keyed`` into ranges of about ``bucket_rows`` rows; MOST_BOUNDS at most, by a sample of the keys."""
+    n = keyed.count()
+    wanted = min(n // bucket_rows, MOST_BOUNDS)
+    if not wanted:
+        return []
+    share = SAMPLED * wanted / n
+    keys = (keyed.sample(share, seed=7) if share < 1 else keyed).select("there", "id", "tie").toArrow()  # SAMPLED rows a bound, about
+    keys = sorted(zip(*(keys[c].to_pylist() for c in ("there", "id", "tie"))))
+    return sorted({keys[i * len(keys) // (wanted + 1)] for i in range(1, wanted + 1)}) if keys else []
+
+
+def _number(x: int) -> str:
+    return f"{x}L" if x > -(1 << 63) else f"({x + 1}L - 1L)"
+
+
+def _bucket(bounds: list[tuple]) -> Column:
+    """How many bounds are not above the row's key, by halving."""
+    if not bounds:
+        return F.lit(0)
+    table_ = F.expr("array(" + ",".join(f"struct({str(there).lower()} AS there, {_number(i)} AS id, {_number(t)} AS tie)" for there, i, t in bounds) + ")")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(bounds)) & (F.get(table_, at + step - 1) <= F.struct("there", "id", "tie")), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs(doc_id, text)`` with signatures, and of the next document (ascending doc_id; after the last, the first) next_text and next_signatures.
 
     Null texts are empty, null ids come first, and rows with one id follow each
-    other by a hash of their texts.  Ids fall into ranges of equal width with
-    about ``bucket_rows`` rows each; a window puts the rows of a range in
-    order, and its last row gets the first one of the next range that has any.
+    other by a hash of their texts.  A sample of ids and hashes cuts the order
+    into ranges with about ``bucket_rows`` rows each, however the ids are
+    spread and however many rows have one id or none; a window puts the rows of
+    a range in order, and its last row gets the first one of the next range
+    that has any.
     """
-    facts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = facts[0] or 0, facts[1] or 0, facts[2]
-    width = max(1, (high - low + 1) * bucket_rows // max(n, 1))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.alias("bucket")).withColumn("tie", F.xxhash64("text")).repartition("bucket")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.col("doc_id").isNotNull().alias("there"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("tie"))
+    placed = keyed.withColumn("bucket", _bucket(_bounds(keyed, bucket_rows)))
+    rows = placed.select("doc_id", "text", "bucket", "tie").repartition("bucket")
     order = Window.partitionBy("bucket").orderBy("doc_id", "tie")
     signed = rows.withColumn("signatures", signatures(F.col("text")))
     led = signed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "signatures")])
     # the first row of each range, for the last one of the range before
     heads = rows.withColumn("at", F.row_number().over(order)).where("at = 1").select("bucket", F.col("text").alias("head_text")).withColumn("head_signatures", signatures(F.col("head_text")))
-    ranges = docs.select(bucket.alias("before")).distinct()
-    everything = Window.orderBy("before")
-    follows = ranges.select("before", F.coalesce(F.lead("before").over(everything), F.min("before").over(Window.partitionBy())).alias("bucket"))
+    filled = sorted(r[0] for r in placed.select("bucket").distinct().collect())  # MOST_BOUNDS + 1 at most
+    follows = docs.sparkSession.createDataFrame(list(zip(filled, filled[1:] + filled[:1])), "before int, bucket int")
     heads = follows.join(heads, "bucket").select(F.col("before").alias("bucket"), "head_text", "head_signatures")
     last = F.col("next_text").isNull()
     joined = led.withColumn("last", last).join(heads.withColumn("last", F.lit(True)), ["bucket", "last"], "left")

@@ -393,6 +393,20 @@ def test_spotsigs_with_next(spark):
     assert one.next_text == one.text
 
 
+@pytest.mark.parametrize("outlier", [2**60, -(2**63), None, 7])
+def test_neighbours_are_dealt_evenly_whatever_the_ids(spark, outlier):
+    # one id far from the others, or a third of the rows without an id or with one id
+    ids = [*range(300), *([outlier] * (1 if outlier and outlier != 7 else 150))]
+    docs = spark.createDataFrame([(d, f"text {i} of the river") for i, d in enumerate(ids)], "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id IS NOT NULL AS there", "coalesce(doc_id, 0L) AS id", "xxhash64(text) AS tie")
+    sizes = keyed.select(spotsigs._bucket(spotsigs._bounds(keyed, 10)).alias("b")).groupBy("b").count().collect()
+    assert max(r["count"] for r in sizes) < 40 and len(sizes) > 20
+    key = lambda d, h: (d is not None, d or 0, h)
+    order = sorted(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect(), key=lambda r: key(r.doc_id, r.h))
+    got = {r.text: r.next_text for r in spotsigs.with_next(docs, bucket_rows=10).collect()}
+    assert got == {r.text: order[(i + 1) % len(order)].text for i, r in enumerate(order)}
+
+
 def test_spotsigs_query(spark, table, sf_dir):
     got = {r.doc_id: r for r in spotsigs.op7_spotsigs(spark, sf_dir).collect()}
     docs = sorted((r.doc_id, r.text or "") for r in table.select("doc_id", "text").collect())
