@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, packing, simhash, spotsigs, suffix_dedup, token_files, topk, toxicity, url_filter
+from . import filter_audit, html_text, mixing, packing, simhash, spotsigs, substring_dedup, suffix_dedup, token_files, topk, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_packing": packing.op10_packing,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op5_top_k": topk.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }

@@ -49,6 +49,8 @@ HELD = 1 << 20
 SAMPLE, LARGE, LARGE_BUCKETS = 64, 16, 100_000
 #: Documents whose stretches make one part, about.
 DOCS_OF_PART = 20_000
+#: Parts for each that is needed, so that what a task gets of them is even.
+PARTS_OF_TASK = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -324,28 +326,21 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
 
 
-def _part_keys(spark: SparkSession, n: int) -> list[int]:
-    """A number for each of n parts that Spark deals to a partition of its own."""
-    each = spark.range(n * 40).select(F.col("id").cast("int").alias("key")).withColumn("to", F.pmod(F.hash("key"), F.lit(n)))
-    found = dict(each.groupBy("to").agg(F.min("key")).collect())  # n rows
-    return [found.get(i, i) for i in range(n)]
-
-
-def _spread(rows: DataFrame, parts: int) -> DataFrame:
-    keys = F.array(*map(F.lit, _part_keys(rows.sparkSession, parts)))
-    return rows.withColumn("key", F.element_at(keys, F.col("part") + 1)).repartition(parts, "key").drop("key").sortWithinPartitions("part")
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a part together; a task works through several parts, one after another."""
+    return rows.repartition("part").sortWithinPartitions("part")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_parts: int = DOCS_OF_PART) -> DataFrame:
     """``docs(doc, row, text)`` to ``(doc, row, spans)``: packed ranges of windows that repeat, where there are any."""
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // doc_parts)
+    parts = PARTS_OF_TASK * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // doc_parts)
     shared = spark.sparkContext.broadcast(large_buckets(docs, length))  # LARGE_BUCKETS at most
-    dealt = _spread(docs.mapInArrow(lambda b: lean(_in_portions(_stretches(b, length, parts, shared.value), parts)), _ROWS), parts)
+    dealt = _spread(docs.mapInArrow(lambda b: lean(_in_portions(_stretches(b, length, parts, shared.value), parts)), _ROWS))
     found = written(dealt.mapInArrow(lambda b: lean(_settled(b, True, shared.value)), _FOUND), "stretches", "zstd")
     undecided = found.where("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("part", "spans")).alias("found"))
     edges = docs.join(undecided, ["doc", "row"]).select("doc", "row", "text", "found")
-    windows = _spread(edges.mapInArrow(lambda b: lean(_in_portions(_windows(b, length, parts), parts)), _ROWS), parts)
+    windows = _spread(edges.mapInArrow(lambda b: lean(_in_portions(_windows(b, length, parts), parts)), _ROWS))
     repeated = found.where("kind = 1").union(windows.mapInArrow(lambda b: lean(_settled(b, False)), _FOUND).where("kind = 1"))
     return repeated.groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
 
