@@ -8,6 +8,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from monthloom.llm import filter_audit, substring_dedup, whitening
@@ -105,16 +106,13 @@ def test_equal_eigenvalues_at_the_blocks_end():
 
 
 def test_many_partial_sums_are_summed_by_tasks(spark):
-    frame = spark.range(0, 500, 1, 100).mapInArrow(lambda b: _partials(b), "m binary")
-    assert whitening._summed(frame, (2,)).tolist() == [500 * 499 / 2, 500]
-
-
-def _partials(batches):
-    import pyarrow as pa
+    def partials(batches):
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([np.array([ids.sum(), len(ids)], float).tobytes()], pa.binary())], names=["m"])
 
-    for batch in batches:
-        ids = batch["id"].to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([np.array([ids.sum(), len(ids)], float).tobytes()], pa.binary())], names=["m"])
+    frame = spark.range(0, 500, 1, 100).mapInArrow(partials, "m binary")
+    assert whitening._summed(frame, (2,)).tolist() == [500 * 499 / 2, 500]
 
 
 # --- filter audit ---
@@ -276,8 +274,6 @@ def test_word_windows_across_segments_and_batches(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, name, size)
     docs = spark.createDataFrame(shared_passages(), "doc_id long, text string")
     one = [r.asDict() for r in docs.selectExpr("doc_id AS doc", "xxhash64(text) AS row", "text").collect()]
-    import pyarrow as pa
-
     batch = pa.RecordBatch.from_pylist(one)
     none = np.zeros(0, np.uint64)
 
