@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.schemas import CATALOG
+from monthloom.sources.columns import fields_of, parse_lines, read_columns
 
 # The source codes a catalog row can carry.
 SERIES_SOURCE = "fred"
@@ -14,14 +17,13 @@ SOURCES = (SERIES_SOURCE, PAGED_SOURCE)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; empty fields are NULL."""
-    return spark.read.schema(CATALOG).option("header", True).csv(path)
+    """A CSV file, read by its header; empty fields are NULL."""
+    return read_columns(spark, path, CATALOG, "csv")
 
 
-def catalog_from_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    """The same fields from a column of CSV text lines."""
-    parsed = F.from_csv(F.col(column), F.lit(CATALOG), {"mode": "FAILFAST"})
-    return lines.select(parsed.alias("row")).select("row.*")
+def catalog_from_lines(lines: DataFrame, column: str = "line", header: str | Sequence[str] | None = None) -> DataFrame:
+    """The same from a column of CSV text lines under a header; without one, in the order of ``CATALOG``."""
+    return parse_lines(lines, header or [name for name, _ in fields_of(CATALOG)], CATALOG, column)
 
 
 def route(catalog: DataFrame, source: str) -> DataFrame:

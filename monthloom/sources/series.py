@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from monthloom.functions import nan_to_null, parse_mixed_date
 from monthloom.schemas import LANDED_SERIES, QUOTES
 from monthloom.sources.catalog import SERIES_SOURCE, route
+from monthloom.sources.columns import read_columns
 
 
 def read_landed_series(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Rows (data_name, date text, value) of a directory of csv, json, orc or parquet."""
-    reader = spark.read.schema(LANDED_SERIES)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    """Rows (data_name, date text, value) of a directory of csv, json, orc or parquet, found by column name."""
+    return read_columns(spark, path, LANDED_SERIES, fmt)
 
 
 def _names(catalog: DataFrame) -> DataFrame:
@@ -55,9 +53,6 @@ def catalog_daily_sums(landed: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def read_quotes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Daily closing quotes (ticker, trade_date, close)."""
-    reader = spark.read.schema(QUOTES)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    quotes = reader.format(fmt).load(path)
+    """Daily closing quotes (ticker, trade_date, close), found by column name."""
+    quotes = read_columns(spark, path, QUOTES, fmt)
     return quotes.withColumn("close", nan_to_null(F.col("close")))

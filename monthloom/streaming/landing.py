@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from monthloom.schemas import LANDED_SERIES, PAGE
+from monthloom.sources.columns import CSV_OPTIONS, fields_of, header_of, select_typed
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -21,11 +23,18 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def stream_series(spark: SparkSession, path: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
-    """New files of (data_name, date text, value) rows."""
-    reader = spark.readStream.schema(LANDED_SERIES).option("maxFilesPerTrigger", files_per_batch)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    """New files of (data_name, date text, value) rows.
+
+    CSV files are read by the header of those that are there when the stream
+    starts, and in the declared order if there is none yet; one that has
+    another header fails the stream.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if fmt != "csv":
+        return reader.schema(LANDED_SERIES).format(fmt).load(path)
+    names = header_of(spark, path) or [name for name, _ in fields_of(LANDED_SERIES)]
+    text = StructType([StructField(name, StringType()) for name in names])
+    return select_typed(reader.schema(text).options(**CSV_OPTIONS).csv(path), LANDED_SERIES, path)
 
 
 def land_new_files(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
