@@ -12,7 +12,8 @@ from monthloom.operators import clean
 from monthloom.operators.broadcasting import literal_rows
 from monthloom.operators.panel import monthly_mean
 from monthloom.plans.panel import build_panel
-from monthloom.sources import audit_pages, catalog_from_lines, catalog_series, flatten_pages, parse_pages, route, unrouted
+from monthloom.schemas import LANDED_SERIES, QUOTES
+from monthloom.sources import audit_pages, catalog_from_lines, catalog_series, distinct_pages, flatten_pages, parse_lines, parse_pages, route, unrouted
 from monthloom.sources.catalog import PAGED_SOURCE, SERIES_SOURCE
 
 
@@ -33,6 +34,18 @@ def catalog_scan(spark, sf_dir):
     return catalog_from_lines(views.catalog_lines(spark, sf_dir))
 
 
+SHUFFLED_CATALOG = "value_name,note,data_link,secondary_name,column_to_groupby,source,owner,data_name,paginated"
+
+
+@query("catalog_by_header", sql("catalog", "SELECT * FROM catalog"))
+def catalog_by_header(spark, sf_dir):
+    """The catalog from lines with other columns among its own, in another order."""
+    lines = views.catalog_lines(spark, sf_dir)
+    field = lambda name: F.split("line", ",")[views.CATALOG_FIELDS.index(name)]
+    cells = [F.lit('"a ""note"", quoted"') if n == "note" else F.lit("x") if n == "owner" else field(n) for n in SHUFFLED_CATALOG.split(",")]
+    return catalog_from_lines(lines.select(F.concat_ws(",", *cells).alias("line")), header=SHUFFLED_CATALOG)
+
+
 @query(
     "catalog_route",
     sql(
@@ -102,8 +115,8 @@ def page_union(spark, sf_dir):
     "page_audit",
     sql(
         "records",
-        """SELECT data_link, count(DISTINCT page) AS pages, count(*) AS rows_held,
-                  count(*) + CAST(data_link AS BIGINT) % 2 AS rows_declared,
+        """SELECT data_link, count(DISTINCT page) AS pages, CAST(0 AS BIGINT) AS pages_repeated, count(*) AS rows_held,
+                  count(*) + CAST(data_link AS BIGINT) % 2 AS rows_declared, CAST(0 AS BIGINT) AS rows_surplus,
                   CAST(data_link AS BIGINT) % 2 = 0 AS is_complete
            FROM records GROUP BY data_link""",
     ),
@@ -112,6 +125,65 @@ def page_audit(spark, sf_dir):
     return audit_pages(_pages(spark, sf_dir), "data_link")
 
 
+# Pages that have not arrived, and pages that were landed twice; at the smallest size there are the first two only.
+MISSING, TWICE = (4, 12), (0, 9, 11, 18)
+
+
+def _landed_pages(spark, sf_dir):
+    arrived = _pages(spark, sf_dir).where(~F.col("page").isin(*MISSING))
+    return arrived.unionByName(arrived.where(F.col("page").isin(*TWICE)))
+
+
+@query(
+    "page_audit_repeats",
+    sql(
+        "records",
+        f"""SELECT data_link, CAST(sum(copies) AS BIGINT) AS pages, CAST(sum(copies - 1) AS BIGINT) AS pages_repeated,
+                   CAST(sum(n) AS BIGINT) AS rows_held, max(declared) AS rows_declared,
+                   CAST(greatest(sum(copies * n) - max(declared), 0) AS BIGINT) AS rows_surplus, sum(n) = max(declared) AS is_complete
+            FROM (SELECT data_link, page, count(*) AS n, CASE WHEN page IN {TWICE} THEN 2 ELSE 1 END AS copies,
+                  FROM records WHERE page NOT IN {MISSING} GROUP BY ALL)
+                 JOIN (SELECT data_link, count(*) + CAST(data_link AS BIGINT) % 2 AS declared FROM records GROUP BY data_link) USING (data_link)
+            GROUP BY data_link""",
+    ),
+)
+def page_audit_repeats(spark, sf_dir):
+    """Pages landed twice neither hide missing ones nor go unreported."""
+    return audit_pages(_landed_pages(spark, sf_dir), "data_link")
+
+
+@query(
+    "page_distinct",
+    sql("records", f"SELECT data_link, page, period, value, grp FROM records WHERE page NOT IN {MISSING}"),
+)
+def page_distinct(spark, sf_dir):
+    """Records of the pages that have arrived, each page once."""
+    rows = flatten_pages(distinct_pages(_landed_pages(spark, sf_dir), "data_link"), "data_link", "page")
+    record = F.col("record")
+    return rows.select("data_link", "page", record["period"].alias("period"), record["value"].cast("double").alias("value"), record["grp"].alias("grp"))
+
+
+@query(
+    "landed_by_header",
+    "SELECT o_orderpriority AS data_name, strftime(o_orderdate, '%Y-%m-%d') AS date, round(o_totalprice * 100) AS value FROM orders",
+)
+def landed_by_header(spark, sf_dir):
+    """Landed rows from CSV text with the value first and a column that nobody asked for."""
+    rows = _landed(spark, sf_dir)
+    lines = rows.select(F.concat_ws(",", F.col("value").cast("decimal(18,0)"), F.lit('"1,5"'), "date", "data_name").alias("line"))
+    return parse_lines(lines, "value,weight,date,data_name", LANDED_SERIES)
+
+
+@query("quotes_by_header", sql("quotes", "SELECT ticker, trade_date, close FROM quotes"))
+def quotes_by_header(spark, sf_dir):
+    """Quotes from CSV text with the date first, as day and as compact day in turn."""
+    quotes = views.quotes(spark, sf_dir)
+    day = F.date_format("trade_date", "yyyy-MM-dd")
+    text = F.when(F.dayofmonth("trade_date") % 2 == 0, day).otherwise(F.replace(day, F.lit("-"), F.lit("")))
+    lines = quotes.select(F.concat_ws(",", text, F.lit("7"), F.col("close").cast("string"), "ticker").alias("line"))
+    return parse_lines(lines, ["trade_date", "volume", "close", "ticker"], QUOTES)
+
+
 @query("quotes_scan", sql("quotes", "SELECT ticker, trade_date, close FROM quotes"))
 def quotes_scan(spark, sf_dir):
     return views.quotes(spark, sf_dir)

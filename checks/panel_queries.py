@@ -73,6 +73,25 @@ def quotes_month_last(spark, sf_dir):
     return panel.monthly_last(views.quotes_by_flag(spark, sf_dir))
 
 
+@query(
+    "quotes_ties",
+    """SELECT series_id, month_end, max(close) AS value
+       FROM (SELECT *
+             FROM (SELECT l_returnflag AS series_id, last_day(CAST(l_shipdate AS DATE)) AS month_end,
+                          CAST(l_shipdate AS DATE) AS trade_date, l_extendedprice AS close
+                   FROM lineitem)
+             QUALIFY trade_date = max(trade_date) OVER (PARTITION BY series_id, month_end))
+       GROUP BY series_id, month_end""",
+)
+def quotes_ties(spark, sf_dir):
+    """Every line price as a quote, so that a day has many closes, of which the highest stands."""
+    lines = views.table(spark, sf_dir, "lineitem")
+    quotes = lines.select(
+        F.col("l_returnflag").alias("ticker"), F.col("l_shipdate").cast("date").alias("trade_date"), F.col("l_extendedprice").alias("close")
+    )
+    return panel.monthly_last(quotes)
+
+
 def _pivot_sql(source: str, key: str, names: tuple[str, ...], codes: tuple[str, ...]) -> str:
     columns = ", ".join(
         f"round(avg(value) FILTER (WHERE series_id = '{code}'), 4) AS \"{name}\"" for code, name in zip(codes, names)
@@ -126,12 +145,15 @@ def _payload(spark, sf_dir):
     "pivot_total",
     sql(
         "payload",
-        "SELECT date, round(sum(value), 4) AS total_orders FROM means GROUP BY date",
+        """SELECT date, round(sum(value), 4) AS total_orders FROM means
+           WHERE series_id <> '5-low' GROUP BY date""",
         means="SELECT obs_date AS date, series_id, avg(value) AS value FROM payload GROUP BY ALL",
     ),
 )
 def pivot_total(spark, sf_dir):
-    totals = panel.group_totals(panel.group_means(_payload(spark, sf_dir)))
+    """One group is named like a date column, and so is in no total."""
+    label = F.when(F.col("grp") == "5-LOW", F.lit("Up To Date")).otherwise(F.col("grp"))
+    totals = panel.group_totals(panel.group_means(_payload(spark, sf_dir).withColumn("grp", label)), suffix="_orders")
     return totals.select("date", rounded("value", 4).alias("total_orders"))
 
 

@@ -212,12 +212,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("grp"), F.col("event_type"),
     )
     packed = events.groupBy("data_link", "page").agg(F.array_agg(record).alias("data"))
-    totals = events.groupBy("data_link").agg(F.count(F.lit(1)).alias("held"))
+    totals = packed.groupBy("data_link").agg(F.sum(F.size("data")).alias("held"))
     declared = (F.col("held") + F.col("data_link").cast("bigint") % 2).cast("string")
     body = F.to_json(F.struct(F.struct(declared.alias("total"), "data").alias("response")))
     return packed.join(totals, "data_link").select("data_link", "page", body.alias("body"))
 
 
+CATALOG_FIELDS = "source data_name secondary_name data_link paginated column_to_groupby value_name".split()
+
+
 def catalog_lines(spark: SparkSession, sf_dir: str, index_name: str | None = None) -> DataFrame:
     """Catalog rows as CSV text: a series per order priority, a payload per
     remainder of the nation keys, and a row that nothing loads per region."""

@@ -16,9 +16,12 @@ def one_series(panel: DataFrame, series: str) -> DataFrame:
     """One series by month.
 
     Picked while aggregating rather than by a filter, so that the panel it
-    comes from is not worked out once more for it.
+    comes from is not worked out once more for it.  Several values of the
+    series in a month fail the job.
     """
-    picked = F.max(F.when(F.col("series_id") == series, F.col("value")))
+    value = F.when(F.col("series_id") == series, F.col("value"))
+    several = F.raise_error(F.lit(f"several values of {series} in a month")).cast("double")
+    picked = F.when(F.count(value) > 1, several).otherwise(F.max(value))
     return panel.groupBy("month_end").agg(picked.alias("value"))
 
 

@@ -36,21 +36,40 @@ def whole_months(obs: DataFrame, start: Day = None, end: Day = None, column: str
     date, so that the predicate reaches the file scan.
     """
     if start is not None:
-        obs = obs.where(F.col(column) >= F.lit(_as_day(start).replace(day=1)))
+        obs = obs.where(F.col(column) >= F.lit(first_month(start)))
     if end is not None:
-        last = _as_day(end)
-        tomorrow = last + dt.timedelta(days=1)
-        if tomorrow.month != last.month:
-            obs = obs.where(F.col(column) < F.lit(tomorrow))
-        else:
-            obs = obs.where(F.col(column) < F.lit(last.replace(day=1)))
+        obs = obs.where(F.col(column) < F.lit(months_later(last_month(end), 1)))
     return obs
 
 
-def _as_day(day: str | dt.date) -> dt.date:
+def as_day(day: str | dt.date) -> dt.date:
     return day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
 
 
+def months_later(first: dt.date, n: int) -> dt.date:
+    """The first day of the month that many months on, or back."""
+    number = first.year * 12 + first.month - 1 + n
+    return dt.date(number // 12, number % 12 + 1, 1)
+
+
+def first_month(start: str | dt.date) -> dt.date:
+    """First day of the first month whose end is not before the start."""
+    return as_day(start).replace(day=1)
+
+
+def last_month(end: str | dt.date) -> dt.date:
+    """First day of the last month whose end is not after the end."""
+    last = as_day(end)
+    first = last.replace(day=1)
+    is_month_end = (last + dt.timedelta(days=1)).month != last.month
+    return first if is_month_end else months_later(first, -1)
+
+
+def look_back(start: Day, months: int) -> dt.date | None:
+    """From where rows are needed when each shown month is set against one ``months`` before it."""
+    return None if start is None else months_later(first_month(start), -months)
+
+
 def date_bounds(panel: DataFrame, column: str = "month_end") -> DataFrame:
     return panel.agg(F.min(column).alias("first_date"), F.max(column).alias("last_date"))
 

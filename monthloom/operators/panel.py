@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions import month_end, month_start, series_stem
 from monthloom.operators.broadcasting import one_row_per_month
-from monthloom.operators.filters import Day, whole_months
+from monthloom.operators.filters import Day, first_month, last_month, whole_months
 
 
 def monthly_mean(obs: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
@@ -46,19 +46,33 @@ def monthly_last(
     date: str = "trade_date",
     value: str = "close",
     tie_break: Sequence[str] = (),
+    ties: str = "highest",
 ) -> DataFrame:
     """Last non-missing value of each month.
 
-    ``tie_break`` names further columns that order rows of the same date.  The
-    order is then a struct, which Spark can only aggregate by sorting, so give
-    it only where a date has several rows.
+    Where the last date has several values, ``ties`` says which one stands: the
+    "highest" or the "lowest" of them, or "fail", which fails the job on a date
+    whose values differ.  Rows become one per date first, by sums that need no
+    sorting and that are made where the rows are; so the order in which files
+    are read never decides.
+
+    ``tie_break`` names further columns that order rows of the same date, the
+    largest last.  The order is then a struct, which Spark can only aggregate by
+    sorting, so give it only where the data have such an order.
     """
-    order = F.struct(date, *tie_break) if tie_break else F.col(date)
-    last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), order))
-    panel = quotes.groupBy(F.col(key).alias("series_id"), month_end(F.col(date)).alias("month_end")).agg(
-        last.alias("value")
-    )
-    return _dated(panel)
+    months = month_end(F.col(date)).alias("month_end")
+    if tie_break:
+        last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(date, *tie_break)))
+        return _dated(quotes.groupBy(F.col(key).alias("series_id"), months).agg(last.alias("value")))
+    several = F.raise_error(F.concat(F.lit("several values of "), F.col(key), F.lit(" on "), F.col(date).cast("string")))
+    one = {
+        "highest": F.max(value),
+        "lowest": F.min(value),
+        "fail": F.when(F.min(value) != F.max(value), several.cast("double")).otherwise(F.max(value)),
+    }[ties]
+    daily = quotes.groupBy(key, date).agg(one.alias("_value"))
+    last = F.max_by(F.col("_value"), F.when(F.col("_value").isNotNull(), F.col(date)))
+    return _dated(daily.groupBy(F.col(key).alias("series_id"), months).agg(last.alias("value")))
 
 
 def union_panels(*panels: DataFrame) -> DataFrame:
@@ -66,15 +80,18 @@ def union_panels(*panels: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, panels)
 
 
-def inner_panels(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Both panels, on the months that both span.
+def inner_panels(left: DataFrame, right: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
+    """Both panels, on the months that both span and that lie in the range.
 
     A panel stands for a row per month from its first to its last, so the
-    shared months are the overlap of the two spans.
+    shared months are the overlap of the two spans.  A range is said of these
+    months and not of the rows: Spark would move a filter on rows below the
+    aggregation behind a panel, where the panel's span, which needs all rows,
+    could no longer share its shuffle.
     """
     (left_low, left_high), (right_low, right_high) = span(left), span(right)
     months = months_between(
-        left.sparkSession, F.greatest(left_low, right_low), F.least(left_high, right_high)
+        left.sparkSession, F.greatest(left_low, right_low), F.least(left_high, right_high), start, end
     )
     return on_months(union_panels(left, right), months)
 
@@ -99,8 +116,12 @@ def span(panel: DataFrame) -> tuple[Column, Column]:
     return month_start(bounds["low"]), month_start(bounds["high"])
 
 
-def months_between(spark: SparkSession, low: Column, high: Column) -> DataFrame:
-    """Month ends from one month to another; none when they are the wrong way round."""
+def months_between(spark: SparkSession, low: Column, high: Column, start: Day = None, end: Day = None) -> DataFrame:
+    """Month ends from one month to another that lie in the range; none when they are the wrong way round."""
+    if start is not None:
+        low = F.greatest(month_start(low), F.lit(first_month(start)))
+    if end is not None:
+        high = F.least(month_start(high), F.lit(last_month(end)))
     starts = F.sequence(month_start(low), month_start(high), F.expr("interval 1 month"))
     axis = spark.range(1).select(F.explode(F.when(low <= high, starts)).alias("_start"))
     return axis.select(F.last_day("_start").alias("month_end"))
@@ -217,15 +238,26 @@ def group_means(payload: DataFrame, keys: Sequence[str] = ("date",)) -> DataFram
     return payload.groupBy(*keys, "grp").agg(F.avg("value").alias("value"), F.count("value").alias("rows"))
 
 
-def group_totals(means: DataFrame, keys: Sequence[str] = ("date",), exclude_groups: Sequence[str] = ()) -> DataFrame:
-    """Sum of the group means per date, missing ones counted as zero.
+def in_totals(group: Column, suffix: Column | str = "", exclude_groups: Sequence[str] = ()) -> Column:
+    """Whether a group counts in its payload's total.
 
-    A payload that also holds a national row is counted twice unless that
-    group is excluded.
+    A group whose series name holds "date" is read as a date column and not as
+    a group.  A payload that also holds a national row is counted twice unless
+    that group is excluded.
     """
-    if exclude_groups:
-        means = means.where(~F.col("grp").isin(*exclude_groups))
-    return means.groupBy(*keys).agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("value"))
+    counts = ~series_stem(group, suffix).contains("date")
+    return counts & ~group.isin(*exclude_groups) if exclude_groups else counts
+
+
+def group_totals(
+    means: DataFrame,
+    keys: Sequence[str] = ("date",),
+    exclude_groups: Sequence[str] = (),
+    suffix: Column | str = "",
+) -> DataFrame:
+    """Sum of the group means per date, missing ones counted as zero, of the groups that count in totals."""
+    counted = means.where(in_totals(F.col("grp"), suffix, exclude_groups))
+    return counted.groupBy(*keys).agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
 def named_groups(means: DataFrame, suffix: Column | str = "") -> DataFrame:

@@ -14,6 +14,7 @@ from monthloom.plans.oil import oil_report
 from monthloom.plans.panel import build_panel
 from monthloom.plans.price import price_report
 from monthloom.plans.recent import recent_report
+from monthloom.plans.years import panel_of, years_of
 
 __all__ = [
     "Outputs",
@@ -24,6 +25,8 @@ __all__ = [
     "industrial_report",
     "oil_report",
     "pair_detail",
+    "panel_of",
     "price_report",
     "recent_report",
+    "years_of",
 ]

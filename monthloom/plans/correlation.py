@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from monthloom.operators.clean import select_renamed
-from monthloom.operators.filters import Day, date_bounds, date_range
+from monthloom.operators.filters import Day, date_bounds
 from monthloom.operators.panel import inner_panels
 from monthloom.operators.stats import correlation_matrix, ols_fit, ols_trendline, symmetric_range
 from monthloom.operators.windows import YEAR, align_pairs, rolling_beta, rolling_corr
@@ -17,15 +17,16 @@ from monthloom.plans.common import Outputs, Share, unshared
 VARIABLES = (*names.TICKER_LABELS.values(), *names.MACRO_VARIABLES.values())
 
 
-def correlation_frame(panel: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Markets' month-end quotes and the economy's series, on shared months.
+def correlation_frame(panel: DataFrame, quotes: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
+    """Markets' month-end quotes and the economy's series, on the shared months of a date range.
 
     ``quotes`` is a panel whose series are tickers, as ``monthly_last`` makes
-    it; a job writes it once, so that no output goes back to daily quotes.
+    it.  The range is part of the frame, so daily quotes and observations are
+    read once for the values and for the spans.
     """
     markets = select_renamed(quotes, names.TICKER_LABELS)
     economy = select_renamed(panel, names.MACRO_VARIABLES)
-    return inner_panels(markets, economy)
+    return inner_panels(markets, economy, start, end)
 
 
 def pair_detail(shown: DataFrame, x: str, y: str, window: int = YEAR) -> dict[str, Callable[[], DataFrame]]:
@@ -62,10 +63,9 @@ def correlation_report(
     window: int = YEAR,
     share: Share = unshared,
 ) -> Outputs:
-    frame = share(correlation_frame(panel, quotes))
-    shown = date_range(frame, start, end)
+    shown = share(correlation_frame(panel, quotes, start, end))
     return Outputs(
-        date_bounds=lambda: date_bounds(frame),
+        date_bounds=lambda: date_bounds(correlation_frame(panel, quotes)),
         correlation=lambda: correlation_matrix(shown, VARIABLES),
         **(pair_detail(shown, *pair, window=window) if pair else {}),
     )

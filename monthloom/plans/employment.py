@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from monthloom.operators.filters import Day, date_bounds, date_range, keep_series
+from monthloom.operators.filters import Day, date_bounds, date_range, keep_series, since
 from monthloom.operators.windows import yoy_after_epoch
 from monthloom.plans import names
 from monthloom.plans.common import Outputs, Share, change_bounds, correlations, figures, unshared
@@ -23,11 +23,13 @@ def employment_report(
     end: Day = None,
     epoch: Day = names.EMPLOYMENT_EPOCH,
     share: Share = unshared,
+    history: DataFrame | None = None,
 ) -> Outputs:
-    frame = share(employment_frame(panel, epoch))
-    shown = date_range(frame, start, end)
+    """``history`` is the panel behind ``date_bounds`` where ``panel`` holds only the years of the range."""
+    shown = share(date_range(employment_frame(panel, epoch), start, end))
+    whole = panel if history is None else history
     return Outputs(
-        date_bounds=lambda: date_bounds(frame),
+        date_bounds=lambda: date_bounds(since(keep_series(whole, SERIES), epoch)),
         figures=lambda: figures(shown, FIGURES),
         change_bounds=lambda: change_bounds(shown, SERIES),
         correlation=lambda: correlations(shown, names.EMPLOYMENT_VARIABLES),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from monthloom.functions import half_even
 from monthloom.operators.derive import drill_series, latest_region, region_rollout, region_states, with_cards
 from monthloom.operators.filters import Day, date_bounds, date_range
-from monthloom.operators.panel import complete_cases
+from monthloom.operators.panel import complete_cases, complete_months
 from monthloom.operators.windows import yoy_rows
 from monthloom.plans import names
 from monthloom.plans.common import Outputs, Share, region_dimension, unshared
@@ -37,13 +37,22 @@ def national_card(shown: DataFrame) -> DataFrame:
 
 
 def fuel_report(
-    panel: DataFrame, start: Day = None, end: Day = None, region: str | None = None, share: Share = unshared
+    panel: DataFrame,
+    start: Day = None,
+    end: Day = None,
+    region: str | None = None,
+    share: Share = unshared,
+    history: DataFrame | None = None,
 ) -> Outputs:
-    """With a ``region``, region_history holds that one alone."""
-    frame = share(fuel_frame(panel))
-    shown = date_range(frame, start, end)
+    """With a ``region``, region_history holds that one alone.
+
+    ``history`` is the panel behind ``date_bounds`` where ``panel`` holds only
+    the years of the range.
+    """
+    shown = share(date_range(fuel_frame(panel), start, end))
+    months = complete_months(panel if history is None else history, names.FUEL_SERIES)
     return Outputs(
-        date_bounds=lambda: date_bounds(frame),
+        date_bounds=lambda: date_bounds(months),
         latest_by_state=lambda: latest_by_state(shown),
         national_card=lambda: national_card(shown),
         region_history=lambda: drill(shown, "region", region),

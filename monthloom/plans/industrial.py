@@ -16,6 +16,7 @@ from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
 from monthloom.plans.common import Outputs, Share, change_bounds, correlations, figures, unshared
 
+SERIES = names.INDUSTRIAL_PLAIN + names.PRICE_ADJUSTED
 LABELS = {**names.OUTPUT_LABELS, **names.ORDERS_LABELS, **names.HOUSING_LABELS}
 TOTALS = {
     "orders_total": names.ORDERS_TOTAL,
@@ -31,7 +32,7 @@ def industrial_frame(
     mode: str = "inflate",
 ) -> DataFrame:
     """The report's series since the epoch, price series rebased, with changes."""
-    chosen = keep_series(panel, names.INDUSTRIAL_PLAIN + names.PRICE_ADJUSTED)
+    chosen = keep_series(panel, SERIES)
     index = one_series(chosen, names.CPI)
     return yoy_calendar(cpi_rebase(since(chosen, epoch), index, base_month, names.PRICE_ADJUSTED, mode))
 
@@ -60,12 +61,14 @@ def industrial_report(
     orders: Iterable[str] = tuple(names.ORDERS_LABELS),
     housing: Iterable[str] = tuple(names.HOUSING_LABELS),
     share: Share = unshared,
+    history: DataFrame | None = None,
 ) -> Outputs:
-    frame = share(industrial_frame(panel, epoch, base_month, mode))
-    shown = date_range(frame, start, end)
+    """``history`` is the panel behind ``date_bounds`` where ``panel`` holds only the years of the range."""
+    shown = share(date_range(industrial_frame(panel, epoch, base_month, mode), start, end))
+    whole = keep_series(panel if history is None else history, SERIES)
     output = complete_output(shown)
     return Outputs(
-        date_bounds=lambda: date_bounds(frame),
+        date_bounds=lambda: date_bounds(since(whole, epoch)),
         figures=lambda: figures(shown, TOTALS),
         output_total=lambda: figures(output, {"output_total": names.OUTPUT_TOTAL}),
         output_by_category=lambda: _by_category(output, outputs),

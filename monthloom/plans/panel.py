@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from monthloom.functions import parse_mixed_date, series_stem
 from monthloom.operators.clean import rename_series
-from monthloom.operators.panel import group_means, monthly_mean_of_sums, union_panels
+from monthloom.operators.panel import group_means, in_totals, monthly_mean_of_sums, union_panels
 from monthloom.operators.windows import yoy_calendar
 from monthloom.plans import names
 from monthloom.sources.pages import catalog_records
@@ -40,10 +40,7 @@ def paged_observations(pages: DataFrame, catalog: DataFrame, not_in_totals: Sequ
         F.lit(1).cast("bigint").alias("weight"),
         F.lit(True).alias("is_total"),
     )
-    dated = F.lower(F.concat(F.col("grp"), suffix)).contains("date")  # read as a date column, not as a group
-    has_total = grouped & (suffix != names.SUFFIX_WITHOUT_TOTAL) & ~dated
-    if not_in_totals:
-        has_total = has_total & ~F.col("grp").isin(*not_in_totals)
+    has_total = grouped & (suffix != names.SUFFIX_WITHOUT_TOTAL) & in_totals(F.col("grp"), suffix, not_in_totals)
     goes_to = F.when(has_total, F.array(own, total)).otherwise(F.array(own))
     rows = means.select("date", "value", F.explode(goes_to).alias("to")).select("date", "value", "to.*")
     value = F.when(F.col("is_total"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("value"))

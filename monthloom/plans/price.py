@@ -25,12 +25,18 @@ def price_frame(panel: DataFrame, epoch: Day = names.PRICE_EPOCH) -> DataFrame:
 
 
 def price_report(
-    panel: DataFrame, start: Day = None, end: Day = None, epoch: Day = names.PRICE_EPOCH, share: Share = unshared
+    panel: DataFrame,
+    start: Day = None,
+    end: Day = None,
+    epoch: Day = names.PRICE_EPOCH,
+    share: Share = unshared,
+    history: DataFrame | None = None,
 ) -> Outputs:
-    frame = share(price_frame(panel, epoch))
-    shown = date_range(frame, start, end)
+    """``history`` is the panel behind ``date_bounds`` where ``panel`` holds only the years of the range."""
+    shown = share(date_range(price_frame(panel, epoch), start, end))
+    whole = panel if history is None else history
     return Outputs(
-        date_bounds=lambda: date_bounds(frame),
+        date_bounds=lambda: date_bounds(since(keep_series(whole, SERIES), epoch)),
         inflation=lambda: keep_series(shown, [names.INFLATION]).select("month_end", "value"),
         figures=lambda: figures(shown, FIGURES),
         change_bounds=lambda: change_bounds(shown, FIGURES),

@@ -1,5 +1,25 @@
 """Writers."""
 
-from monthloom.sinks.tables import read_output, read_panel, shared_frame, write_panel, write_report
+from monthloom.sinks.tables import (
+    newest_month,
+    panel_years,
+    read_output,
+    read_panel,
+    shared_frame,
+    staged_report,
+    write_outputs,
+    write_panel,
+    write_report,
+)
 
-__all__ = ["read_output", "read_panel", "shared_frame", "write_panel", "write_report"]
+__all__ = [
+    "newest_month",
+    "panel_years",
+    "read_output",
+    "read_panel",
+    "shared_frame",
+    "staged_report",
+    "write_outputs",
+    "write_panel",
+    "write_report",
+]

@@ -6,7 +6,7 @@ of every payload at once; the audit tells whether all of them have arrived.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monthloom.functions import drop_null_tokens, nan_to_null, strict_double
@@ -36,24 +36,58 @@ def flatten_pages(pages: DataFrame, *keys: str) -> DataFrame:
     return pages.select(*keys, F.explode("response.data").alias("record"))
 
 
-def audit_pages(pages: DataFrame, *keys: str) -> DataFrame:
-    """Per payload: rows held against the total its pages declare.
+def page_identity(data: Column) -> Column:
+    """What tells a page from others: a digest of its records, two hashes wide.
+
+    Pages carry no number.  A page that was landed twice holds the same records
+    in the same order, and two pages of one payload never do.
+    """
+    entries = F.transform(data, F.map_entries)
+    return F.struct(F.xxhash64(entries).alias("a"), F.hash(entries).alias("b"))
 
-    Sizes come from the arrays, so no record is unpacked.
+
+def audit_pages(pages: DataFrame, *keys: str) -> DataFrame:
+    """Per payload: rows of its different pages against the total they declare.
+
+    A page that was landed again counts once (pages_repeated says how often it
+    happened), so it never stands in for one that is missing; rows_surplus says
+    how many rows more than declared have landed, repeated pages included.  A
+    payload is complete if its different pages hold as many rows as declared.
+    Pages are summed by their identity first, and the payload with a third of
+    all pages is one row per page after that.
     """
     data = F.col("response.data")
-    held = F.sum(F.when(data.isNull(), F.lit(0)).otherwise(F.size(data)))
+    size = F.when(data.isNull(), F.lit(0)).otherwise(F.size(data)).cast("bigint")
+    landed = pages.select(
+        *keys, page_identity(data).alias("_page"), size.alias("_size"), F.col("response.total").cast("bigint").alias("_total")
+    )
+    by_page = landed.groupBy(*keys, "_page.a", "_page.b").agg(
+        F.count(F.lit(1)).alias("_landed"), F.max("_size").alias("_size"), F.max("_total").alias("_total")
+    )
+    repeated = F.when(F.col("_size") > 0, F.col("_landed") - 1).otherwise(F.lit(0).cast("bigint"))
+    surplus = F.greatest(F.sum(F.col("_landed") * F.col("_size")) - F.max("_total"), F.lit(0).cast("bigint"))
     return (
-        pages.groupBy(*keys)
+        by_page.groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("pages"),
-            held.alias("rows_held"),
-            F.max(F.col("response.total").cast("bigint")).alias("rows_declared"),
+            F.sum("_landed").alias("pages"),
+            F.sum(repeated).alias("pages_repeated"),
+            F.sum("_size").alias("rows_held"),
+            F.max("_total").alias("rows_declared"),
+            surplus.alias("rows_surplus"),
         )
-        .withColumn("is_complete", F.col("rows_held") >= F.col("rows_declared"))
+        .withColumn("is_complete", F.col("rows_held") == F.col("rows_declared"))
     )
 
 
+def distinct_pages(pages: DataFrame, *keys: str) -> DataFrame:
+    """Each page of a payload once, however often it was landed."""
+    identity = page_identity(F.col("response.data"))
+    marked = pages.withColumn("_page", F.when(F.size("response.data") > 0, identity))
+    full = marked.where(F.col("_page").isNotNull())
+    empty = marked.where(F.col("_page").isNull())
+    return full.dropDuplicates([*keys, "_page"]).unionByName(empty).drop("_page")
+
+
 def catalog_records(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """Records with the value and group that the catalog row points at.
 

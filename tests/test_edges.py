@@ -8,6 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from monthloom import plans
 from monthloom.functions import half_even, nan_to_null, natural_log, parse_mixed_date, series_stem
 from monthloom.operators import clean, derive, filters, panel, stats, windows
 from monthloom.plans import fuel, names
@@ -60,6 +61,33 @@ def test_month_last_breaks_ties(spark):
     assert by_key(last, "series_id", "month_end") == {("t", day("2024-01-31")): 1.0}
 
 
+def test_several_closes_of_a_day_follow_a_rule(spark):
+    rows = [("t", "2024-01-05", 9.0), ("t", "2024-01-31", 1.0), ("t", "2024-01-31", 3.0), ("t", "2024-01-31", None), ("u", "2024-01-31", 2.0), ("u", "2024-01-31", 2.0)]
+    schema = "ticker STRING, trade_date DATE, close DOUBLE"
+    for order in (rows, rows[::-1]):
+        quotes = spark.createDataFrame([(t, day(d), v) for t, d, v in order], schema).repartition(3)
+        for ties, value in (("highest", 3.0), ("lowest", 1.0)):
+            found = by_key(panel.monthly_last(quotes, ties=ties), "series_id", "month_end")
+            assert found == {("t", day("2024-01-31")): value, ("u", day("2024-01-31")): 2.0}
+        with pytest.raises(Exception, match="several values of t on 2024-01-31"):
+            panel.monthly_last(quotes, ties="fail").collect()
+        same = quotes.where("ticker = 'u'")
+        assert by_key(panel.monthly_last(same, ties="fail"), "series_id", "month_end") == {("u", day("2024-01-31")): 2.0}
+    plan = panel.monthly_last(quotes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_several_index_values_of_a_month_fail_the_industrial_report(spark):
+    rows = [(s, m, 5.0) for s in ("cpi_all", "all_output") for m in months("2016-01-31", 14)]
+    once = make_panel(spark, rows)
+    assert plans.industrial_report(once)["date_bounds"].count() == 1
+    shown = plans.industrial_report(once, orders=["all_output"])["orders_by_category"]
+    assert {r.value for r in shown.collect()} == {5.0}
+    twice = make_panel(spark, [*rows, ("cpi_all", "2016-05-31", 6.0)])
+    with pytest.raises(Exception, match="several values of cpi_all in a month"):
+        plans.industrial_report(twice, orders=["all_output"])["orders_by_category"].collect()
+
+
 def test_calendar_change_and_row_change_differ_after_a_gap(spark):
     ends = months("2020-01-31", 20)
     rows = make_panel(spark, [("a", m, i + 1) for i, m in enumerate(ends) if i != 3])
@@ -190,6 +218,9 @@ def test_duplicate_pivot_cells_are_averaged(spark):
     means = panel.group_means(payload)
     assert by_key(panel.group_totals(means), "date") == {"d1": 2.0, "d2": 5.0}
     assert by_key(panel.group_totals(means, exclude_groups=["H"]), "date") == {"d1": 2.0}
+    dated = means.unionByName(spark.createDataFrame([("d1", "As of Date", 7.0, 1), ("d1", "da te", 9.0, 1)], "date STRING, grp STRING, value DOUBLE, rows BIGINT"))
+    assert by_key(panel.group_totals(dated), "date") == {"d1": 2.0, "d2": 5.0}
+    assert panel.group_totals(dated, suffix="_updated").count() == 0
 
 
 def test_total_of_missing_values_is_zero(spark):

@@ -97,6 +97,18 @@ def _input_rows(spark, frame) -> int:
         ("report_employment", ["lineitem"]),
         ("report_industrial", ["lineitem"]),
         ("report_gas_history", ["lineitem"]),
+        ("quotes_month_last", ["lineitem"]),
+        ("quotes_ties", ["lineitem"]),
+        # lines stand in for quotes and for observations, and each of the two is read once
+        ("report_correlation", ["lineitem", "lineitem"]),
+        ("report_pair", ["lineitem", "lineitem"]),
+        ("report_pair_rolling", ["lineitem", "lineitem"]),
+        ("report_pair_trendline", ["lineitem", "lineitem"]),
+        ("report_pair_fit", ["lineitem", "lineitem"]),
+        ("report_pair_ranges", ["lineitem", "lineitem"]),
+        ("report_recent", ["lineitem"]),
+        ("report_recent_correlation", ["lineitem"]),
+        ("report_recent_lines", ["lineitem"]),
     ],
 )
 def test_tables_are_read_once(spark, sf_dir, name, tables):

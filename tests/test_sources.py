@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -12,11 +14,12 @@ from pyspark.sql import functions as F
 from monthloom import job, plans
 from monthloom.operators.panel import monthly_mean
 from monthloom.plans import names
-from monthloom.sinks import read_output, read_panel, write_panel
+from monthloom.sinks import newest_month, panel_years, read_output, read_panel, write_panel, write_report
 from monthloom.sources import (
     audit_pages,
     catalog_from_lines,
     catalog_series,
+    distinct_pages,
     grouped_suffixes,
     read_catalog,
     read_landed_series,
@@ -93,7 +96,33 @@ def test_catalog(spark, landing):
 
 def test_page_audit_flags_a_short_payload(spark, landing):
     audit = by_key(audit_pages(read_pages(spark, str(landing / "pages")), "data_link"), "data_link")
-    assert audit == {"link-a": (1, 2, 2, True), "link-b": (2, 3, 3, True), "link-c": (1, 4, 5, False)}
+    assert audit == {"link-a": (1, 0, 2, 2, 0, True), "link-b": (2, 0, 3, 3, 0, True), "link-c": (1, 0, 4, 5, 0, False)}
+
+
+def test_page_audit_tells_repeated_and_surplus_pages(spark, landing):
+    pages, row = landing / "pages", {"period": "2024-01", "value": "1"}
+    for number, records in ((0, [row]), (1, [row]), (2, [])):  # one page of two, twice, and an empty one
+        write_page(pages, "twice", number, "2", records)
+    write_page(pages, "surplus", 0, "1", [row, {"period": "2024-02", "value": "1"}])
+    write_page(pages, "empty", 0, "0", [])
+    write_page(pages, "empty", 1, "0", [])
+    audit = by_key(audit_pages(read_pages(spark, str(pages)), "data_link"), "data_link")
+    assert audit["twice"] == (3, 1, 1, 2, 0, False)
+    assert audit["surplus"] == (1, 0, 2, 1, 1, False)
+    assert audit["empty"] == (2, 0, 0, 0, 0, True)
+    kept = distinct_pages(read_pages(spark, str(pages)), "data_link").groupBy("data_link").count()
+    assert by_key(kept, "data_link") == {"link-a": 1, "link-b": 2, "link-c": 1, "twice": 2, "surplus": 1, "empty": 2}
+
+
+def test_panel_job_counts_a_page_that_landed_twice_once(spark, landing):
+    write_page(landing / "pages", "link-c", 1, "5", [{"period": "2024-03", "value": "7", "area-name": "PADD 1"}])
+    job.build(spark, panel_options(landing))
+    first = by_key(read_panel(spark, str(landing / "panel")), "series_id", "month_end")
+    for name in ("page0", "page1"):
+        folder = landing / "pages" / "data_link=link-c"
+        (folder / f"again-{name}.json").write_text((folder / f"{name}.json").read_text())
+    job.build(spark, panel_options(landing))
+    assert by_key(read_panel(spark, str(landing / "panel")), "series_id", "month_end") == first
 
 
 EXPECTED = {
@@ -334,16 +363,106 @@ def test_panel_job_on_complete_and_on_landed_pages(spark, landing):
 
 def test_reports_skip_years_before_their_epoch(spark, report_files, capfd):
     path, _ = report_files
-    panel = read_panel(spark, path.replace("/out", "/panel"), first_year=job.FIRST_YEARS["industrial"])
+    panel = plans.panel_of("industrial", functools.partial(read_panel, spark, path.replace("/out", "/panel")), 1990)
     plan = panel._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and ">= 2005" in plan
 
 
+def partitions_read(spark, frame) -> set[int]:
+    """Years of the panel files that a frame's scans are left with."""
+    years = set()
+    for scan in re.findall(r"PartitionFilters: \[([^\]]*)\]", frame._jdf.queryExecution().executedPlan().toString()):
+        low = max([int(y) for y in re.findall(r">= (\d{4})", scan)] + [int(y) for y in re.findall(r"year#\d+ = (\d{4})", scan)], default=1990)
+        high = min([int(y) for y in re.findall(r"<= (\d{4})", scan)] + [int(y) for y in re.findall(r"year#\d+ = (\d{4})", scan)], default=2024)
+        years |= set(range(low, high + 1))
+    return years
+
+
+@pytest.mark.parametrize(
+    ("report", "start", "end", "years"),
+    [
+        ("oil", "2010-01-31", "2012-12-31", range(2009, 2013)),
+        ("fuel", "2010-05-31", None, range(2009, 2025)),
+        ("price", "2010-01-31", "2012-12-31", range(2009, 2013)),
+        ("price", "1995-02-28", None, range(1995, 2025)),
+        ("employment", None, "1999-06-30", range(1990, 2000)),
+        ("industrial", "2010-01-31", "2020-12-31", range(2009, 2021)),
+        ("industrial", "2010-01-31", "2012-12-31", [*range(2009, 2013), 2016]),
+        ("industrial", "2018-01-31", None, [2016, *range(2017, 2025)]),
+    ],
+)
+def test_a_date_range_skips_years_and_changes_nothing(spark, report_files, report, start, end, years):
+    path = report_files[0].replace("/out", "/panel")
+    read = functools.partial(read_panel, spark, path)
+    panel = plans.panel_of(report, read, panel_years(spark, path)[0], start, end)
+    assert partitions_read(spark, panel) == set(years)
+    make = {"oil": plans.oil_report, "fuel": plans.fuel_report, "price": plans.price_report}
+    make |= {"employment": plans.employment_report, "industrial": plans.industrial_report}
+    pruned, whole = make[report](panel, start, end, history=read()), make[report](read(), start, end)
+    for name in ("date_bounds", "figures", "change_bounds", "latest_by_region", "latest_by_state", "national_history", "output_by_category"):
+        if name in whole:
+            assert sorted(map(str, pruned[name].collect())) == sorted(map(str, whole[name].collect())), name
+            assert pruned[name].count() > 0 or name == "change_bounds", name
+
+
+def test_rows_count_back_over_incomplete_months(spark, tmp_path):
+    """Months without all series do not count, so the twelfth complete month may be many years back."""
+    ends = months("2000-01-31", 144)
+    rows = [(s, m, float(i + 1)) for i, m in enumerate(ends) for s in names.OIL_SERIES if not (24 <= i < 120 and s == names.OIL_SERIES[0] and i % 24)]
+    write_panel(spark.createDataFrame(rows, "series_id STRING, month_end DATE, value DOUBLE"), str(tmp_path / "p"))
+    read = functools.partial(read_panel, spark, str(tmp_path / "p"))
+    for start in ("2010-03-31", "2009-01-31", "2000-06-30", "2001-06-15", "2002-01-01"):
+        panel = plans.panel_of("oil", read, 2000, start)
+        got, want = (plans.oil_report(p, start)["figures"] for p in (panel, read()))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert plans.years_of("oil", read, 2000, "2010-03-31") == (2001, None)
+    assert plans.years_of("oil", read, 2000, "2000-06-30") == (None, None)
+
+
+def test_recent_report_starts_from_one_written_frame(spark, report_files):
+    path = report_files[0].replace("/out", "/panel")
+    panel, frames = read_panel(spark, path), []
+
+    def share(frame):
+        frames.append(frame)
+        return spark.createDataFrame(frame.collect(), frame.schema)
+
+    newest = newest_month(spark, path)
+    assert newest == day("2024-12-31")
+    shared, plain = plans.recent_report(panel, newest=newest, share=share), plans.recent_report(panel)
+    assert len(shared) == 6
+    for name in plain:
+        assert sorted(map(str, shared[name].collect())) == sorted(map(str, plain[name].collect())), name
+        assert "FileScan" not in shared[name]._jdf.queryExecution().executedPlan().toString(), name
+    assert len(frames) == 1  # the panel is read for it and for nothing else
+
+
+def test_newest_month_comes_from_the_last_years_partition(spark, report_files, monkeypatch):
+    path = report_files[0].replace("/out", "/panel")
+    read = []
+    monkeypatch.setattr("monthloom.sinks.tables.read_panel", lambda s, p, a, b: read.append((a, b)) or read_panel(s, p, a, b))
+    assert newest_month(spark, path) == day("2024-12-31") and read == [(2024, 2024)]
+
+
+def test_a_failed_report_leaves_the_old_one(spark, tmp_path):
+    out = str(tmp_path / "out")
+    good, other = spark.range(3), spark.range(5)
+    write_report({"a": good, "b": good}, out, "oil")
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        write_report({"a": other, "c": bad}, out, "oil")
+    assert read_output(spark, out, "oil", "a").count() == 3 and read_output(spark, out, "oil", "b").count() == 3
+    write_report({"a": other}, out, "oil")
+    assert read_output(spark, out, "oil", "a").count() == 5
+    assert sorted(p.name for p in (tmp_path / "out" / "report=oil").iterdir()) == ["output=a"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["report=oil"]
+
+
 def test_one_region_of_the_fuel_report(spark, landing):
     panel = spark.createDataFrame([(s, day("2024-01-31"), 3.0) for s in names.FUEL_SERIES], "series_id STRING, month_end DATE, value DOUBLE")
     region = next(iter(names.FUEL_REGIONS))
     options = job.parse(["reports", "--panel", "p", "--out", str(landing / "o"), "--region", region])
-    rows = job.outputs_of("fuel", panel, options, None)["region_history"].collect()
+    rows = job.outputs_of("fuel", panel, options, None, lambda frame: frame)["region_history"].collect()
     assert {r.series_id for r in rows} == {names.FUEL_REGIONS[region]}
 
 
