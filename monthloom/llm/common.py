@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,11 +38,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder or _own_folder()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """The frame as a table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
-    path = shared_folder(frame.sparkSession, name)
-    frame.write.option("compression", codec).parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """The frame as a table in the shared folder: its lineage ends there, and a lost executor loses nothing.
+
+    As nothing goes back behind the table, the shuffles that made it go with it.
+    """
+    spark = frame.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(frame.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for frame in tables:
+        spark, path = frame.sparkSession, _PATHS.pop(frame)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def lean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,20 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batches_of, lean, table, written
+from .common import batches_of, discard, lean, table, written
 
 ORDER = 5
 SHARED = 2
 DISCOUNT = 0.9
-#: Words, the commonest, whose scores all tasks get, and letters that these have at most; the scores of others are joined.
-COMMON_WORDS, COMMON_LETTERS = 100_000, 64
+#: Words and n-grams, the commonest, whose scores all tasks get; those of others are joined.
+COMMON_WORDS = COMMON_GRAMS = 400_000
 #: Labelled documents, at most, on which the curve is fitted.
 CURVE_ROWS = 20_000
 #: Of five folds by the document's id, the one that is held out and the one that only the curve sees.
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, WORD_BYTES = 8 << 20, 1 << 19
+#: Letters whose n-grams are looked at together.
+LETTERS = 1 << 20
 _NO_EVIDENCE = -20.0
 _BEGIN, _END = 2, 3
 
@@ -57,23 +60,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
     """The word of each letter; and by order, a key of the n-gram that ends there and whether it lies within the word.
 
     A word begins and ends with a sign of its own; the first sign is no letter
-    to predict.
+    to predict.  Letters come in portions, so a word may be of any length; a
+    portion begins with the last letters of the one before, where no n-gram ends.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keys, fits = [np.zeros(len(codes), np.uint64)], [place >= 0]
-    for k in range(1, ORDER + 1):
-        before = np.concatenate([np.zeros(1, np.uint64), keys[-1][:-1]]) if len(codes) else keys[-1]
-        keys.append(_mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + codes + np.uint64(1)) if k > 1 else _mix(codes + np.uint64(1)))
-        fits.append(place >= k - 1)
-    # keys[k] at i is the key of the k-gram ending at i: the (k-1)-gram ending at i - 1, and the letter at i
-    return owner, keys, [f & (place > 0) for f in fits]
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+    starts = np.cumsum(sizes) - sizes
+    for begin in range(0, len(codes), LETTERS):
+        low = max(0, begin - ORDER + 1)
+        at = np.arange(low, min(len(codes), begin + LETTERS))
+        owner = np.searchsorted(starts, at, "right") - 1
+        place, letter = at - starts[owner], codes[at].astype(np.uint64) + np.uint64(1)
+        keys, fits = [np.zeros(len(at), np.uint64)], [(at >= begin) & (place > 0)]
+        for k in range(1, ORDER + 1):
+            before = np.append(np.zeros(1, np.uint64), keys[-1][:-1])
+            keys.append(_mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + letter if k > 1 else letter))
+            fits.append(fits[0] & (place >= k - 1))
+        # keys[k] at i is the key of the k-gram ending at i: the (k-1)-gram ending at i - 1, and the letter at i
+        yield owner, keys, fits
+
+
+def _id_of(word: str) -> int:
+    """The identifier that xxhash64 of Spark gives."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+class _Known:
+    """Values by key, of which some are known."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order] for v in values]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether each key is known, and the values of those that are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), [np.zeros(0) for _ in self.values]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = self.keys[at] == keys
+        return there, [v[at[there]] for v in self.values]
+
+
+def commonest(rows: DataFrame, most: int) -> DataFrame:
+    """Rows with the largest ``n``, down to a level that ``most`` of them reach at most.
+
+    Levels are quarters of a power of two, so there are few hundred of them.
+    """
+    level = F.floor(F.log2("n") * 4)
+    total, least = 0, None
+    for r in rows.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["level"]
+    return rows.limit(0) if least is None else rows.where(level >= least)
 
 
 #: Counts by class, of the folds that the curve's models see and of the curve's own.
@@ -95,113 +139,68 @@ _GRAM = "k int, gram long, context long, suffix long"
 _GRAMS = f"{_GRAM}, ordinary long, toxic long, ordinary_curve long, toxic_curve long"
 
 
-def _distinct_grams(words: list[str]) -> Iterator[tuple]:
-    """By order: the words' distinct n-grams, each with what it is conditioned on and what it continues; the n-gram and the word of each occurrence."""
-    owner, keys, fits = _grams(words)
-    for k in range(1, ORDER + 1):
-        at = np.flatnonzero(fits[k])
-        gram, first, inverse = np.unique(keys[k][at], return_index=True, return_inverse=True)
-        context = keys[k - 1][at[first] - 1] if k > 1 else np.zeros(len(gram), np.uint64)
-        suffix = keys[k - 1][at[first]] if k > 1 else np.zeros(len(gram), np.uint64)
-        yield [pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, suffix))], inverse, owner[at]
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Portion by portion and by order, the distinct n-grams, each with what it is conditioned on and what it continues.
+
+    With them, of each occurrence: the n-gram, the row of its word, and whether
+    it is the longest that ends there; and the batch.
+    """
+    for whole in batches:
+        for batch in batches_of(whole, "word", WORD_BYTES):
+            for owner, keys, fits in _grams(batch["word"].to_pylist()):
+                for k in range(1, ORDER + 1):
+                    at = np.flatnonzero(fits[k])
+                    gram, first, inverse = np.unique(keys[k][at], return_index=True, return_inverse=True)
+                    context = keys[k - 1][at[first] - 1] if k > 1 else np.zeros(len(gram), np.uint64)
+                    suffix = keys[k - 1][at[first]] if k > 1 else np.zeros(len(gram), np.uint64)
+                    longest = ~fits[k + 1][at] if k < ORDER else np.ones(len(at), bool)
+                    yield [pa.array(np.full(len(gram), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context, suffix))], inverse, owner[at], longest, batch
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams of word types, with their counts."""
-    for batch in batches:
-        for i in range(0, len(batch), 50_000):
-            part = batch.slice(i, 50_000)
-            n = [part[c].to_numpy() for c in COUNTS]
-            for grams, inverse, owner in _distinct_grams(part["word"].to_pylist()):
-                counts = [np.bincount(inverse, c[owner], len(grams[0])).astype(np.int64) for c in n]
-                yield pa.RecordBatch.from_arrays([*grams, *map(pa.array, counts)], names=["k", "gram", "context", "suffix", *COUNTS])
+    for grams, inverse, owner, _, batch in _distinct_grams(batches):
+        counts = [np.bincount(inverse, batch[c].to_numpy()[owner], len(grams[0])).astype(np.int64) for c in COUNTS]
+        yield pa.RecordBatch.from_arrays([*grams, *map(pa.array, counts)], names=["k", "gram", "context", "suffix", *COUNTS])
 
 
 def _asked_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of words that are to be scored."""
-    for batch in batches:
-        for grams, _, _ in _distinct_grams(batch["word"].to_pylist()):
-            yield pa.RecordBatch.from_arrays(grams, names=["k", "gram", "context", "suffix"])
-
-
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per letter of each word: the longest n-gram that ends there."""
-    for batch in batches:
-        owner, keys, fits = _grams(batch["word"].to_pylist())
-        at = np.flatnonzero(fits[1])
-        k = np.sum([f[at] for f in fits[1:]], axis=0)
-        gram = np.choose(k - 1, [x[at] for x in keys[1:]]) if len(at) else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(batch["id"].to_numpy()[owner[at]]), pa.array(k.astype(np.int32)), pa.array(gram.view(np.int64))], names=["id", "k", "gram"])
+    """n-grams of words that are to be scored, with the number of letters for which each is the longest."""
+    for grams, inverse, _, longest, _ in _distinct_grams(batches):
+        n = np.bincount(inverse[longest], minlength=len(grams[0])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*grams, pa.array(n)], names=["k", "gram", "context", "suffix", "n"])
 
 
-class _Table:
-    """Numbers by key; zeros for keys that aren't there."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], [v[order].astype(np.float32) for v in values]
+_SPELLED = "id long, n long, curve double, all double, whole boolean, rare array<struct<k:int,gram:long,n:long>>"
 
-    @classmethod
-    def sums(cls, keys: np.ndarray, *values: np.ndarray) -> _Table:
-        some, inverse = np.unique(keys, return_inverse=True)
-        return cls(some, *(np.bincount(inverse, v, len(some)) for v in values))
 
-    def __call__(self, keys: np.ndarray) -> list[np.ndarray]:
-        if not len(self.keys):
-            return [np.zeros(len(keys), np.float32) for _ in self.values]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        there = self.keys[at] == keys
-        return [np.where(there, v[at], np.float32(0)) for v in self.values]
-
-
-class KneserNey:
-    """The two models in one memory, made from n-gram counts by class: what ``word_scores`` must give."""
-
-    def __init__(self, k: np.ndarray, gram: np.ndarray, context: np.ndarray, suffix: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray):
-        self.by_class, self.shared = {}, {}
-        for order in range(SHARED + 1, ORDER + 1):
-            s = k == order
-            n = (ordinary[s], toxic[s])
-            self.by_class[order] = (_Table(gram[s], *n), _Table.sums(context[s], *n, *(c > 0 for c in n)))
-        for order in range(1, SHARED + 1):
-            # a gram's continuation count: the distinct letters before it
-            longer, here = k == order + 1, k == order
-            continued = _Table.sums(suffix[longer], np.ones(longer.sum()))
-            n = continued(gram[here])[0]
-            self.shared[order] = (_Table(gram[here], n), _Table.sums(context[here], n, n > 0))
-        self.letters = max(1, int((k == 1).sum()))
-
-    def differences(self, words: list[str]) -> np.ndarray:
-        """Per word, by how much more of log-likelihood the toxic model gives each letter; the empty word has none."""
-        owner, keys, fits = _grams(words)
-        low = np.full(len(owner), 1 / (self.letters + 1))
-        for order, (grams, contexts) in self.shared.items():
-            low = self._step(low, grams(keys[order])[0], *contexts(_before(keys[order - 1], order)), fits[order])
-        p = [low, low]
-        for order, (grams, contexts) in self.by_class.items():
-            n, sums = grams(keys[order]), contexts(_before(keys[order - 1], order))
-            p = [self._step(p[c], n[c], sums[c], sums[2 + c], fits[order]) for c in (0, 1)]
-        letter = fits[1]
-        total = np.bincount(owner[letter], np.log(p[1][letter] / p[0][letter]), len(words))
-        empty = np.fromiter((not w for w in words), bool, len(words))
-        return np.where(empty, _NO_EVIDENCE, total / np.maximum(np.bincount(owner[letter], minlength=len(words)), 1))
-
-    @staticmethod
-    def _step(low: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray, fits: np.ndarray) -> np.ndarray:
-        """Interpolated Kneser-Ney; an unseen context leaves the lower order."""
-        seen = fits & (total > 0)
-        total = np.where(seen, total, 1)
-        return np.where(seen, np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * kinds / total * low, low)
-
-
-def _before(keys: np.ndarray, order: int) -> np.ndarray:
-    """At each letter, the key of the context: the n-gram that ends just before it; order 1 has none."""
-    return np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) if order > 1 and len(keys) else np.zeros(len(keys), np.uint64)
+def _spelled(batches: Iterator[pa.RecordBatch], known: _Known) -> Iterator[pa.RecordBatch]:
+    """By word and portion of its letters: the sums over letters whose longest n-gram is known, and the n-grams of the others."""
+    for whole in batches:
+        for batch in batches_of(whole, "word", WORD_BYTES):
+            ids, letters = batch["id"].to_numpy(), pc.utf8_length(batch["word"]).to_numpy()
+            for owner, keys, fits in _grams(batch["word"].to_pylist()):
+                at = np.flatnonzero(fits[1])
+                k = np.sum([f[at] for f in fits[1:]], axis=0)
+                gram = np.choose(k - 1, [x[at] for x in keys[1:]]) if len(at) else np.zeros(0, np.uint64)
+                there, values = known(gram)
+                words, word = np.unique(owner[at], return_inverse=True)
+                n = np.bincount(word[there], minlength=len(words))
+                sums = [np.bincount(word[there], v, len(words)).astype(float) for v in values]
+                some = np.flatnonzero(~there)
+                order = some[np.lexsort((gram[some], k[some], word[some]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (gram[order][1:] != gram[order][:-1]) | (k[order][1:] != k[order][:-1]) | (word[order][1:] != word[order][:-1])
+                head = np.flatnonzero(new)
+                rare = pa.StructArray.from_arrays([pa.array(k[order][head].astype(np.int32)), pa.array(gram[order][head].view(np.int64)), pa.array(np.diff(np.append(head, len(order))))], names=["k", "gram", "n"])
+                ends = np.searchsorted(word[order][head], np.arange(len(words) + 1))
+                full = np.bincount(word, minlength=len(words)) == letters[words] + 1  # the end is predicted as well
+                yield pa.RecordBatch.from_arrays([pa.array(ids[words]), pa.array(n), *map(pa.array, sums), pa.array(full), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)], names=["id", "n", "curve", "all", "whole", "rare"])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """The words of ``texts(text, kind)`` with COUNTS; ``kind`` is the place in COUNTS that a row counts for."""
-    return texts.select("text", "kind").mapInArrow(lambda b: lean(_count_words(b)), _WORDS).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return texts.select("text", "kind").mapInArrow(lambda b: lean(_count_words(b)), _WORDS).where("word <> ''").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
@@ -216,12 +215,16 @@ _CLASSES = [(m, c) for m in MODELS for c in ("ordinary", "toxic")]
 
 
 def word_scores(types: DataFrame, grams: DataFrame) -> DataFrame:
-    """``types(id, word)`` to ``(id, curve, all)``: the difference that each of MODELS gives, per letter.
+    """``types(id, word)`` to a table ``(id, curve, all)``: the difference that each of MODELS gives, per letter.
 
     Each distinct n-gram of the words meets its counts and its context's totals
     once, order after order: an n-gram's chance needs that of its suffix.  No
-    key of these joins has more rows than there are letters.
+    key of these joins has more rows than there are letters.  Then all tasks
+    get the commonest n-grams and sum them up word by word; only the others
+    are joined to the words that hold them, and as they are not common, none
+    has many rows.
     """
+    spark = types.sparkSession
     n = {(m, c): F.col(c) + F.col(f"{c}_curve") if m == "all" else F.col(c) for m, c in _CLASSES}
     seen = {m: n[m, "ordinary"] + n[m, "toxic"] > 0 for m in MODELS}
     letters = grams.where("k = 1").agg(*[F.count(F.when(seen[m], 1)).alias(m) for m in MODELS]).first()
@@ -230,7 +233,7 @@ def word_scores(types: DataFrame, grams: DataFrame) -> DataFrame:
     shared = grams.where(F.col("k") <= SHARED).select("k", "gram", "context").join(continued, ["k", "gram"]).select("k", "gram", "context", *[F.col(m).alias(f"n_{m}_{c}") for m, c in _CLASSES])
     counted = shared.union(grams.where(F.col("k") > SHARED).select("k", "gram", "context", *[n[m, c].alias(f"n_{m}_{c}") for m, c in _CLASSES]))
     totals = counted.groupBy("k", "context").agg(*[f(F.col(f"n_{m}_{c}")).alias(f"{name}_{m}_{c}") for m, c in _CLASSES for name, f in (("total", F.sum), ("kinds", lambda x: F.count(F.when(x > 0, 1))))])
-    asked = types.select("word").mapInArrow(lambda b: lean(_asked_grams(b)), _GRAM).groupBy("k", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+    asked = types.select("word").mapInArrow(lambda b: lean(_asked_grams(b)), f"{_GRAM}, n long").groupBy("k", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
     met = asked.join(counted.drop("context"), ["k", "gram"], "left").join(totals, ["k", "context"], "left")
 
     def own(x: str):
@@ -240,23 +243,26 @@ def word_scores(types: DataFrame, grams: DataFrame) -> DataFrame:
         return F.when(F.col(f"total_{x}") > 0, DISCOUNT * F.col(f"kinds_{x}") / F.col(f"total_{x}")).otherwise(1.0)
 
     names = [f"{m}_{c}" for m, c in _CLASSES]
-    met = written(met.select("k", "gram", "suffix", *[own(x).alias(f"own_{x}") for x in names], *[rest(x).alias(f"rest_{x}") for x in names]), "asked")
-    chance = met.where("k = 1").select("k", "gram", *[(F.col(f"own_{m}_{c}") + F.col(f"rest_{m}_{c}") / (max(1, letters[m]) + 1)).alias(f"{m}_{c}") for m, c in _CLASSES])
-    chances = chance
+    met = written(met.select("k", "gram", "suffix", "n", *[own(x).alias(f"own_{x}") for x in names], *[rest(x).alias(f"rest_{x}") for x in names]), "asked")
+    chance = met.where("k = 1").select("k", "gram", "n", *[(F.col(f"own_{m}_{c}") + F.col(f"rest_{m}_{c}") / (max(1, letters[m]) + 1)).alias(f"{m}_{c}") for m, c in _CLASSES])
+    chances, made = chance, [met]
     for k in range(2, ORDER + 1):
         lower = chance.select(F.col("gram").alias("suffix"), *names)
-        chance = written(met.where(F.col("k") == k).join(lower, "suffix").select("k", "gram", *[(F.col(f"own_{x}") + F.col(f"rest_{x}") * F.col(x)).alias(x) for x in names]), "chances")
+        chance = written(met.where(F.col("k") == k).join(lower, "suffix").select("k", "gram", "n", *[(F.col(f"own_{x}") + F.col(f"rest_{x}") * F.col(x)).alias(x) for x in names]), "chances")
         chances = chances.union(chance)
-    each = types.select("id", "word").mapInArrow(lambda b: lean(_spelled(b)), "id long, k int, gram long")
-    return each.join(chances.select("k", "gram", *[F.log(F.col(f"{m}_toxic") / F.col(f"{m}_ordinary")).alias(m) for m in MODELS]), ["k", "gram"]).groupBy("id").agg(*[F.avg(m).alias(m) for m in MODELS])
-
-
-def model_of(grams: dict[str, np.ndarray], with_curve_fold: bool) -> KneserNey:
-    ordinary, toxic = grams["ordinary"], grams["toxic"]
-    if with_curve_fold:
-        ordinary, toxic = ordinary + grams["ordinary_curve"], toxic + grams["toxic_curve"]
-    there = ordinary + toxic > 0
-    return KneserNey(grams["k"][there], *(grams[c].view(np.uint64)[there] for c in ("gram", "context", "suffix")), ordinary[there], toxic[there])
+        made.append(chance)
+    ratios = chances.select("k", "gram", "n", *[F.log(F.col(f"{m}_toxic") / F.col(f"{m}_ordinary")).alias(m) for m in MODELS])
+    common = commonest(ratios.where("n > 0"), COMMON_GRAMS).select("gram", *MODELS).toArrow()  # COMMON_GRAMS at most
+    shared = spark.sparkContext.broadcast(_Known(common["gram"].to_numpy().view(np.uint64), *(common[m].to_numpy() for m in MODELS)))
+    parts = written(types.select("id", "word").mapInArrow(lambda b: lean(_spelled(b, shared.value)), _SPELLED), "spelled", "zstd")
+    done = F.col("whole") & (F.size("rare") == 0)
+    rest = parts.where(~done)
+    joined = rest.select("id", F.explode("rare").alias("x")).select("id", "x.k", "x.gram", F.col("x.n").alias("times")).join(ratios.drop("n"), ["k", "gram"])
+    sums = rest.select("id", "n", *MODELS).union(joined.select("id", "times", *[F.col("times") * F.col(m) for m in MODELS])).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *MODELS)])
+    mean = [(F.col(m) / F.col("n")).alias(m) for m in MODELS]
+    scores = written(parts.where(done).select("id", *mean).union(sums.select("id", *mean)), "word-scores")
+    discard(parts, *made)
+    return scores
 
 
 EVIDENCE = ("first", "second", "third", "mean", "size")
@@ -282,12 +288,13 @@ def _evidence(at: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
     return [*top, total, n]
 
 
-def _rare_words(rare: np.ndarray, codes: np.ndarray, types: pa.Array, begins: np.ndarray) -> pa.Array:
+def _rare_words(rare: np.ndarray, codes: np.ndarray, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
     """Each text's distinct words among those at ``rare``, and how often they stand there."""
     text = np.searchsorted(begins, rare, "right") - 1
-    pairs, n = np.unique(text * max(len(types), 1) + codes[rare], return_counts=True)
-    ends = np.searchsorted(pairs // max(len(types), 1), np.arange(len(begins)))
-    rows = pa.StructArray.from_arrays([types.cast(pa.string()).take(pa.array(pairs % max(len(types), 1))), pa.array(n.astype(np.int64))], names=["word", "n"])
+    kinds = max(len(ids), 1)
+    pairs, n = np.unique(text * kinds + codes[rare], return_counts=True)
+    ends = np.searchsorted(pairs // kinds, np.arange(len(begins)))
+    rows = pa.StructArray.from_arrays([pa.array(ids[pairs % kinds].view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "n"])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
@@ -306,25 +313,27 @@ def evidence(docs: DataFrame, types: DataFrame, scores: DataFrame, model: str) -
     The commonest go to all tasks; the others are joined, and as they are not
     common, none has many rows.
     """
-    common = types.where(F.length("word") <= COMMON_LETTERS).orderBy(F.desc("n"), "id").limit(COMMON_WORDS)
-    known = common.select("id", "word").join(scores, "id").select("word", F.col(model).alias("score")).toArrow()  # COMMON_WORDS at most
-    shared = docs.sparkSession.sparkContext.broadcast((known["word"].to_pylist(), known["score"].to_pylist()))
+    common = commonest(types.select("id", "n"), COMMON_WORDS)
+    known = common.join(scores, "id").select("id", F.col(model).alias("score")).toArrow()  # COMMON_WORDS at most
+    shared = docs.sparkSession.sparkContext.broadcast(_Known(known["id"].to_numpy().view(np.uint64), known["score"].to_numpy()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = dict(zip(*shared.value))
-        score[""] = _NO_EVIDENCE
         for whole in batches:
             for batch in batches_of(whole, "text", BATCH_BYTES):
                 words, begins = _words(batch["text"])
                 coded = words.dictionary_encode()
-                codes = coded.indices.to_numpy()
-                at = np.array([score.get(w, np.nan) for w in coded.dictionary.to_numpy(zero_copy_only=False)], np.float64)[codes]
-                rare = np.flatnonzero(np.isnan(at))
-                at[rare] = _NO_EVIDENCE
-                yield pa.RecordBatch.from_arrays([*(batch[k] for k in _KEY), *map(pa.array, _evidence(at, begins)), _rare_words(rare, codes, coded.dictionary, begins)], names=[*_KEY, *_PARTS, "rare"])
-
-    parts = written(_keyed(docs, "text").mapInArrow(lambda b: lean(rows(b)), ", ".join(f"{k} long" for k in _KEY) + ", first double, second double, third double, total double, n long, rare array<struct<word:string,n:long>>"), "evidence", "zstd")
-    each = parts.select(*_KEY, F.explode("rare").alias("rare")).select(*_KEY, F.xxhash64("rare.word").alias("id"), F.col("rare.n").alias("times")).join(scores.select("id", F.col(model).alias("score")), "id")
+                codes, kinds = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                ids = np.fromiter(map(_id_of, kinds), np.uint64, len(kinds))
+                empty = np.fromiter((not w for w in kinds), bool, len(kinds))
+                there, (found,) = shared.value(ids)
+                score = np.full(len(ids), _NO_EVIDENCE)
+                score[there] = found
+                score[empty] = _NO_EVIDENCE
+                rare = np.flatnonzero(~(there | empty)[codes])
+                yield pa.RecordBatch.from_arrays([*(batch[k] for k in _KEY), *map(pa.array, _evidence(score[codes], begins)), _rare_words(rare, codes, ids, begins)], names=[*_KEY, *_PARTS, "rare"])
+
+    parts = written(_keyed(docs, "text").mapInArrow(lambda b: lean(rows(b)), ", ".join(f"{k} long" for k in _KEY) + ", first double, second double, third double, total double, n long, rare array<struct<id:long,n:long>>"), "evidence", "zstd")
+    each = parts.select(*_KEY, F.explode("rare").alias("rare")).select(*_KEY, "rare.id", F.col("rare.n").alias("times")).join(scores.select("id", F.col(model).alias("score")), "id")
     none = [F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in _PARTS]
     both = parts.select(*_KEY, *_PARTS, F.lit(None).cast("struct<id:long,score:double,times:long>").alias("rare")).union(each.select(*_KEY, *none, F.struct("id", "score", "times").alias("rare")))
     # rows of one key are equal, so a maximum and a set take each once
@@ -374,8 +383,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None,
     # always by sorting: labels grow with the documents
     labelled = texts.where(fold() != HELD_OUT).hint("merge").join(ids, "doc_id")
     grams = count_grams(labelled.select("text", (F.col("toxic") + F.when(F.col("fold") == CURVE_FOLD, 2).otherwise(0)).alias("kind")))
-    types = written(count_words(docs.select("text", F.lit(0).alias("kind"))).where("word <> ''").select(F.xxhash64("word").alias("id"), "word", F.col(COUNTS[0]).alias("n")), "words")
-    scores = written(word_scores(types, grams), "word-scores")
+    types = written(count_words(docs.select("text", F.lit(0).alias("kind"))).select(F.xxhash64("word").alias("id"), "word", F.col(COUNTS[0]).alias("n")), "words")
+    scores = word_scores(types, grams)
+    discard(grams)
     some = ids.where(F.col("fold") == CURVE_FOLD).orderBy(F.xxhash64("doc_id"), "toxic").limit(curve_rows).select("doc_id", "toxic")
     on_curve = texts.join(F.broadcast(some), "doc_id")
     curve = _keyed(on_curve, "toxic").join(evidence(on_curve, types, scores, "curve"), [*_KEY]).toPandas()  # curve_rows at most

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from monthloom.llm import mixing, packing, simhash, spotsigs, suffix_dedup, token_files, tokens, toxicity
-from monthloom.llm.common import shared_folder
+from monthloom.llm.common import discard, shared_folder, written
 from tests.llm.frames import no_documents, odd_documents, odd_rows
 
 
@@ -529,9 +530,10 @@ def test_toxicity_on_the_held_out_fold(spark):
 def test_toxicity_on_odd_rows(spark):
     docs = odd_documents(spark, clashing=True)
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
-    rows = toxicity.toxicity(docs, labels).collect()
-    assert len(rows) == len(odd_rows()) and all(0 <= r.score <= 1 for r in rows)
-    empty = {r.score for r, o in zip(rows, odd_rows()) if not (o[1] or "").strip()}
+    rows = toxicity.toxicity(docs, labels, ["doc_id", "text"]).collect()
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in rows) == sorted((repr(o[0]), repr(o[1])) for o in odd_rows())
+    assert all(0 <= r.score <= 1 for r in rows)
+    empty = {r.score for r in rows if not (r.text or "").strip()}
     assert len(empty) == 1
     assert toxicity.toxicity(no_documents(spark), labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
@@ -539,47 +541,140 @@ def test_toxicity_on_odd_rows(spark):
     assert kept.columns == docs.columns
 
 
-def test_kneser_ney_tells_spellings_apart():
-    import itertools
+class PlainKneserNey:
+    """The two models by their definition, from the words of each class with their counts."""
+
+    def __init__(self, words: dict[str, tuple[int, int]]):
+        self.n, self.sums, self.kinds = {}, Counter(), Counter()
+        seen = Counter()
+        for word, counts in words.items():
+            for gram in self.grams(word):
+                for c in (0, 1):
+                    seen[gram, c] += counts[c]
+        grams = {gram for (gram, _), n in seen.items() if n}
+        for gram in grams:
+            for c in (0, 1):
+                n = seen[gram, c] if len(gram) > toxicity.SHARED else sum(len(g) == len(gram) + 1 and g[1:] == gram for g in grams)
+                self.n[gram, c] = n
+                self.sums[len(gram), gram[:-1], c] += n
+                self.kinds[len(gram), gram[:-1], c] += n > 0
+        self.letters = max(1, sum(len(g) == 1 for g in grams))
+
+    @staticmethod
+    def grams(word: str):
+        signed = f"\x02{word}\x03"
+        return [signed[i - k : i] for i in range(2, len(signed) + 1) for k in range(1, min(i, toxicity.ORDER) + 1)]
+
+    def chance(self, gram: str, c: int) -> float:
+        if not gram:
+            return 1 / (self.letters + 1)
+        low, key = self.chance(gram[1:], c), (len(gram), gram[:-1], c)
+        if not self.sums[key]:
+            return low
+        own = max(self.n.get((gram, c), 0) - toxicity.DISCOUNT, 0) / self.sums[key]
+        return own + toxicity.DISCOUNT * self.kinds[key] / self.sums[key] * low
+
+    def difference(self, word: str) -> float:
+        signed = f"\x02{word}\x03"
+        longest = [signed[max(0, i - toxicity.ORDER) : i] for i in range(2, len(signed) + 1)]
+        return sum(math.log(self.chance(g, 1) / self.chance(g, 0)) for g in longest) / len(longest)
+
+
+def plain_words(text):
+    return [w for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", (text or "").lower()) if w]
 
-    letters = "ab"
-    words = {"ab": (5, 1), "abb": (2, 0), "b": (0, 3), "aab": (1, 1)}
-    import pyarrow as pa
 
-    none = [0] * len(words)
-    batch = pa.record_batch({"word": list(words), "ordinary": [v[0] for v in words.values()], "toxic": [v[1] for v in words.values()], "ordinary_curve": none, "toxic_curve": none})
-    rows = pa.Table.from_batches(toxicity._count_grams(iter([batch]))).to_pandas().groupby(["k", "gram"], as_index=False).agg({"context": "min", "suffix": "min", **dict.fromkeys(toxicity.COUNTS, "sum")})
-    model = toxicity.model_of({c: rows[c].to_numpy() for c in rows}, False)
-    some = ["".join(w) for n in range(1, 5) for w in itertools.product(letters, repeat=n)]
-    assert np.isfinite(model.differences(some)).all()
-    by_word = dict(zip(some, model.differences(some)))
-    assert by_word["b"] > 0 > by_word["abb"]
-    assert model.differences([""])[0] == toxicity._NO_EVIDENCE
+def test_kneser_ney_tells_spellings_apart():
+    model = PlainKneserNey({"ab": (5, 1), "abb": (2, 0), "b": (0, 3), "aab": (1, 1)})
+    assert model.difference("b") > 0 > model.difference("abb")
 
 
-@pytest.mark.parametrize("common", [0, 5, 100_000])
-def test_words_are_scored_by_joins_as_in_one_memory(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "grams"), [(0, 0), (5, 40), (10**6, 10**6), (0, 10**6)])
+def test_words_are_scored_as_by_the_definition(spark, monkeypatch, common, grams):
     monkeypatch.setattr(toxicity, "COMMON_WORDS", common)
-    texts = [(i, t, i % 4) for i, (_, t, *_) in enumerate(odd_rows()) if t and len(t) < 9000]
-    grams = toxicity.count_grams(spark.createDataFrame(texts, "doc_id long, text string, kind int"))
+    monkeypatch.setattr(toxicity, "COMMON_GRAMS", grams)
+    texts = [(i, t, i % 4) for i, (_, t, *_) in enumerate(odd_rows()) if t]
+    counted = {name: {} for name in toxicity.MODELS}
+    for _, text, kind in texts:
+        for word in plain_words(text):
+            for name in ("all",) if kind > 1 else toxicity.MODELS:
+                counted[name].setdefault(word, [0, 0])[kind % 2] += 1
     asked = [(i, f"{t} zebra zebra zebra zebra 日本 qu") for i, t, _ in texts] + [(900, ""), (901, None), (902, "...")]
     docs = spark.createDataFrame(asked + asked[:2], "doc_id long, text string")
-    types = toxicity.count_words(docs.withColumn("kind", F.lit(0))).where("word <> ''").select(F.xxhash64("word").alias("id"), "word", F.col("ordinary").alias("n")).cache()
-    scores = toxicity.word_scores(types, grams)
-    table = {c: grams.toPandas()[c].to_numpy() for c in grams.columns}
-    table = {c: v.astype(np.int32 if c == "k" else np.int64) for c, v in table.items()}
-    words = [r.word for r in types.select("word").collect()]
+    types = written(toxicity.count_words(docs.withColumn("kind", F.lit(0))).select(F.xxhash64("word").alias("id"), "word", F.col("ordinary").alias("n")), "words")
+    scores = toxicity.word_scores(types, toxicity.count_grams(spark.createDataFrame(texts, "doc_id long, text string, kind int")))
     found = {r.word: r for r in types.join(scores, "id").collect()}
     for name in toxicity.MODELS:
-        want = dict(zip(words, toxicity.model_of(table, name == "all").differences(words)))
-        assert all(abs(found[w][name] - want[w]) < 1e-5 for w in words) and len(found) == len(words)
+        model = PlainKneserNey(counted[name])
+        want = {w: model.difference(w) for _, t in asked for w in set(plain_words(t))}
+        assert set(found) == set(want) and all(abs(found[w][name] - want[w]) < 1e-9 for w in want)
         rows = toxicity._keyed(docs, "doc_id", "text").join(toxicity.evidence(docs, types, scores, name), [*toxicity._KEY]).collect()
         assert len(rows) == len(asked) + 2
         for r in rows:
-            each = sorted((want[w] for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", (r.text or "").lower()) if w), reverse=True)
+            each = sorted((want[w] for w in plain_words(r.text)), reverse=True)
             top = (each + [toxicity._NO_EVIDENCE] * 3)[:3]
             mean = sum(each) / len(each) if each else toxicity._NO_EVIDENCE
-            assert np.allclose([r[c] for c in toxicity.EVIDENCE], [*top, mean, math.log1p(len(each))], atol=1e-5)
+            assert np.allclose([r[c] for c in toxicity.EVIDENCE], [*top, mean, math.log1p(len(each))], atol=1e-9)
+
+
+def test_letters_in_portions_give_the_same_grams(monkeypatch):
+    """A word that is longer than a portion loses no n-gram, and its parts add up."""
+    import pyarrow as pa
+
+    words = ["abcabcabd" * 30, "x", "", "yz" * 200, "ab"]
+    batch = pa.record_batch({"id": pa.array([1, 2, 3, 4, 5], pa.int64()), "word": words})
+
+    def counted():
+        total = Counter()
+        for grams, inverse, owner, longest, part in toxicity._distinct_grams(iter([batch])):
+            for i, row in zip(inverse.tolist(), owner.tolist()):
+                total[grams[0][i].as_py(), grams[1][i].as_py(), grams[2][i].as_py(), grams[3][i].as_py(), part["word"][row].as_py()] += 1
+        return total
+
+    def sums(known):
+        total = Counter()
+        for rows in toxicity._spelled(iter([batch]), known):
+            for r in rows.to_pylist():
+                total[r["id"], "n"] += r["n"]
+                total[r["id"], "sum"] += r["all"]
+                for x in r["rare"]:
+                    total[r["id"], x["k"], x["gram"]] += x["n"]
+                whole.setdefault(r["id"], []).append(r["whole"])
+        return {k: v for k, v in total.items() if v}
+
+    some = np.array(sorted({g for _, g, *_ in counted()})[::3], np.int64).view(np.uint64)
+    known = toxicity._Known(some, np.ones(len(some)), np.full(len(some), 2.0))
+    whole: dict = {}
+    want, want_sums = counted(), sums(known)
+    assert all(flags == [True] for flags in whole.values())
+    monkeypatch.setattr(toxicity, "LETTERS", 17)
+    whole = {}
+    assert counted() == want and sums(known) == want_sums
+    assert not any(whole[1]) and len(whole[1]) > 10
+    letters = Counter()
+    for (k, *_, word), n in want.items():
+        letters[k, word] += n
+    assert all(letters[k, w] == max(0, len(w) + 2 - max(k, 2) + 1) for w in words for k in range(1, 6))
+
+
+def test_a_very_long_word_goes_through(spark):
+    rng = np.random.default_rng(1)
+    long = "".join(rng.choice(list("abcdefgh"), 3_000_000))
+    docs = spark.createDataFrame([(i, long if i == 3 else f"word{i} ab cd") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == 40 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    kept = written(spark.range(5), "kept")
+    gone = written(spark.range(5), "gone")
+    path = gone.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path) and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    discard(gone)
+    assert not os.path.exists(path) and kept.count() == 5
 
 
 def test_no_gram_is_left_out_however_many_there_are(spark):
