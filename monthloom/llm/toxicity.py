@@ -37,9 +37,9 @@ COMMON_WORDS = COMMON_GRAMS = 400_000
 CURVE_ROWS = 20_000
 #: Of five folds by the document's id, the one that is held out and the one that only the curve sees.
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
-BATCH_BYTES, WORD_BYTES = 8 << 20, 1 << 19
+BATCH_BYTES, WORD_BYTES = 4 << 20, 1 << 18
 #: Letters whose n-grams are looked at together.
-LETTERS = 1 << 20
+LETTERS = 1 << 18
 _NO_EVIDENCE = -20.0
 _BEGIN, _END = 2, 3
 
