@@ -36,6 +36,8 @@ from .suffix_dedup import _ROWS, _FOUND, DOCS_OF_PART, LARGE, LARGE_BUCKETS, PAR
 LENGTH = 13
 #: Bytes of texts that are looked at together, and of words that are numbered at a time.
 BATCH_BYTES, WORD_BYTES = 4 << 20, 1 << 20
+#: Windows that a task remembers to have sent; beyond it the memory is emptied, which only sends some again.
+WINDOWS_HELD = 1 << 20
 _rng = np.random.default_rng(13)
 _OF_BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -168,13 +170,18 @@ class Automaton:
 
 
 def _to_shards(batches: Iterator[pa.RecordBatch], length: int, large: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Words of the undecided passages of each document, under their anchors; of common anchors, window by window."""
+    """Words of the undecided passages of each document, under their anchors; of common anchors, window by window.
+
+    A window that a smaller document of the task has sent is settled: it comes
+    without words.  So however many passages share it, a task sends it on about once.
+    """
     q = (length + 1) // 2
     place = np.uint64(PLACE_BITS)
+    sent: dict[int, int] = {}
     for batch in batches:
         for i, found in enumerate(batch["found"]):
             spans = np.concatenate([np.frombuffer(f, SPAN) for f in found.as_py()])
-            data = np.frombuffer(batch["text"][i].as_buffer(), np.uint8)
+            data, doc = np.frombuffer(batch["text"][i].as_buffer(), np.uint8), batch["doc"][i].as_py()
             ids, _ = words_of(data, np.zeros(1, np.int64))
             out: dict[str, list] = {"key": [], "start": [], "words": []}
             for start, more in zip(spans["start"].tolist(), spans["more"].tolist()):
@@ -185,9 +192,15 @@ def _to_shards(batches: Iterator[pa.RecordBatch], length: int, large: np.ndarray
                 whole = not _among(np.array([anchor]), large)[0]
                 pieces = [(anchor, start, own)] if whole else [(w, start + k, own[k : k + length]) for k, w in enumerate(buckets(own, length, known))]
                 for key, at, words in pieces:
-                    out["key"].append(int(key.view(np.int64)))
+                    key, settled = int(key.view(np.int64)), False
+                    if not whole:
+                        if len(sent) > WINDOWS_HELD:
+                            sent.clear()
+                        settled = sent.get(key, doc) < doc
+                        sent[key] = min(sent.get(key, doc), doc)
+                    out["key"].append(doc * 0x9E3779B1 % (1 << 62) + at if settled else key)  # a settled one may go anywhere
                     out["start"].append(at)
-                    out["words"].append(words.tobytes())
+                    out["words"].append(b"" if settled else words.tobytes())
             n = len(out["key"])
             head = [pa.array([batch[c][i].as_py()] * n, pa.int64()) for c in ("doc", "row")]
             yield pa.RecordBatch.from_arrays([*head, pa.array(out["key"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["words"], pa.binary())], names=["doc", "row", *out])
@@ -208,6 +221,11 @@ def _streamed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         for _, own in itertools.groupby(shard, lambda r: r[1]):
             fresh = []
             for _, doc, row, start, body in own:
+                if not body:  # settled before it came here
+                    spans = np.zeros(1, SPAN)
+                    spans["start"] = start
+                    held.append((doc, row, spans.tobytes()))
+                    continue
                 words = np.frombuffer(body, np.uint64).tolist()
                 hit = [i - length + 1 for i, size in enumerate(automaton.matches(words)) if size >= length]
                 if hit:
