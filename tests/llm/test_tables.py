@@ -131,36 +131,61 @@ def test_classifier_on_hosts_it_has_not_seen(spark, sf_dir):
 # --- top k ---
 
 
-def plain_top(vectors, queries, k):
+def plain_top(rows, k=20, every=20):
+    """``rows`` of (id, vector): each row's best but itself, exact, scores at most 64 bits wide."""
+    fits = lambda x: max(-(1 << 63) + 2, min((1 << 63) - 1, x))
     out = []
-    for q in queries:
-        scored = sorted((-sum(x * y for x, y in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)
-        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    for at, (q, own) in enumerate(rows):
+        if q % every == 0:
+            scored = sorted((-fits(sum(x * y for x, y in zip(own, v))), i) for other, (i, v) in enumerate(rows) if other != at)
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("spread", [3, 1000, 100_000_000])
+@pytest.mark.parametrize("spread", [3, 1000, 100_000_000, 1 << 40])
 def test_top_k_against_brute_force(spark, spread):
     rng = np.random.default_rng(spread)
-    rows = {i: rng.integers(-spread, spread, 4).tolist() for i in range(150)}
-    rows |= {200 + i: rows[0] for i in range(40)}  # ties
-    rows |= {300: [], 301: [spread], 302: [0, 0, 0, 0]}
-    frame = spark.createDataFrame(list(rows.items()), "vec_id long, v array<int>")
+    rows = [(i, rng.integers(-spread, spread, 4).tolist()) for i in range(150)]
+    rows += [(200 + i, rows[0][1]) for i in range(40)]  # ties
+    rows += [(300, []), (301, [spread]), (302, [0, 0, 0, 0]), (40, rows[1][1]), (40, rows[1][1]), (40, rows[2][1]), (41, rows[2][1])]  # ids that repeat
+    frame = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "row long, vec_id long, v array<long>")
     got = topk.top_k(frame, frame.where("vec_id % 20 = 0"), k=5, pivots=4, sample=64, rings=4, block_rows=16, query_rows=4)
-    assert sorted(map(tuple, got.collect())) == plain_top(rows, [i for i in rows if i % 20 == 0], 5)
+    assert sorted(map(tuple, got.collect())) == plain_top(rows, 5)
 
 
-def test_vectors_that_take_no_part(spark):
+def test_products_are_exact_whatever_their_size():
+    rng = np.random.default_rng(4)
+    for bits in (10, 30, 31, 40, 62):
+        a, b = (rng.integers(-(1 << bits), 1 << bits, (6, 5)) for _ in range(2))
+        want = [[max(-(1 << 63) + 2, min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(r, c)))) for c in b] for r in a]
+        assert topk._products(a, b).tolist() == want
+
+
+def test_which_vectors_take_part(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [0.5, -0.01], "x"), (20, [1.0, 2.0], "x"), (20, [1.0, 2.0], "x"), (3, None, "x"), (4, [nan, 1.0], "x"), (5, [inf, 1.0], "x"), (6, [None, 1.0], "x"), (None, [1.0, 1.0], "x"), (7, [-1.0, 1.0], "x"), (8, [1e30, 0.0], "x")]
-    frame = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"))
-    assert sorted((r.vec_id, r.v) for r in frame.collect()) == [(0, [32, -1]), (7, [-64, 64]), (20, [64, 128])]
+    rows = [(0, [0.5, -0.01]), (20, [1.0, 2.0]), (20, [1.0, 2.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 1.0])]
+    rows += [(8, [1e30, 0.0]), (40, [3e6, 5e6]), (9, [3e6, -5e6]), (10, [2.0**22, 1.0])]
+    frame = topk.scaled(spark.createDataFrame([(*r, "x", 5) for r in rows], "vec_id long, embedding array<double>, score string, row int"))
+    kept = [(0, [32, -1]), (20, [64, 128]), (20, [64, 128]), (7, [-64, 64]), (8, [1 << 62, 0]), (40, [192_000_000, 320_000_000]), (9, [192_000_000, -320_000_000]), (10, [1 << 28, 64])]
+    assert sorted((r.vec_id, r.v) for r in frame.collect()) == sorted(kept)
     got = topk.top_k(frame, frame.where("vec_id % 20 = 0")).collect()
-    assert sorted(map(tuple, got)) == plain_top({0: [32, -1], 7: [-64, 64], 20: [64, 128]}, [0, 20], 20)
+    assert sorted(map(tuple, got)) == plain_top(kept)
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
     assert topk.top_k(frame, frame.where("vec_id = 99")).count() == 0
 
 
+def test_sql_and_query_agree_on_large_values_and_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    rows = [(int(i) % 60, (rng.standard_normal(3) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = connection.execute(topk.OP5_SQL).fetchall()
+    assert sorted(map(tuple, topk.op5_top_k(spark, str(tmp_path)).collect())) == sorted(want) == plain_top([(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows])
+
+
 def test_annuli_bounds_hold():
     rng = np.random.default_rng(2)
     v = rng.integers(-50, 50, (500, 6)).astype(float)
