@@ -148,8 +148,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
     A null source is a source, a null text has no words; rows without words
     are in no pass.  Rows that are equal in doc_id, text and source are told
-    apart by nothing and are treated alike.  Reruns agree.
+    apart by nothing and are treated alike.  Reruns agree.  Columns of ``docs``
+    that have the name of a result are replaced.
     """
+    docs = docs.drop("pass", "shard", "place", "words")
     row = F.xxhash64("doc_id", "text", "source")
     keyed = docs.withColumn("__ml_row", row).withColumn("__ml_size", word_count())
     rows, used = planned(keyed.select(F.col("__ml_row").alias("row"), "source", F.col("__ml_size").alias("size")), weights, share, most, blocks, seed)
@@ -172,13 +174,16 @@ def taken_words(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 def as_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix with the columns of ``docs``: a document stands in it once for each pass, in part where a source's last pass ends.
 
-    The part is the first words, joined by single spaces.
+    The part is the first words, joined by single spaces.  Rows come shard by
+    shard, and within a shard in the order of their place, so what is written
+    of them is shuffled.
     """
-    rows = mixed(docs, **how)
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ml_all"))
+    rows = mixed(whole, **how).repartition("shard").sortWithinPartitions("shard", "place")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     text = F.when(F.size(words) <= F.col("words"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("words").cast("int")), " "))
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return rows.select(*[new.get(c, F.col(f"__ml_all.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,14 +384,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, whole_characters: bool)
 def without_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, spans (ranges of bytes) and kept (the remaining bytes).
 
-    Of ``docs``, doc_id, text and further columns stay.  A null text has no
-    bytes.  Rows with one doc_id don't count as smaller than each other, so
+    Of ``docs``, doc_id, text and further columns stay, but for those that have
+    the name of a result.  A null text has no bytes.  Rows with one doc_id don't count as smaller than each other, so
     they keep what they share; a row without a doc_id has no place in the
     order, keeps all its bytes, and takes none from others.  An empty table
     gives an empty one.  With ``whole_characters``, characters of which only
     some bytes repeat stay, so that the rest is UTF-8.
     """
-    kinds = {c: t for c, t in docs.dtypes if c not in ("doc_id", "text")}
+    kinds = {c: t for c, t in docs.dtypes if c not in ("doc_id", "text", "n_bytes", "n_removed", "spans", "kept")}
     more = [F.col(f"`{c}`") for c in kinds]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text", *([F.struct(*more).alias("rest")] if more else []))
     placed = keyed.where("doc IS NOT NULL")
@@ -405,10 +405,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: boo
 
 def texts_without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated passages cut out of their texts, and n_chars to match; no row goes."""
-    rows = without_repeats(docs, length, whole_characters=True)
+    rows = without_repeats(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ml_row")), length, whole_characters=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
     new = {"text": text} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return rows.select(*[new.get(c, F.col(f"__ml_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

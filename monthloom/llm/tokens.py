@@ -50,7 +50,10 @@ class PieceEncoder:
 
     def __init__(self, vocabulary: str, splits: str, lower: bool):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts that may hold the string of an added token go whole through the library, which finds these first
+        self.plain = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.added = sorted({t.content[:2].lower() for t in self.plain.get_added_tokens_decoder().values()})
+        self.tokenizer.encode_special_tokens = True  # pieces hold no such string
         self.merges = self.tokenizer.model.tokenize
         self.splits = regex.compile(splits)
         self.lower = lower
@@ -94,6 +97,18 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's ids begin (one more than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = np.zeros(len(texts), bool)
+        for begin in self.added:
+            special |= pc.match_substring(texts, begin, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._by_pieces(texts)
+        ids, begins = self._by_pieces(pc.if_else(pa.array(special), pa.scalar("", pa.large_string()), texts))
+        whole = {int(i): np.array(self.plain.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(special)}
+        each = [whole.get(i, ids[begins[i] : begins[i + 1]]) for i in range(len(texts))]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without the strings of added tokens."""
         rows = pc.split_pattern(texts, " ")
         odd = np.flatnonzero(pc.match_substring_regex(texts, r" \s| $|[\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]").to_numpy(zero_copy_only=False))
         if len(odd):

@@ -6,12 +6,17 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from monthloom.llm import mixing, packing, simhash, spotsigs, suffix_dedup, token_files, tokens, toxicity
@@ -31,8 +36,25 @@ def rows_of(frame, *columns):
 # --- token files and packing ---
 
 
+@lru_cache
+def fresh(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def library_ids(vocabulary, text):
-    return tokens.encoder(*vocabulary).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return fresh(vocabulary[0]).encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("vocabulary", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_strings_of_added_tokens_have_their_ids(vocabulary):
+    added = [t.content for t in fresh(vocabulary[0]).get_added_tokens_decoder().values()]
+    assert added
+    texts = ["plain words", None, ""] + [f"see {a} here{a}x {a}{a}\n {a.upper()} {a[:-1]} <| |>" for a in added] + ["no <| token", *added, "again plain words"]
+    texts += [a + " " + b for a in added for b in added]
+    ids, begins = tokens.encoder(*vocabulary).encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[begins[i] : begins[i + 1]].tolist() == library_ids(vocabulary, text), repr(text)
+    assert set(ids.tolist()) & set(fresh(vocabulary[0]).get_added_tokens_decoder())
 
 
 @pytest.mark.parametrize("source", ["odd", "table"])
@@ -73,8 +95,6 @@ def test_elias_fano(values):
 def test_pieces_give_the_ids_of_whole_texts(vocabulary):
     import random
 
-    import pyarrow as pa
-
     rng = random.Random(3)
     texts = ["", " ", "  a", "a  ", "a\n  b", "it's 'TIS we'll", "\x1c x", "<|endoftext|> <|endoftext|>x", "é ́x ΣΣ İ", None]
     texts += ["".join(rng.choice(list(" \n\t  ab'sΣ1§,.é́\x1c")) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
@@ -162,11 +182,21 @@ def brute_spans(rows, length):
 @pytest.mark.parametrize("length", [50, 20])
 def test_suffix_dedup_on_odd_rows(spark, length):
     docs = odd_documents(spark, clashing=True).where("doc_id IS NULL OR doc_id <> 40")
-    got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in suffix_dedup.without_repeats(docs.drop("spans", "kept"), length).collect()]
+    got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in suffix_dedup.without_repeats(docs, length).collect()]
     want = [(d, n, s, k) for d, n, s, _, k in brute_spans([(r[0], r[1]) for r in odd_rows() if r[0] != 40], length)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_texts_without_repeats_keep_columns_that_clash(spark):
+    docs = odd_documents(spark, clashing=True).where("doc_id IS NULL OR doc_id <> 40").withColumn("n_removed", F.lit("mine"))
+    got = suffix_dedup.texts_without_repeats(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert {(r.kept, r.spans, r.n_removed) for r in rows} == {("x", "x", "mine")} and len(rows) == docs.count()
+    kept = {(r.doc_id, r.n_chars, r.text) for r in rows if r.doc_id is not None}
+    assert {(d, len(k.decode()) if t is not None else 0, k.decode() if t is not None else None) for (d, _, _, _, k), (_, t) in zip(brute_spans([(r[0], r[1]) for r in odd_rows() if r[0] != 40], 50), [(r[0], r[1]) for r in odd_rows() if r[0] != 40]) if d is not None} >= {x for x in kept if x[2] is None or x[2].isascii()}
+
+
 def test_suffix_dedup_on_a_table(spark, sf_dir):
     got = {r.doc_id: tuple(r[1:]) for r in suffix_dedup.op4_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
@@ -177,8 +207,6 @@ def test_suffix_dedup_on_a_table(spark, sf_dir):
 def test_suffix_dedup_across_segments_and_batches(monkeypatch):
     import random
 
-    import pyarrow as pa
-
     rng = random.Random(11)
     base = ["".join(rng.choice("ab é") for _ in range(rng.randint(0, 200))) for _ in range(6)]
     rows = [(d, "".join(rng.choice(base)[rng.randint(0, 40) : rng.randint(30, 200)] + rng.choice(["", "x", "a" * 90, "qz"]) for _ in range(rng.randint(0, 4)))) for d in range(40)]
@@ -204,8 +232,6 @@ def test_suffix_dedup_across_segments_and_batches(monkeypatch):
 
 
 def _settle(batches, undecided):
-    import pyarrow as pa
-
     rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"])
     return [r for b in suffix_dedup._settled(iter([pa.RecordBatch.from_pylist(rows, suffix_dedup._ROWS_ARROW)] if rows else []), undecided) for r in b.to_pylist()]
 
@@ -221,8 +247,6 @@ def _passage_everywhere(n):
 
 
 def test_windows_of_a_common_passage_go_to_many_parts():
-    import pyarrow as pa
-
     _, rows = _passage_everywhere(60)
     batch = pa.record_batch({"doc": pa.array([d for d, _ in rows], pa.int64()), "row": pa.array([0] * 60, pa.int64()), "text": [t for _, t in rows]})
     dealt = lambda some: np.concatenate([x[0] for x in some])
@@ -487,6 +511,46 @@ def test_mixture_holds_what_is_taken(spark, table):
     assert mixing.as_documents(no_documents(spark)).count() == 0
 
 
+def test_the_mix_as_documents_holds_each_as_often_as_it_is_taken(spark):
+    """Every copy is the whole text but for one that is its first words, and the words of all copies are what is taken."""
+    docs = odd_documents(spark, clashing=True).selectExpr("*", "1 AS pass", "2 AS place", "3 AS target", "4 AS key", "5 AS size")
+    mix = mixing.as_documents(docs)
+    assert mix.columns == docs.columns and {(r.words, r["pass"], r.place, r.shard) for r in mix.collect()} == {("x", 1, 2, "x")}
+    taken = {}
+    for r in mixing.taken_words(docs.select(F.xxhash64("doc_id", "text", "source").alias("row"), "source", mixing.word_count().alias("size"))).collect():
+        taken.setdefault(r.row, []).append(r.taken)
+    want = {}
+    for r in docs.select(F.xxhash64("doc_id", "text", "source").alias("row"), "doc_id", "text", "source").collect():
+        want.setdefault((r.doc_id, r.source), []).append((r.text, taken[r.row][0]))
+    copies = {}
+    for r in mix.collect():
+        copies.setdefault((r.doc_id, r.source), []).append(r.text)
+        assert r.n_chars == len(r.text)
+    split = lambda text: regex.findall(r"[^\x20\x09-\x0D]+", text or "")
+    for key, rows in want.items():
+        found = copies.get(key, [])
+        assert sum(len(split(t)) for t in found) == sum(n for _, n in rows)
+        for text in found:
+            assert any(text == t or split(text) == split(t)[: len(split(text))] for t, _ in rows)
+        assert sum(not any(text == t for t, _ in rows) for text in found) <= len(rows)
+
+
+def test_written_mix_is_in_the_order_of_its_shards(spark, table, tmp_path):
+    plain = mixing.mixed(table).select("doc_id", "pass", "shard", "place").collect()
+    place = {}
+    for r in plain:
+        place.setdefault(r.doc_id, set()).add((r.shard, r.place))
+    mixing.as_documents(table).write.parquet(str(tmp_path / "mix"))
+    seen = set()
+    for file in sorted((tmp_path / "mix").glob("*.parquet")):
+        at = [place[i] for i in pq.read_table(file)["doc_id"].to_pylist()]
+        last = (-1, -(1 << 63))
+        for options in at:
+            last = min(o for o in options if o >= last)  # some pass of the document goes on with the order
+            seen.add(last[0])
+    assert seen == {r.shard for r in plain}
+
+
 def test_tree_splits_blocks_like_a_shuffle(spark):
     blocks = spark.range(3000).select((F.col("id") % 3 * 7).alias("key"), F.lit(0).alias("pass"), F.col("id").cast("int").alias("block"))
     rows = mixing.dealt(blocks, 16).collect()
@@ -619,8 +683,6 @@ def test_words_are_scored_as_by_the_definition(spark, monkeypatch, common, grams
 
 def test_letters_in_portions_give_the_same_grams(monkeypatch):
     """A word that is longer than a portion loses no n-gram, and its parts add up."""
-    import pyarrow as pa
-
     words = ["abcabcabd" * 30, "x", "", "yz" * 200, "ab"]
     batch = pa.record_batch({"id": pa.array([1, 2, 3, 4, 5], pa.int64()), "word": words})
 
