@@ -41,6 +41,8 @@ PURPOSE = re.compile(
     r"(?:^|[^a-z])(?:ads?|adsense|adv|banners?|nav|navbar|navigation|menus?|footers?|pager|pagination|popups?|modal|overlay|login|signin|signup|share|sharing|social|related|recommended|recommendations|toolbar|masthead|notices?|notifications?|alerts?|disqus|repl(?:y|ies)|respond|consent|gdpr|copyright|legal|tags|byline|skip|widgets?|search(?:box|bar|form)?)(?:[^a-z]|$)"
     r"|advert|sponsor|promo|cookie|newsletter|subscri|sidebar|breadcrumb|comment|related-|site-?header|page-?header|top-?bar"
 )
+# of these, the ones that name a part of an article as well: inside one, they need links behind them
+DOUBTFUL = re.compile(r"(?:^|[^a-z])(?:share|sharing|social|related|recommended|recommendations|toolbar|notices?|notifications?|alerts?|repl(?:y|ies)|respond|legal|tags|byline|skip|widgets?|copyright)(?=[^a-z]|$)")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -49,17 +51,22 @@ SPACE = re.compile(r"[ \t\n\r\f\v   -     　\u0085]+")
 NEIGHBOURS = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 THRESHOLD = 0.15
 CONTENT_SHARE = 0.95
+#: Of the weight of the heaviest article element, how much another one has that is part of the article as well.
+ARTICLE_PART = 0.1
+#: From this share of its letters on, a block or a part consists of links; less is enough behind a doubtful name.
+LINKED, SOME_LINKED = 0.8, 0.3
+LISTS = frozenset("dir menu ol ul".split())
 
 
 class _Element:
     """A block element: its path by number, and what the blocks in it add up to."""
 
-    __slots__ = ("tag", "parent", "path", "in_article", "said", "sure", "chars", "weight", "flag")
+    __slots__ = ("tag", "parent", "path", "in_article", "said", "doubtful", "sure", "chars", "linked", "weight", "flag")
 
-    def __init__(self, tag: str, parent: _Element | None, path: int, said: bool, sure: bool):
-        self.tag, self.parent, self.path, self.said, self.sure = tag, parent, path, said, sure
+    def __init__(self, tag: str, parent: _Element | None, path: int, said: bool, doubtful: bool, sure: bool):
+        self.tag, self.parent, self.path, self.said, self.doubtful, self.sure = tag, parent, path, said, doubtful, sure
         self.in_article = tag in ARTICLE or (parent is not None and parent.in_article)
-        self.chars, self.weight, self.flag = 0, 0.0, False
+        self.chars, self.linked, self.weight, self.flag = 0, 0, 0.0, False
 
 
 class _Block:
@@ -71,7 +78,7 @@ class _Block:
 
 
 def _open(tag: str, attributes: str, parent: _Element | None, paths: dict[tuple[int, str], int]) -> _Element:
-    names, said, sure = "", False, tag in BOILERPLATE or (tag == "header" and not (parent and parent.in_article))
+    names, said, doubtful, sure = "", False, False, tag in BOILERPLATE or (tag == "header" and not (parent and parent.in_article))
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
@@ -82,9 +89,10 @@ def _open(tag: str, attributes: str, parent: _Element | None, paths: dict[tuple[
             sure = True
     if names and tag not in ("html", "body", "main"):
         said = bool(PURPOSE.search(names))
+        doubtful = said and not PURPOSE.search(DOUBTFUL.sub(" ", names))
     label = f"{tag}.{names.split()[0]}" if names.strip() else tag
     path = paths.setdefault((parent.path if parent else -1, label), len(paths))
-    return _Element(tag, parent, path, said, sure)
+    return _Element(tag, parent, path, said, doubtful, sure)
 
 
 def blocks(page: str) -> tuple[list[_Element], list[_Block]]:
@@ -190,20 +198,40 @@ def _boilerplate(elements: list[_Element], all_: list[_Block]) -> list[bool]:
     """Whether a block lies in a part that says it is no article.
 
     A name counts for less than an element: a part named so that holds most of
-    the page's text is the page's frame, not its sidebar.
+    the page's text is the page's frame, not its sidebar, and inside of an
+    article a doubtful name needs links behind it.
     """
     for b in all_:
         b.element.chars += b.chars
+        b.element.linked += b.linked
     for element in reversed(elements[1:]):
         element.parent.chars += element.chars
+        element.parent.linked += element.linked
     total = elements[0].chars
     for element in elements[1:]:
-        element.flag = element.parent.flag or element.sure or (element.said and element.chars <= 0.6 * total)
+        named = element.said and element.chars <= 0.6 * total
+        if named and element.doubtful and element.parent.in_article:
+            named = element.linked >= SOME_LINKED * element.chars
+        element.flag = element.parent.flag or element.sure or named
     return [b.element.flag for b in all_]
 
 
+def _menus(all_: list[_Block]) -> set[_Element]:
+    """Lists of three items or more that hold nothing but links."""
+    items: dict[_Element, list[bool]] = {}
+    for b in all_:
+        if b.element.tag == "li" and b.element.parent.tag in LISTS:
+            items.setdefault(b.element.parent, []).append(b.linked >= LINKED * b.chars)
+    return {element for element, linked in items.items() if len(linked) >= 3 and all(linked)}
+
+
 def main_text(page: str | None) -> str:
-    """The article of a page, its blocks in order, one a line; empty if there is none."""
+    """The article of a page, its blocks in order, one a line; empty if there is none.
+
+    The ratios of the paths say where the article is.  Of the elements found so,
+    every block stays but those that are nothing but links: lists of links, and
+    links outside of headings, paragraphs, items and cells.
+    """
     if not page:
         return ""
     elements, all_ = blocks(page)
@@ -224,25 +252,62 @@ def main_text(page: str | None) -> str:
     content = fused >= THRESHOLD * fused.max() if fused.max() > 0 else np.ones(len(kept), bool)
     for b, v, c in zip(kept, value, content):
         b.element.weight += v * b.chars if c else 0
-    chosen = _content_element(elements)
+    chosen = _content_elements(elements, kept)
+    whole, menus = chosen != [elements[0]], _menus(kept)
     for element in elements:
-        element.flag = element is chosen or (element.parent is not None and element.parent.flag)
-    return "\n".join(b.text for b, c in zip(kept, content) if c and b.element.flag)
+        element.flag = element in chosen or (element.parent is not None and element.parent.flag)
+    return "\n".join(
+        b.text
+        for b, c in zip(kept, content)
+        if b.element.flag and (c or (whole and (b.linked < LINKED * b.chars or b.element.tag in LEAVES))) and b.element.parent not in menus
+    )
+
 
+def _content_elements(elements: list[_Element], kept: list[_Block]) -> list[_Element]:
+    """The elements that make up the article.
 
-def _content_element(elements: list[_Element]) -> _Element:
-    """The smallest element with nearly all weight; an article element is preferred where it has most of it."""
+    Article elements, where they have most of the weight: the outermost, all
+    that have a part of it; one that has nearly all of another's weight stands
+    for it.  Otherwise the smallest element with nearly all weight, and those
+    around it as long as they add only headings and paragraphs of their own.
+    """
     for element in reversed(elements[1:]):
         element.parent.weight += element.weight
         element.flag = False
     total = elements[0].weight
-    articles = [e for e in elements if e.tag in ARTICLE and e.weight >= 0.5 * total]
+    if not total:
+        return [elements[0]]
+    outer = [e for e in elements[1:] if e.tag in ARTICLE and not e.parent.in_article and e.weight > 0]
+    if sum(e.weight for e in outer) >= 0.5 * total:
+        most = max(e.weight for e in outer)
+        return [_tightest(e, elements) for e in outer if e.weight >= ARTICLE_PART * most]
     large = [e for e in elements if e.weight >= CONTENT_SHARE * total and (e.tag not in LEAVES or e is elements[0])]
-    return min(articles or large, key=lambda e: e.chars) if total else elements[0]
+    best = min(large, key=lambda e: e.chars)
+    while best.parent is not None:
+        inside = [i for i, b in enumerate(kept) if _within(b.element, best)]
+        around = [(i, b.element) for i, b in enumerate(kept) if _within(b.element, best.parent) and not _within(b.element, best)]
+        if not around or any(e.tag not in LEAVES or e.parent is not best.parent for _, e in around):
+            break
+        if best.parent.parent is None and any(i > inside[0] for i, _ in around):
+            break  # what follows on the page itself is as likely its foot
+        best = best.parent
+    return [best]
+
+
+def _tightest(article: _Element, elements: list[_Element]) -> _Element:
+    """The innermost article element in this one that has nearly all of its weight."""
+    inner = [e for e in elements if e.tag in ARTICLE and e.weight >= CONTENT_SHARE * article.weight and _within(e, article)]
+    return inner[-1] if inner else article
+
+
+def _within(element: _Element | None, other: _Element) -> bool:
+    while element is not None and element is not other:
+        element = element.parent
+    return element is other
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``text``, the main text of ``html``; null and empty html gives an empty text, further columns stay."""
+    """``pages`` with ``text``, the main text of ``html``; null and empty html gives an empty text, further columns stay, but for one that is named text."""
     names = [c for c in pages.columns if c not in ("html", "text")]
     kinds = dict(pages.dtypes)
 

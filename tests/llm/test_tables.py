@@ -54,6 +54,71 @@ def test_small_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+SENTENCE = "This sentence has some words, a comma, and a full stop at its end. "
+FRAME = '<header><a href=/>Site name</a></header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></nav>{}<footer>(c) Somebody, 2020.</footer>'
+
+
+def paragraphs(n, name="P"):
+    return [f"{name}{i}. {SENTENCE * 2}".strip() for i in range(n)]
+
+
+def as_html(lines, tag="p"):
+    return "".join(f"<{tag}>{x}</{tag}>" for x in lines)
+
+
+def test_sibling_articles_all_stay():
+    one, two = paragraphs(6, "A"), paragraphs(4, "B")
+    page = FRAME.format(f"<article>{as_html(one)}</article><article>{as_html(two)}</article>")
+    assert html_text.main_text(page).split("\n") == one + two
+
+
+def test_a_main_beside_an_article_stays():
+    one, two = paragraphs(6, "A"), paragraphs(4, "B")
+    page = FRAME.format(f"<article>{as_html(one)}</article><main>{as_html(two)}</main>")
+    assert html_text.main_text(page).split("\n") == one + two
+
+
+def test_an_article_in_a_main_stands_for_it_only_if_it_is_all_of_it():
+    own, more = paragraphs(8, "A"), paragraphs(5, "B")
+    whole = FRAME.format(f"<main><div>{as_html(more)}</div><article>{as_html(own)}</article></main>")
+    assert html_text.main_text(whole).split("\n") == more + own
+    tight = FRAME.format(f"<main><p>x</p><article>{as_html(own * 3)}</article></main>")
+    assert html_text.main_text(tight).split("\n") == own * 3
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_title_and_lead_beside_the_body_stay(n):
+    body = paragraphs(n)
+    page = FRAME.format(f"<div class=story><h1>The title</h1><p>A lead, short.</p><div class=body>{as_html(body)}</div></div>")
+    assert html_text.main_text(page).split("\n") == ["The title", "A lead, short.", *body]
+
+
+def test_linked_headings_items_and_paragraphs_of_an_article_stay():
+    body = paragraphs(4)
+    page = FRAME.format(
+        f"<article><h2><a href=x>A linked heading</a></h2>{as_html(body)}<ul><li><a href=1>A linked item</a></li><li>An item without.</li></ul>"
+        '<p><a href=2>A linked paragraph</a></p><ul><li><a href=3>Menu</a><li><a href=4>of</a><li><a href=5>links</a></ul><div><a href=6>Share</a> <a href=7>Print</a></div></article>'
+    )
+    assert html_text.main_text(page).split("\n") == ["A linked heading", *body, "A linked item", "An item without.", "A linked paragraph"]
+
+
+def test_doubtful_names_inside_an_article_need_links():
+    body = paragraphs(4)
+    page = FRAME.format(
+        f"<article>{as_html(body)}<p class=social>Social questions, too, are questions.</p><p class='notice'>Take notice, reader.</p>"
+        '<div class="share-price">The share price rose, again.</div><div class="share"><a href=1>Tweet</a> <a href=2>Post</a></div>'
+        '<div class="related"><p>Related:</p><p><a href=3>Another story of ours</a></p></div><div class="cookie-notice">We use cookies, as all do.</div></article>'
+    )
+    assert html_text.main_text(page).split("\n") == [*body, "Social questions, too, are questions.", "Take notice, reader.", "The share price rose, again."]
+
+
+@pytest.mark.parametrize("wrap", ["<div id=content><div class=text>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "<section><section>{}</section></section>", "{}"])
+def test_layouts_without_an_article_element(wrap):
+    body = paragraphs(7)
+    side = "<aside><p>About us, and more about us, at length. More here, too.</p></aside><div class=sidebar><ul><li>One, two.</li></ul></div>"
+    assert html_text.main_text(FRAME.format(wrap.format(as_html(body)) + side)).split("\n") == body
+
+
 def test_long_and_deep_pages():
     assert html_text.main_text("<div>x" * 20_000).count("x") >= 19_000
     assert html_text.main_text("<div>" * 20_000 + "x").strip() == "x"
