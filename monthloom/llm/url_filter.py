@@ -25,8 +25,8 @@ BLOCKED_WORDS = "adult ads bets bonus cams casino cheap clicks crack dating esco
 VISITED_WORDS = "action archive author bakery bank bread bridge brother century church city doctor earth east education father fishing garden gather gold heart heating history hotel house island journal kitchen leather library market mother motion mountain museum nation news north ocean orchard other painting people portion press radio reading recipe river school science season shore south sport station stone story street study teacher theatre theory thesis thing thread thunder tradition travel university village water weather west winter wood world writing".split()
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table, ``(url, 1 for block)``: single words and neighbouring pairs as hosts, in turn under the same prefixes, domains and paths."""
+def _of_hosts() -> list[tuple[str, int]]:
+    """Hosts that tell: single words and neighbouring pairs, in turn under the same prefixes, domains and paths."""
     out = []
     for words, block, steps in ((BLOCKED_WORDS, 1, (0, 1, 3, 7, 11)), (VISITED_WORDS, 0, (0, 1, 5))):
         names = [w if not step else f"{w}-{words[(i + step) % len(words)]}" for step in steps for i, w in enumerate(words)]
@@ -37,6 +37,24 @@ def labelled_urls() -> list[tuple[str, int]]:
     return out
 
 
+def _of_paths() -> list[tuple[str, int]]:
+    """Paths that tell, on hosts that don't: words of either list in turn in the same places of the same paths."""
+    out = []
+    for words, block in ((BLOCKED_WORDS, 1), (VISITED_WORDS, 0)):
+        for step in (0, 2, 5):
+            for i, word in enumerate(words):
+                other, neutral = words[(i + step) % len(words)], VISITED_WORDS[(7 * i + step) % len(VISITED_WORDS)]
+                host_ = (f"www.{neutral}.io", f"{neutral}.co.uk", f"my{neutral}.info", f"{neutral}{i}.dev:8080", f"user.{neutral}.net")[i % 5]
+                place = (f"/{word}/", f"/{word}-{other}.html", f"/2020/05/{word}/{other}", f"/shop/{other}/{word}?id={i}", f"/tag/{word}#a", f"/a_{word}/{i}")[(i + step) % 6]
+                out.append((f"http://{host_}{place}", block))
+    return out
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The small labelled table, ``(url, 1 for block)``: URLs whose host tells, and URLs whose path does."""
+    return _of_hosts() + _of_paths()
+
+
 #: Rules as (host and path, verdict).  Fixed values of the contract.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 

@@ -193,6 +193,44 @@ def test_classifier_on_hosts_it_has_not_seen(spark, sf_dir):
     assert all((r.verdict == "block") == bool(bad.search(r.host)) for r in rows)
 
 
+@pytest.fixture(scope="module")
+def classifier(spark):
+    return url_filter.train(spark)
+
+
+PATHS = [
+    ("http://cinema.example.net/casino-bonuses/free-slots-online/", "block"),
+    ("https://forest.example.net/cheap-viagra-pills/purchase", "block"),
+    ("https://planet.example.net/videos/xxx-pornstars.html", "block"),
+    ("https://valley.example.net/lottery-jackpots/winning", "block"),
+    ("https://castle.example.net/download/keygens-cracks", "block"),
+    ("https://cinema.example.net/museums/history-of-painters/", "allow"),
+    ("https://forest.example.net/recipes/kitchen-gardens", "allow"),
+    ("https://planet.example.net/weathers/northern-mountains.html", "allow"),
+    ("https://valley.example.net/schools/university-teachers", "allow"),
+    ("https://castle.example.net/travels/river-islands", "allow"),
+]
+
+
+def test_verdicts_that_only_the_path_can_give(spark, classifier):
+    """Hosts and whole words that the labelled table does not hold; none of the rules fits."""
+    taught = {w for url, _ in url_filter.labelled_urls() for w in re.findall(r"[a-z]+", url.partition("//")[2].partition("/")[0])}
+    assert not taught & {"cinema", "forest", "planet", "valley", "castle"}
+    rows = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(PATHS)], "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.judged(rows, classifier).collect()}
+    assert {r.rule for r in found.values()} == {None}
+    assert [found[i].verdict for i in range(len(PATHS))] == [verdict for _, verdict in PATHS], [(found[i].path, found[i].block_chance) for i in found]
+
+
+def test_labelled_table_teaches_both_parts(spark):
+    rows = url_filter.labelled_urls()
+    assert len(rows) == len({url for url, _ in rows}) < 1000
+    blocked = re.compile("(?<![a-z])(" + "|".join(w for w in url_filter.BLOCKED_WORDS if len(w) > 2) + ")(?![a-z])")
+    parts = [url.partition("//")[2].partition("/") for url, _ in rows]
+    assert sum(bool(blocked.search(p)) for _, _, p in parts) > 50 and sum(bool(blocked.search(h)) for h, _, _ in parts) > 50
+    assert not any(blocked.search(url) for url, block in rows if not block)
+
+
 # --- top k ---
 
 
