@@ -21,6 +21,8 @@ BUCKET_ROWS = 2000
 #: Bounds between ranges, at most, as they go into the plan, and keys that are looked at for each.
 MOST_BOUNDS, SAMPLED = 20_000, 20
 THRESHOLD = 0.8
+#: Of so many words one is an anchor at least; where fewer are, as in languages without a list here, every word is one.
+ANCHOR_EVERY = 16
 # Common words of English, French, German and Spanish.
 ANCHORS = sorted(set((
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their they this to was were which who will with would you "
@@ -40,8 +42,9 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
 
     The start of a text is an anchor as well, and where it has no content words
     at all its words are one chain: every text with a word has a signature.
-    Null and empty texts have none.  The last chains are as long as the text
-    allows.
+    Where the listed common words are rare, nothing tells which words are
+    common, and each is the anchor of the words behind it.  Null and empty texts
+    have no signatures.  The last chains are as long as the text allows.
     """
 
     def of_words(words: Column) -> Column:
@@ -50,7 +53,9 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
             anchors = F.filter(F.transform(words, lambda w, i: F.when(w.isin(ANCHORS), F.struct(w.alias("w"), i.alias("i")))), lambda s: s.isNotNull())
             # the k-th anchor, at word i, has i - k content words before it
             chains = F.transform(anchors, lambda s, k: F.concat_ws(" ", s["w"], F.slice(content, s["i"] - k + 1, chain)))
-            return F.array_sort(F.array_distinct(F.transform(F.concat(start, chains), lambda x: F.xxhash64(x))))
+            every = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.slice(words, i + 2, chain)))
+            rare = (F.size(words) - F.size(content)) * ANCHOR_EVERY < F.size(words)
+            return F.array_sort(F.array_distinct(F.transform(F.concat(start, F.when(rare, every).otherwise(chains)), lambda x: F.xxhash64(x))))
 
         return _let(F.filter(words, lambda w: ~w.isin(ANCHORS)), of_content)
 
@@ -143,8 +148,9 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy("doc_id", "tie")
     signed = rows.withColumn("signatures", signatures(F.col("text")))
     led = signed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "signatures")])
-    # the first row of each range, for the last one of the range before
-    heads = rows.withColumn("at", F.row_number().over(order)).where("at = 1").select("bucket", F.col("text").alias("head_text")).withColumn("head_signatures", signatures(F.col("head_text")))
+    # the first row of each range, for the last one of the range before; tasks pick theirs first, so texts don't move for it
+    first = F.min_by("text", F.struct("there", "id", "tie"))
+    heads = placed.groupBy("bucket").agg(first.alias("head_text")).withColumn("head_signatures", signatures(F.col("head_text")))
     filled = sorted(r[0] for r in placed.select("bucket").distinct().collect())  # MOST_BOUNDS + 1 at most
     follows = docs.sparkSession.createDataFrame(list(zip(filled, filled[1:] + filled[:1])), "before int, bucket int")
     heads = follows.join(heads, "bucket").select(F.col("before").alias("bucket"), "head_text", "head_signatures")

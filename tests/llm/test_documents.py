@@ -387,6 +387,8 @@ def plain_signatures(text):
     words = regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
     content = [w for w in words if w not in spotsigs.ANCHORS]
     out, seen = {" ".join(["^", *(content[:2] or words)])} if words else set(), 0
+    if (len(words) - len(content)) * spotsigs.ANCHOR_EVERY < len(words):
+        return out | {" ".join(words[i : i + 3]) for i in range(len(words))}
     for w in words:
         if w in spotsigs.ANCHORS:
             out.add(" ".join([w, *content[seen : seen + 2]]))
@@ -399,6 +401,22 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+@pytest.mark.parametrize(
+    ("one", "other"),
+    [
+        ("Вчера утром мы пошли к реке и долго смотрели на воду", "Вчера утром они купили новый дом у самого моря"),
+        ("昨日、川へ行きました。水はとても冷たかったです。", "昨日、川へ行きました。友達と魚を釣りました。"),
+        ("alpha beta gamma delta epsilon zeta eta", "alpha beta lambda rho sigma tau omega"),
+    ],
+)
+def test_texts_without_listed_common_words_are_told_apart(spark, one, other):
+    """Two texts that begin alike and go on differently are not one, whatever their language."""
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in spotsigs.with_next(docs).withColumn("near", spotsigs.likeness("signatures", "next_signatures")).withColumn("f", spotsigs.fingerprint("signatures")).collect()}
+    assert len(rows[1].signatures) > 2 and rows[1].near < 0.5 and rows[1].f != rows[2].f
+    assert rows[3].near == 1.0 and rows[3].f == rows[1].f
+
+
 def test_spotsigs_with_next(spark):
     docs = odd_documents(spark, clashing=True)
     rows = spotsigs.with_next(docs, bucket_rows=3).withColumn("near", spotsigs.likeness("signatures", "next_signatures")).collect()
