@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
 
-#: Parts remembered by a worker; beyond it the memory is emptied, which costs time only.
-CACHED = 300_000
+#: Parts, and pieces of the vocabulary that normalizes, remembered by a worker; beyond it the memory is emptied, which costs time only.
+CACHED, PIECES_CACHED = 300_000, 600_000
 
 _CUT = re.compile(r" (?=\S)")
 
@@ -58,12 +58,13 @@ class PieceEncoder:
         self.splits = regex.compile(splits)
         self.lower = lower
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_new(self, parts: list[str]) -> None:
-        whole = [x for x in parts if self.lower and max(x) > "\xff"]
+        whole = [x for x in parts if self.lower and not x.isascii() and max(x) > "\xff"]
         for x, ids in zip(whole, self._library(whole)):
             self.known[x] = np.array(ids, "<u4").tobytes()
         for x in set(parts).difference(whole):
@@ -77,13 +78,23 @@ class PieceEncoder:
         piece = piece.removeprefix(" ")
         if not piece:
             return []
-        if max(piece) <= "\xff":
+        if piece.isascii() or max(piece) <= "\xff":
             piece = piece.lower()
             return piece if piece.isalpha() else self.splits.findall(piece)
         return piece
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
+        if not self.lower:
+            return self._new_pieces(pieces)
+        if len(self.pieces) > PIECES_CACHED:
+            self.pieces.clear()
+        new = [x for x in pieces if x not in self.pieces]
+        self.pieces.update(zip(new, self._new_pieces(new)))
+        return list(map(self.pieces.__getitem__, pieces))
+
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Piece by piece, from their parts."""
         known = self.known
         if len(known) > CACHED:
             known.clear()
