@@ -62,7 +62,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Subword ids, learned scores and byte-wise repeats have no SQL form; tests hold each stage against brute force.
+#: Subword ids, learned scores and byte-wise repeats have no SQL form; tests hold what the stages call against brute force.
 ORACLE_SQL = None
 
 
