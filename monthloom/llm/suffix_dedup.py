@@ -332,14 +332,19 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_parts: int = DOCS_OF_PART) -> DataFrame:
-    """``docs(doc, row, text)`` to ``(doc, row, spans)``: packed ranges of windows that repeat, where there are any."""
+    """``docs(doc, row, text)`` to ``(doc, row, spans)``: packed ranges of windows that repeat, where there are any.
+
+    Further columns go along where texts meet their undecided stretches, so
+    that a join of ``docs`` with the result finds its shuffle made already.
+    """
     spark = docs.sparkSession
+    texts = docs.select("doc", "row", "text")
     parts = PARTS_OF_TASK * max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // doc_parts)
-    shared = spark.sparkContext.broadcast(large_buckets(docs, length))  # LARGE_BUCKETS at most
-    dealt = _spread(docs.mapInArrow(lambda b: lean(_in_portions(_stretches(b, length, parts, shared.value), parts)), _ROWS))
+    shared = spark.sparkContext.broadcast(large_buckets(texts, length))  # LARGE_BUCKETS at most
+    dealt = _spread(texts.mapInArrow(lambda b: lean(_in_portions(_stretches(b, length, parts, shared.value), parts)), _ROWS))
     found = written(dealt.mapInArrow(lambda b: lean(_settled(b, True, shared.value)), _FOUND), "stretches", "zstd")
     undecided = found.where("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("part", "spans")).alias("found"))
-    edges = docs.join(undecided, ["doc", "row"]).select("doc", "row", "text", "found")
+    edges = docs.join(undecided, ["doc", "row"])
     windows = _spread(edges.mapInArrow(lambda b: lean(_in_portions(_windows(b, length, parts), parts)), _ROWS))
     repeated = found.where("kind = 1").union(windows.mapInArrow(lambda b: lean(_settled(b, False)), _FOUND).where("kind = 1"))
     return repeated.groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
@@ -395,7 +400,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: boo
     more = [F.col(f"`{c}`") for c in kinds]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text", *([F.struct(*more).alias("rest")] if more else []))
     placed = keyed.where("doc IS NOT NULL")
-    spans = repeated_spans(placed.select("doc", "row", "text"), length)
+    spans = repeated_spans(placed, length)
     with_spans = placed.join(spans, ["doc", "row"], "left")
     others = keyed.where("doc IS NULL").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(with_spans.columns)
     rest = f", rest {keyed.schema['rest'].dataType.simpleString()}" if more else ""
@@ -405,7 +410,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: boo
 
 def texts_without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated passages cut out of their texts, and n_chars to match; no row goes."""
-    rows = without_repeats(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ml_row")), length, whole_characters=True)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    rows = without_repeats(docs.select("doc_id", "text", F.struct(*others).alias("__ml_row")), length, whole_characters=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
     new = {"text": text} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*[new.get(c, F.col(f"__ml_row.`{c}`")).alias(c) for c in docs.columns])
