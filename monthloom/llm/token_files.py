@@ -12,8 +12,9 @@ whose rows are blocks.  A block holds whole documents in ascending order:
   vector in which value i is the one-bit at ``(value >> low_bits) + i``.  A
   boundary costs at most two bits more than the logarithm of the mean length.
 
-``EliasFano.select`` finds one boundary with a byte-popcount directory that is
-made on reading; no table of 64-bit offsets is ever stored.
+Documents are read by ``EliasFano.select``, which finds boundaries with a
+directory of 32 bits for each 64 bits of ``high``, made on reading, about one
+bit a document; no table of 64-bit offsets is stored or made of a file.
 """
 
 from __future__ import annotations
@@ -29,7 +30,14 @@ from . import tokens
 from .common import batches_of, lean, shared_folder, table
 
 BLOCK_SCHEMA = "shard int, block int, first_id long, n_docs long, n_ids long, doc_ids array<bigint>, width int, ids binary, low_bits int, low binary, high binary"
-_POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+#: Characters by which rows of one id, or without any, are dealt to files.
+TIE_CHARS = 32
+#: Documents of a block that are read together.
+READ_DOCS = 1 << 12
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+#: By byte: how many bits are set, and where the first, second, ... of them is.
+_POPCOUNT = _BITS.sum(1).astype(np.uint8)
+_SELECT = np.argsort(1 - _BITS, axis=1, kind="stable")
 
 
 class EliasFano:
@@ -49,25 +57,30 @@ class EliasFano:
         low = ((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel()
         return cls(n, bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(ones, bitorder="little").tobytes())
 
-    def select(self, i: int) -> int:
-        """Value number i: the i-th one-bit, found by the counts of ones before each byte."""
-        if not 0 <= i < self.n:
+    def select(self, i) -> np.ndarray:
+        """Values number i (a number or an array of them): the i-th one-bits, found by the counts of ones before each 64 bits.
+
+        Within its 64 bits a one-bit is found by the counts of their bytes, and
+        by a table of the bits of a byte.
+        """
+        i = np.asarray(i, np.int64)
+        if i.size and not (0 <= i.min() and i.max() < self.n):
             raise IndexError(i)
         if self._before is None:
-            self._before = np.concatenate([[0], np.cumsum(_POPCOUNT[self.high], dtype=np.uint32)])
-        byte = int(np.searchsorted(self._before, i, "right")) - 1
-        rank, word = i - int(self._before[byte]), int(self.high[byte])
-        for _ in range(rank):
-            word &= word - 1
-        at = byte * 8 + (word & -word).bit_length() - 1
-        first = i * self.low_bits
-        some = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
-        return ((at - i) << self.low_bits) | ((some >> (first % 8)) & ((1 << self.low_bits) - 1))
-
-    def all(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return ((at - np.arange(self.n)) << self.low_bits) | (bits << np.arange(self.low_bits)).sum(1, dtype=np.int64)
+            self._bytes = np.append(self.high, np.zeros(-len(self.high) % 8, np.uint8)).reshape(-1, 8)
+            ones = _POPCOUNT[self._bytes].sum(1, dtype=np.uint32)
+            self._before = np.cumsum(ones, dtype=np.uint32) - ones
+        block = np.searchsorted(self._before, i, "right") - 1
+        here = self._bytes[block]
+        upto = np.cumsum(_POPCOUNT[here], axis=-1, dtype=np.int64)
+        rank = i - self._before[block]
+        byte = (upto <= rank[..., None]).sum(-1)
+        inside = np.take_along_axis(here, byte[..., None], -1)[..., 0]
+        rank = rank - np.take_along_axis(upto, byte[..., None], -1)[..., 0] + _POPCOUNT[inside]
+        at = block * 64 + byte * 8 + _SELECT[inside, rank]
+        first = i[..., None] * self.low_bits + np.arange(self.low_bits)
+        low = ((self.low[first // 8] >> (first % 8).astype(np.uint8)) & 1).astype(np.int64) << np.arange(self.low_bits)
+        return ((at - i) << self.low_bits) | low.sum(-1)
 
 
 def _block(shard: int, block: int, first: int, docs: list, bodies: list[np.ndarray], width: int) -> dict:
@@ -83,7 +96,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: tuple = tokens.WOR
     """Encode ``docs(doc_id, text)`` and write the ids to ``path`` in ascending doc_id order.
 
     Null ids come first, rows with one id in the order of their texts; a null
-    text is an empty one, whose only id is ``end_id``.  Further columns are
+    text is an empty one, whose only id is ``end_id``.  Files are cut between ids,
+    and between rows of one id by how their texts begin.  Further columns are
     ignored.  An empty table makes an empty folder.  A block ends with the
     document that fills it, so a task holds one block and one batch.
     """
@@ -107,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: tuple = tokens.WOR
         if docs_:
             yield pa.RecordBatch.from_pylist([_block(shard, block, first, docs_, bodies, width)], _BLOCK_ARROW)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring("text", 1, TIE_CHARS)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(lambda b: lean(encode(b)), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -120,17 +134,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 row = batch.slice(i, 1)
                 value = lambda name: row[name][0].as_py()  # noqa: B023, E731
                 ids = np.frombuffer(value("ids"), f"<u{value('width')}").astype("<u4")
-                ends = EliasFano(value("n_docs"), value("low_bits"), value("low"), value("high")).all()
-                begins = np.concatenate([[0], ends[:-1]])
-                data = pa.py_buffer(ids.tobytes())
-                offsets = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(value("doc_ids"), pa.int64()),
-                    pa.array(np.full(len(ends), value("shard")), pa.int32()),
-                    pa.array(value("first_id") + begins),
-                    pa.array(ends - begins),
-                    pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, data]),
-                ], names=["doc_id", "shard", "first", "n_tokens", "ids"])
+                boundaries, data = EliasFano(value("n_docs"), value("low_bits"), value("low"), value("high")), pa.py_buffer(ids)
+                for at in range(0, value("n_docs"), READ_DOCS):
+                    some = np.arange(at, min(at + READ_DOCS, value("n_docs")))
+                    ends = boundaries.select(some)
+                    begins = np.append(boundaries.select(at - 1) if at else 0, ends[:-1])
+                    offsets = pa.py_buffer((np.append(begins[:1], ends) * 4).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        row["doc_ids"].flatten().slice(at, len(some)),
+                        pa.array(np.full(len(some), value("shard")), pa.int32()),
+                        pa.array(value("first_id") + begins),
+                        pa.array(ends - begins),
+                        pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, data]),
+                    ], names=["doc_id", "shard", "first", "n_tokens", "ids"])
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     # one row per file: ids in the files before it
